@@ -111,7 +111,8 @@ def norm_ppf(p: Column) -> Column:
 def tag_array(c) -> Column:
     """Comma list -> trimmed, non-empty tags in order."""
     text = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(text, ","), lambda t: F.trim(t)),
+                    lambda t: t != "")
 
 
 def edit_tags(c, managed: dict[str, Column]) -> Column:

@@ -49,19 +49,25 @@ def best(df: DataFrame, keys: list[str], order: list[Column], values: list[str])
         *keys, *[F.col(f"_b._v.{v}").alias(v) for v in values])
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
+def numbered(df: DataFrame, order: list[str], name: str = "n", flag: str | None = None) -> DataFrame:
     """0-based row numbers over the whole frame without one global sort task:
-    range-sort, number inside each partition, add the partition's offset."""
+    range-sort, number inside each partition, add the partition's offset.  With a
+    flag, `passed` counts the flagged rows up to and including each row."""
     local = settle(df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()),
-                   "numbered")
-    part = F.shiftright("_m", 33)
-    sizes = local.groupBy(part.alias("_p")).count()
-    # One row per partition: the window runs over a table of that size only.
-    before = F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("_p", F.coalesce(before, F.lit(0)).alias("_s"))
-    return (local.withColumn("_p", part).join(F.broadcast(starts), "_p")
-            .withColumn(name, F.col("_s") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
-            .drop("_p", "_s", "_m"))
+                   "numbered").withColumn("_p", F.shiftright("_m", 33))
+    marked = F.count_if(flag) if flag else F.lit(0)
+    sizes = local.groupBy("_p").agg(F.count("*").alias("_c"), marked.alias("_f"))
+    # One row per partition: this window runs over a table of that size only.
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_s"),
+                          F.coalesce(F.sum("_f").over(before), F.lit(0)).alias("_t"))
+    out = local.join(F.broadcast(starts), "_p").withColumn(
+        name, F.col("_s") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
+    if flag:
+        # Each range partition is an even share of the rows, whatever the keys.
+        inside = Window.partitionBy("_p").orderBy("_m").rowsBetween(Window.unboundedPreceding, 0)
+        out = out.withColumn("passed", F.col("_t") + F.count_if(flag).over(inside))
+    return out.drop("_p", "_s", "_t", "_m")
 
 
 def positive_tags(tags: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bookloom.functions import text
-from bookloom.operators.common import best, top_rows
+from bookloom.operators.common import best, settle, top_rows
 
 
 def title_index(items: DataFrame) -> DataFrame:
@@ -68,12 +68,15 @@ def _candidates(asked: DataFrame, champions: DataFrame) -> DataFrame:
 def resolve_pairs(pairs: DataFrame, items: DataFrame) -> DataFrame:
     """(title_norm, author_norm, item_key) for each distinct pair that resolves.
     Exact title beats folded title, exact author beats tolerant, then reviews."""
-    champions = _champions(title_index(items))
+    champions = settle(_champions(title_index(items)), "title-index")
     asked = pairs.select("title_norm", "author_norm").filter(F.col("title_norm") != "").distinct()
-    exact = (asked.join(champions.filter(F.col("pass") == 1)
-                        .select(F.col("key").alias("title_norm"), "author_norm", "item_key"),
-                        ["title_norm", "author_norm"]))
-    rest = asked.join(exact, ["title_norm", "author_norm"], "left_anti")
+    # The distinct pairs are few next to the rows they come from; writing them keeps the
+    # log from being scanned again for the tolerant pass.
+    tried = settle(asked.join(champions.filter(F.col("pass") == 1)
+                              .select(F.col("key").alias("title_norm"), "author_norm", "item_key"),
+                              ["title_norm", "author_norm"], "left"), "asked-pairs")
+    exact = tried.filter(F.col("item_key").isNotNull())
+    rest = tried.filter(F.col("item_key").isNull()).drop("item_key")
     cand = _candidates(rest, champions).withColumn(
         "differs", F.col("asked_author") != F.col("author_norm"))
     tolerant = best(cand.withColumn("neg", -F.col("reviews")), ["title_norm", "asked_author"],
@@ -94,7 +97,7 @@ def resolve(df: DataFrame, items: DataFrame) -> DataFrame:
 
 def matching_items(pairs: DataFrame, items: DataFrame) -> DataFrame:
     """Every item that tolerantly matches each distinct pair (no best pick)."""
-    index = title_index(items)
+    index = settle(title_index(items), "title-index")
     asked = pairs.select("title_norm", "author_norm").filter(F.col("title_norm") != "").distinct()
     entries = (_candidates(asked, _champions(index))
                .select("title_norm", "asked_author", "pass", "key", "author_norm").distinct())

@@ -69,6 +69,11 @@ def test_subseries(spark, raw, want):
     assert (tuple(got) if got else None) == want
 
 
+@pytest.mark.parametrize("raw,want", [("Book 1 (A series Book 1, Book 2)", ("series book 1", 2.0)), ("x (Odd #.5)", ("odd", 0.5)), ("x (Oddseries Book 2)", ("oddseries", 2.0))])
+def test_subseries_odd(spark, raw, want):
+    test_subseries(spark, raw, want)
+
+
 @pytest.mark.parametrize("raw,want", [
     ("Book 8 (Age of Madness #2)", "Book 8 (Age of Madness Book 2)"),
     ("Book 8 (Age of Madness Book 2)", None), ("Book 8 (novella)", None),

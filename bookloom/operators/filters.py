@@ -63,24 +63,25 @@ def open_entry() -> Column:
 
 
 def read_authors(log: DataFrame) -> DataFrame:
-    return (log.filter(F.coalesce("title", F.lit("")) != "")
-            .select("reader_id", text.norm("author").alias("author_norm")).distinct())
+    return (identity.with_norms(log.filter(F.coalesce("title", F.lit("")) != ""))
+            .select("reader_id", "author_norm").distinct())
 
 
 def known_author_items(log: DataFrame, items: DataFrame) -> DataFrame:
     """(reader_id, item_key) of items whose author the reader has read."""
-    named = items.select("item_key", text.norm("author").alias("author_norm"))
+    named = identity.with_norms(items).select("item_key", "author_norm")
     return read_authors(log).join(named, "author_norm").select("reader_id", "item_key")
 
 
-def excluded_items(log: DataFrame, picks: DataFrame, events: DataFrame, items: DataFrame) -> DataFrame:
+def excluded_items(log: DataFrame, picks: DataFrame, events: DataFrame, items: DataFrame,
+                   index: DataFrame | None = None) -> DataFrame:
     """(reader_id, item_key) never to be offered: read (exact pair), already listed
     (tolerant), or rejected."""
     named = identity.with_norms(items).select("item_key", "title_norm", "author_norm")
     read = identity.read_pairs(log).join(named, ["title_norm", "author_norm"]).select("reader_id", "item_key")
     rejected = events.filter((F.col("type") == "rejected") & F.col("item_key").isNotNull()).select(
         "reader_id", "item_key")
-    return read.unionByName(identity.listed_items(picks, items)).unionByName(rejected).distinct()
+    return read.unionByName(identity.listed_items(picks, items, index)).unionByName(rejected).distinct()
 
 
 def exclusion_pairs(log: DataFrame, picks: DataFrame, shown: DataFrame | None = None) -> DataFrame:

@@ -19,9 +19,9 @@ from bookloom.operators.common import best, settle, top_rows
 def title_index(items: DataFrame) -> DataFrame:
     """(pass, key, author_norm, item_key, reviews): pass 1 holds full and pre-colon
     titles, pass 2 their American spelling."""
-    full, short = text.norm("title"), text.title_short("title")
-    base = items.select("item_key", F.coalesce("reviews", F.lit(0)).cast("bigint").alias("reviews"),
-                        text.norm("author").alias("author_norm"), full.alias("f"), short.alias("s"))
+    base = with_norms(items).select(
+        "item_key", F.coalesce("reviews", F.lit(0)).cast("bigint").alias("reviews"), "author_norm",
+        F.col("title_norm").alias("f"), text.title_short("title").alias("s"))
     keys = F.array_distinct(F.array(
         F.struct(F.lit(1).alias("pass"), F.col("f").alias("key")),
         F.struct(F.lit(1).alias("pass"), F.col("s").alias("key")),
@@ -65,10 +65,12 @@ def _candidates(asked: DataFrame, champions: DataFrame) -> DataFrame:
             .filter(text.authors_match(F.col("asked_author"), F.col("author_norm"))))
 
 
-def resolve_pairs(pairs: DataFrame, items: DataFrame) -> DataFrame:
+def resolve_pairs(pairs: DataFrame, items: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """(title_norm, author_norm, item_key) for each distinct pair that resolves.
-    Exact title beats folded title, exact author beats tolerant, then reviews."""
-    champions = settle(_champions(title_index(items)), "title-index")
+    Exact title beats folded title, exact author beats tolerant, then reviews.
+
+    `index` is title_index(items), for callers that resolve several inputs."""
+    champions = settle(_champions(index if index is not None else title_index(items)), "title-champions")
     asked = pairs.select("title_norm", "author_norm").filter(F.col("title_norm") != "").distinct()
     # The distinct pairs are few next to the rows they come from; writing them keeps the
     # log from being scanned again for the tolerant pass.
@@ -85,19 +87,22 @@ def resolve_pairs(pairs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def with_norms(df: DataFrame) -> DataFrame:
+    """Add title_norm and author_norm, unless the rows carry them already."""
+    if {"title_norm", "author_norm"} <= set(df.columns):
+        return df
     return df.withColumns({"title_norm": text.norm("title"), "author_norm": text.norm("author")})
 
 
-def resolve(df: DataFrame, items: DataFrame) -> DataFrame:
+def resolve(df: DataFrame, items: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """Add title_norm, author_norm and item_key (null if unknown) to rows with a
     title and author.  Each distinct pair is resolved once and joined back."""
     named = with_norms(df.drop("item_key"))
-    return named.join(resolve_pairs(named, items), ["title_norm", "author_norm"], "left")
+    return named.join(resolve_pairs(named, items, index), ["title_norm", "author_norm"], "left")
 
 
-def matching_items(pairs: DataFrame, items: DataFrame) -> DataFrame:
+def matching_items(pairs: DataFrame, items: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """Every item that tolerantly matches each distinct pair (no best pick)."""
-    index = settle(title_index(items), "title-index")
+    index = index if index is not None else settle(title_index(items), "title-index")
     asked = pairs.select("title_norm", "author_norm").filter(F.col("title_norm") != "").distinct()
     entries = (_candidates(asked, _champions(index))
                .select("title_norm", "asked_author", "pass", "key", "author_norm").distinct())
@@ -106,10 +111,10 @@ def matching_items(pairs: DataFrame, items: DataFrame) -> DataFrame:
             .select("title_norm", F.col("asked_author").alias("author_norm"), "item_key").distinct())
 
 
-def listed_items(picks: DataFrame, items: DataFrame) -> DataFrame:
+def listed_items(picks: DataFrame, items: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """(reader_id, item_key) of items already on a reader's list, tolerantly."""
     named = with_norms(picks).select("reader_id", "title_norm", "author_norm").distinct()
-    return (named.join(matching_items(named, items), ["title_norm", "author_norm"])
+    return (named.join(matching_items(named, items, index), ["title_norm", "author_norm"])
             .select("reader_id", "item_key").distinct())
 
 
@@ -119,7 +124,7 @@ def list_pairs(picks: DataFrame) -> DataFrame:
             .agg(F.min("item_key").alias("direct_key")))
 
 
-def resolve_picks(picks: DataFrame, items: DataFrame) -> DataFrame:
+def resolve_picks(picks: DataFrame, items: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """(reader_id, item_key): a stored key is used as is, other rows are resolved;
     rows that end on one item count once."""
     pairs = list_pairs(picks)
@@ -127,7 +132,7 @@ def resolve_picks(picks: DataFrame, items: DataFrame) -> DataFrame:
              .select("reader_id", F.col("direct_key").alias("item_key"))
              .join(items.select("item_key"), "item_key", "left_semi"))
     named = pairs.filter(F.col("direct_key").isNull())
-    found = (named.join(resolve_pairs(named, items), ["title_norm", "author_norm"])
+    found = (named.join(resolve_pairs(named, items, index), ["title_norm", "author_norm"])
              .select("reader_id", "item_key"))
     return keyed.select("reader_id", "item_key").unionByName(found).distinct()
 

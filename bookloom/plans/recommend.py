@@ -207,33 +207,32 @@ class Recommender:
     def __init__(self, items, tags, links, log, picks, events, vectors, members, state, floors, *,
                  today: str, n: int = 15, variance: str | None = None, lean: str | None = None,
                  seed: int = 0, genre: str | None = None, indie: bool = False, statuses: list[str] = ()):
+        # Shared inputs are written once, with their normalised names beside them.
+        items = settle(identity.with_norms(items), "items")
+        tags = settle(tags, "tags")
         self.items, self.tags, self.links, self.n, self.lean, self.seed = items, tags, links, n, lean, seed
-        self.events, self.state, self.floors, self.today = events, state, floors, today
+        self.state, self.floors, self.today = state, floors, today
         self.vectors, self.members = vectors, members
-        self.log, self.picks = log, picks
-        live = reader.active_members(vectors, members)
-        self.live = settle(live, "active-members")
+        self.live = settle(reader.active_members(vectors, members), "active-members")
         # A reader without an active vector has nothing to match against.
         owners = self.live.select("reader_id").distinct()
         self.modes = mode_of(state, variance).join(owners, "reader_id", "left_semi")
-        self.resolved = settle(identity.resolve(log, items), "resolved-log")
-        self.listed = settle(identity.resolve_picks(picks, items), "resolved-picks")
-        self.excluded = settle(filters.excluded_items(log, picks, events, items), "excluded")
+        index = settle(identity.title_index(items), "title-index")
+        self.picks = settle(identity.with_norms(picks), "picks")
+        self.resolved = settle(identity.resolve(log, items, index), "resolved-log")
+        self.log = self.resolved
+        self.listed = settle(identity.resolve_picks(self.picks, items, index), "resolved-picks")
+        self.excluded = settle(filters.excluded_items(self.log, self.picks, events, items, index), "excluded")
         profiles, held = filters.tag_profiles(tags)
         self.profile_tags = settle(held, "profile-tags")
-        facts = series.effective_rating(filters.quality_items(items, genre, indie, statuses))
+        # Series baselines need every volume, so they come before the request's filters.
+        facts = filters.quality_items(series.effective_rating(items), genre, indie, statuses)
+        term = rating_term(F.col("effective"))
         self.quality = settle(
             facts.join(profiles, "item_key", "left")
             .select("item_key", "profile", "title", "indie", "classic", "primary_genre", "secondary_genre",
-                    half_even(rating_term(F.col("effective")), 3).alias("base"),
-                    rating_term(F.col("effective")).alias("term"), filters.open_entry().alias("open_entry")),
-            "quality-items")
-        # The effective rating of a series needs its unfiltered volumes.
-        if genre or indie or statuses:
-            raise_term = series.effective_rating(items).select(
-                "item_key", rating_term(F.col("effective")).alias("term"))
-            self.quality = settle(self.quality.drop("term", "base").join(raise_term, "item_key").withColumn(
-                "base", half_even(F.col("term"), 3)), "quality-items")
+                    term.alias("term"), half_even(term, 3).alias("base"),
+                    filters.open_entry().alias("open_entry")), "quality-items")
 
     # -- reader facts
     def gaps(self):
@@ -251,7 +250,8 @@ class Recommender:
 
     def run(self) -> dict[str, DataFrame]:
         n, keys = self.n, ["reader_id", "item_key"]
-        under, risk = settle(self.gaps()[0], "underused"), settle(self.gaps()[1], "at-risk")
+        under, risk = self.gaps()
+        under, risk = settle(under, "underused"), settle(risk, "at-risk")
         overlap = settle(self.relevant(), "profile-overlap")
         near = overlap.select("reader_id", "profile").distinct()
         _, anchor_tags = reader.anchors(self.resolved, self.tags, self.live.select(

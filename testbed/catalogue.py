@@ -1,4 +1,4 @@
 """All registered queries: importing the modules fills the registry."""
 
 from testbed import queries_identity, queries_reader, queries_recommend, queries_scalar, queries_series, queries_sources  # noqa: F401
-from testbed.registry import ORACLES, QUERIES  # noqa: F401
+from testbed.registry import QUERIES, oracles  # noqa: F401

@@ -18,6 +18,11 @@ def query(name: str, sql: str | None = None):
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if sql:
-            ORACLES[name] = for_duckdb(with_roles(sql, duck.TABLES))
+            ORACLES[name] = sql
         return fn
     return add
+
+
+def oracles() -> dict[str, str]:
+    """Oracle text with its WITH clause; built late, when every table is known."""
+    return {name: for_duckdb(with_roles(sql, duck.TABLES)) for name, sql in ORACLES.items()}

@@ -96,10 +96,10 @@ FROM item_ranks""",
     "item_tags": f"""
 SELECT i.item_key, g.kind, g.polarity, g.pos, g.tag
 FROM items i JOIN (
-  SELECT pk, 'signal' AS kind, 'positive' AS polarity, 0 AS pos, adj || '-' || {_s('pk % 13')} AS tag FROM part_rows
-  UNION ALL SELECT pk, 'signal', 'positive', 1, genre || '-' || {_s('pk % 5')} FROM part_rows
-  UNION ALL SELECT pk, 'signal', 'negative', 0, adj || '-' || {_s('(pk + 1) % 13')} FROM part_rows WHERE pk % 4 = 0
-  UNION ALL SELECT pk, 'theme', CAST(NULL AS STRING), 0, noun || '-' || {_s('pk % 6')} FROM part_rows
+  SELECT pk, 'signal' AS kind, 'positive' AS polarity, 0 AS pos, adj || '-' || {_s('pk % 2')} AS tag FROM part_rows
+  UNION ALL SELECT pk, 'signal', 'positive', 1, genre || '-' || {_s('pk % 2')} FROM part_rows
+  UNION ALL SELECT pk, 'signal', 'negative', 0, adj || '-' || {_s('(pk + 1) % 2')} FROM part_rows WHERE pk % 4 = 0
+  UNION ALL SELECT pk, 'theme', CAST(NULL AS STRING), 0, noun || '-' || {_s('pk % 2')} FROM part_rows
   UNION ALL SELECT pk, 'theme', CAST(NULL AS STRING), 1, 'shared-' || {_s('pk % 11')} FROM part_rows WHERE pk % 3 = 0
   UNION ALL SELECT pk, 'flag', CAST(NULL AS STRING), 0, 'violence' FROM part_rows WHERE pk % 12 = 0
 ) g ON g.pk = i.pk""",
@@ -193,13 +193,14 @@ SELECT c AS reader_id, 'v' || CAST(i AS STRING) AS vector, i AS ord,
 FROM vector_grid""",
     "member_grid": """
 SELECT c, i, CAST(g AS BIGINT) AS j
-FROM (SELECT c, i, @grid(5) AS g FROM vector_grid WHERE (c + i) % 9 <> 0)""",
+FROM (SELECT c, i, @grid(4) AS g FROM vector_grid WHERE (c + i) % 9 <> 0)""",
     "vector_members": f"""
 SELECT DISTINCT c AS reader_id, 'v' || {_s('i')} AS vector,
        CASE WHEN j <= 2 THEN 'signal' ELSE 'theme' END AS kind,
-       CASE WHEN j <= 1 THEN {_pick('(c * 3 + i * 5 + j * 7) % 8', ADJECTIVES)} || '-' || {_s('(c + i * 2 + j * 3) % 13')}
-            WHEN j = 2 THEN {_pick('(c + i) % 6', TYPES)} || '-' || {_s('(c + j) % 5')}
-            ELSE {_pick('(c + i + j) % 8', NOUNS)} || '-' || {_s('(c * 5 + i + j) % 6')} END AS tag
+       CASE WHEN j <= 1 THEN {_pick('(c * 3 + i * 5 + j * 7) % 8', ADJECTIVES)} || '-' || {_s('(c + i + j) % 2')}
+            WHEN j = 2 THEN {_pick('(c + i) % 6', TYPES)} || '-' || {_s('(c + j) % 2')}
+            WHEN c % 2 = 0 OR i = 3 THEN {_pick('(c + i + j) % 8', NOUNS)} || '-' || {_s('(c + i) % 2')}
+            ELSE 'shared-' || {_s('(c + i) % 11')} END AS tag
 FROM member_grid""",
     "example_grid": """
 SELECT c, i, CAST(g AS BIGINT) AS e

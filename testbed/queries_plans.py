@@ -35,9 +35,10 @@ LEFT JOIN (SELECT reader_id, item_key, count(*) AS v FROM cal_central GROUP BY 1
   SELECT s.reader_id, t.kind, t.tag, count(*) AS support, count(*) FILTER (central >= 1) AS expected, avg(rating) AS mean, avg(rating) FILTER (central >= 1) AS mean_expected
   FROM cal_scored s JOIN good_tags t ON t.item_key = s.item_key GROUP BY 1, 2, 3 HAVING count(*) >= 4) x JOIN cal_ref r ON r.reader_id = x.reader_id
 WHERE mean <= baseline - 0.5 OR coalesce(expected >= 4 AND mean_expected <= matched - 0.5, false)""",
-    "cal_pairs": """SELECT * FROM (SELECT reader_id, a, b, shared, CAST(shared AS DOUBLE) / (sa + sb - shared) AS jaccard FROM (SELECT x.reader_id, x.vector AS a, y.vector AS b, count(*) AS shared,
-  (SELECT count(*) FROM cal_central z WHERE z.reader_id = x.reader_id AND z.vector = x.vector) AS sa, (SELECT count(*) FROM cal_central z WHERE z.reader_id = x.reader_id AND z.vector = y.vector) AS sb
-  FROM cal_central x JOIN cal_central y ON y.reader_id = x.reader_id AND y.item_key = x.item_key AND y.vector > x.vector GROUP BY 1, 2, 3)) WHERE jaccard >= 0.4""",
+    "cal_sets": "SELECT reader_id, vector, count(*) AS n FROM cal_central GROUP BY 1, 2",
+    "cal_pairs": """SELECT * FROM (SELECT p.reader_id, p.a, p.b, p.shared, CAST(p.shared AS DOUBLE) / (sa.n + sb.n - p.shared) AS jaccard FROM (
+  SELECT x.reader_id, x.vector AS a, y.vector AS b, count(*) AS shared FROM cal_central x JOIN cal_central y ON y.reader_id = x.reader_id AND y.item_key = x.item_key AND y.vector > x.vector GROUP BY 1, 2, 3) p
+  JOIN cal_sets sa ON sa.reader_id = p.reader_id AND sa.vector = p.a JOIN cal_sets sb ON sb.reader_id = p.reader_id AND sb.vector = p.b) WHERE jaccard >= 0.4""",
 })
 
 
@@ -126,7 +127,8 @@ def g22(v):
     return out.select("doc_id", "vector", F.array_join("signals", "|").alias("signals"), F.array_join("themes", "|").alias("themes"), "unresolved")
 
 
-_ADDS = "SELECT s.reader_id, i.item_key AS add_key FROM reader_state s JOIN items i ON i.pk = (s.reader_id * 17 + 3) % (SELECT count(*) FROM part)"
+_ADDS = """SELECT s.reader_id, i.item_key AS add_key FROM (SELECT r.reader_id, (r.reader_id * 17 + 3) % n.parts AS pk
+  FROM reader_state r CROSS JOIN (SELECT count(*) AS parts FROM part) n) s JOIN items i ON i.pk = s.pk"""
 
 
 @query("t09_swap_suggestions", f"""WITH lk AS (SELECT reader_id, item_key, count(*) FILTER (type = 'defended') AS defended, bool_or(type = 'session_lock') AS sl FROM feedback GROUP BY 1, 2),

@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None):
 
 def oracles() -> dict[str, str]:
     """Oracle text with its WITH clause; built late, when every table is known."""
-    return {name: for_duckdb(with_roles(sql, duck.TABLES)) for name, sql in ORACLES.items()}
+    return {name: for_duckdb(with_roles(sql, duck.TABLES, "AS MATERIALIZED")) for name, sql in ORACLES.items()}

@@ -209,8 +209,9 @@ FROM (SELECT c, i, @grid(4) AS g FROM vector_grid WHERE (c + i) % 9 = 0)""",
 SELECT g.c AS reader_id, 'v' || CAST(g.i AS STRING) AS vector, g.e AS pos,
        CASE WHEN g.e = 3 THEN 'No Such Title ' || CAST(g.c AS STRING) ELSE p.title END AS title,
        p.author
-FROM example_grid g JOIN items p
-  ON p.pk = (g.c * 13 + g.i * 7 + g.e * 31) % (SELECT count(*) FROM part)""",
+FROM (SELECT x.*, (x.c * 13 + x.i * 7 + x.e * 31) % n.parts AS pk
+      FROM example_grid x CROSS JOIN (SELECT count(*) AS parts FROM part) n) g
+JOIN items p ON p.pk = g.pk""",
     "reader_state": """
 SELECT CAST(c_custkey AS BIGINT) AS reader_id, 20 + CAST(c_custkey AS BIGINT) % 30 AS n_target,
        CASE c_custkey % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'moderate' WHEN 2 THEN 'low'
@@ -235,7 +236,7 @@ _LITERAL = re.compile(r"'[^']*'")
 _SOURCE = re.compile(r"(?:\b(?:FROM|JOIN)\b|,)\s*\(?\s*([A-Za-z_][A-Za-z0-9_]*)")
 
 
-def with_roles(sql: str, extra: dict[str, str] | None = None) -> str:
+def with_roles(sql: str, extra: dict[str, str] | None = None, kind: str = "AS") -> str:
     """Prefix a query with the role CTEs it uses, in dependency order."""
     known = {**ROLES, **(extra or {})}
     order: list[str] = []
@@ -251,7 +252,7 @@ def with_roles(sql: str, extra: dict[str, str] | None = None) -> str:
     visit(sql)
     if not order:
         return sql
-    ctes = ",\n".join(f"{name} AS ({known[name].strip()})" for name in order)
+    ctes = ",\n".join(f"{name} {kind} ({known[name].strip()})" for name in order)
     joiner = ",\n" if sql.lstrip().upper().startswith("WITH ") else "\n"
     body = sql.lstrip()[5:] if joiner == ",\n" else sql
     return f"WITH {ctes}{joiner}{body}"

@@ -174,7 +174,7 @@ def test_fill_matches_whole_list(spark):
     """Cutting each stratum to n rows gives the sample of the uncut lists."""
     import pandas as pd
     rng, n = random.Random(4), 6
-    rows = [(1, s, o + 1, rng.randint(0, 3), 40, k + 1, f"k{rng.randint(0, 25)}", 0.0)
+    rows = [(1, s, o + 1, [2, 3, 1][o], 40, k + 1, f"k{rng.randint(0, 25)}", 0.0)
             for o, s in enumerate("abc") for k in range(40)]
     pdf = pd.DataFrame(rows, columns=["reader_id", "stratum", "ord", "slots", "size", "rank", "item_key", "score"])
     pdf = pdf.drop_duplicates(["stratum", "item_key"])

@@ -29,7 +29,8 @@ SPELLING_SUFFIXES = [
 CO_AUTHOR_SPLIT = r"(?iU)\s*(?:&|;|/|,|\band\b|\bwith\b)\s*"
 
 _NAME = r"([^\s,(&;/]+(?:\s+[^\s,(&;/]+)?)"
-_LAST_FIRST = rf"(?iU)^(?!.*\b(?:and|with)\b)\s*{_NAME}\s*,\s*{_NAME}\s*$"
+# One comma is tested first: most names have none and fail there at once.
+_LAST_FIRST = rf"(?isU)^(?=[^,]*,[^,]*$)(?!.*\b(?:and|with)\b)\s*{_NAME}\s*,\s*{_NAME}\s*$"
 _ANY_SUFFIX = r"(?:" + "|".join(s for s, _, _ in SPELLING_SUFFIXES) + r")(?: |$)"
 
 
@@ -42,7 +43,7 @@ def plain_quotes(c) -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(c, r"(?U)\s\s+|[^\S ]", " "))
 
 
 def swap_last_first(c) -> Column:
@@ -52,11 +53,11 @@ def swap_last_first(c) -> Column:
 
 def join_initials(c: Column) -> Column:
     """``k j parker`` -> ``kj parker``: drop the space between two lone letters."""
-    return F.regexp_replace(c, r"(?<=(?:^| )\p{L}) (?=\p{L}(?: |$))", "")
+    return F.regexp_replace(c, r" (?<=(?:^| )\p{L} )(?=\p{L}(?: |$))", "")
 
 
 def _drop_edges(c: Column) -> Column:
-    c = F.regexp_replace(c, r"(?U)\s*\([^)]*\)\s*$", "")
+    c = F.regexp_replace(c, r"\([^)]*\)(?U:\s*)$", "")
     c = F.lower(F.regexp_replace(c, r"^[^\p{L}\p{N}_]+", ""))
     return F.regexp_replace(c, r"(?U)^(?:the|a|an)\s+", "")
 

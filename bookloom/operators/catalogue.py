@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookloom.functions import series, text, values
@@ -303,9 +303,9 @@ def distribution(items: DataFrame) -> DataFrame:
     """Per genre: counts, and the share of all indie and classic books it holds."""
     by = items.groupBy(F.coalesce(F.nullif("primary_genre", F.lit("")), F.lit("Unknown")).alias("genre")).agg(
         F.count("*").alias("total"), F.count_if("indie").alias("indie"), F.count_if("classic").alias("classic"))
-    # One row per genre by now, so the totals come from a handful of rows.
-    all_of = by.agg(F.sum("indie").alias("_i"), F.sum("classic").alias("_c"))
-    out = by.join(F.broadcast(all_of), how="cross")
+    # One row per genre by now: the window runs over that handful of rows.
+    every = Window.partitionBy(F.lit(1))
+    out = by.withColumns({"_i": F.sum("indie").over(every), "_c": F.sum("classic").over(every)})
     for tag, total in (("indie", "_i"), ("classic", "_c")):
         share = F.col(tag) / F.nullif(F.col(total), F.lit(0))
         out = out.withColumns({f"{tag}_share": F.bround(share, 2),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookloom.functions import text, values
-from bookloom.operators.common import half_even, positive_tags
+from bookloom.operators.common import half_even, positive_tags, settle
 
 # Thresholds of the reader signals.
 LIKED = 4.0
@@ -160,10 +160,10 @@ def anchors(resolved_log: DataFrame, tags: DataFrame, live_tags: DataFrame,
     bucket weights over all liked reads of that item."""
     liked = resolved_log.filter((F.col("rating") >= LIKED) & F.col("item_key").isNotNull())
     bucket = values.recency_bucket(F.col("read_on"), F.lit(today).cast("date"))
-    reads = liked.withColumn("bucket", bucket).groupBy("reader_id", "item_key", "bucket").agg(
-        F.count("*").alias("n"))
-    kept = (reads.select("reader_id", "item_key").distinct().join(positive_tags(tags), "item_key")
-            .join(live_tags, ["reader_id", "kind", "tag"]))
+    reads = settle(liked.withColumn("bucket", bucket).groupBy("reader_id", "item_key", "bucket").agg(
+        F.count("*").alias("n")), "liked-reads")
+    kept = settle(reads.select("reader_id", "item_key").distinct().join(positive_tags(tags), "item_key")
+                  .join(live_tags, ["reader_id", "kind", "tag"]), "anchor-tags")
     reads = reads.join(kept.select("reader_id", "item_key").distinct(), ["reader_id", "item_key"],
                        "left_semi")
     n = {b: F.sum(F.when(F.col("bucket") == b, F.col("n")).otherwise(0)) for b in BUCKETS}

@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 def workspace(spark: SparkSession) -> str:
     """Shared folder for written intermediates: the session's checkpoint folder.
     A temporary one is made only for a local session that names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="bookloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="bookloom-"))
+        folder = context.getCheckpointDir()
     return folder.rstrip("/") + "/bookloom"
 
 

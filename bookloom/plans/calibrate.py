@@ -125,7 +125,7 @@ class Calibration:
                           F.coalesce(F.col("matched") - F.col("mean_expected"), F.lit(0.0)))
         return rows.filter(low | drags).select(
             "reader_id", "kind", "tag", "support", "expected", "mean", "mean_expected", "baseline",
-            low.alias("low_rated"), drags.alias("drags"), half_even(drop, 4).alias("severity"))
+            low.alias("low_rated"), drags.alias("drags"), half_even(F.round(drop, 9), 4).alias("severity"))
 
     def top_negatives(self) -> DataFrame:
         """The worst few per reader, each with its three lowest reads."""

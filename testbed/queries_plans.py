@@ -31,7 +31,7 @@ LEFT JOIN (SELECT reader_id, item_key, count(*) AS v FROM cal_central GROUP BY 1
     "cal_ref": """SELECT b.reader_id, b.n_reads, b.mean AS baseline, CASE WHEN count(*) FILTER (central = 0) >= 5 THEN avg(rating) FILTER (central = 0) ELSE b.mean END AS ref,
   coalesce(avg(rating) FILTER (central > 0), b.mean) AS matched FROM cal_scored s JOIN cal_base b ON b.reader_id = s.reader_id GROUP BY 1, 2, b.mean""",
     "cal_neg": """SELECT x.*, r.baseline, mean <= baseline - 0.5 AS low_rated, coalesce(expected >= 4 AND mean_expected <= matched - 0.5, false) AS drags,
-  round_even(greatest(baseline - mean, coalesce(matched - mean_expected, 0)), 4) AS severity FROM (
+  round_even(round(greatest(baseline - mean, coalesce(matched - mean_expected, 0)), 9), 4) AS severity FROM (
   SELECT s.reader_id, t.kind, t.tag, count(*) AS support, count(*) FILTER (central >= 1) AS expected, avg(rating) AS mean, avg(rating) FILTER (central >= 1) AS mean_expected
   FROM cal_scored s JOIN good_tags t ON t.item_key = s.item_key GROUP BY 1, 2, 3 HAVING count(*) >= 4) x JOIN cal_ref r ON r.reader_id = x.reader_id
 WHERE mean <= baseline - 0.5 OR coalesce(expected >= 4 AND mean_expected <= matched - 0.5, false)""",

@@ -37,7 +37,9 @@ def rating_term(effective: Column) -> Column:
 
 def score(effective: Column, strength: Column, links: Column) -> Column:
     bonus = F.least(F.coalesce(links, F.lit(0)), F.lit(reader.LINK_CAP)) * reader.LINK_WEIGHT
-    return half_even(rating_term(effective) + F.coalesce(strength, F.lit(0.0)) + bonus, 3)
+    total = rating_term(effective) + F.coalesce(strength, F.lit(0.0)) + bonus
+    # Nine digits first: sums of decimals carry noise that would decide a tie.
+    return half_even(F.round(total, 9), 3)
 
 
 def score_items(pairs: DataFrame, items: DataFrame, strength: DataFrame, links: DataFrame) -> DataFrame:

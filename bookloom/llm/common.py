@@ -32,6 +32,7 @@ def arrow_map(df: DataFrame, schema: str, rows: Callable[[Iterator[dict]], Itera
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in rows({n: b.column(n).to_pylist() for n in b.schema.names} for b in batches):
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+            columns = [v if isinstance(v := out[f.name], pa.Array) else pa.array(v, type=f.type) for f in arrow]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return df.mapInArrow(run, kind)

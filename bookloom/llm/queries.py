@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bookloom.llm import bpe, classifier, packing, rules, secrets, sharding, simhash, topk
+from bookloom.llm import bpe, classifier, packing, rules, secrets, sharding, simhash, suffixes, topk
 from bookloom.llm.common import table
 
 QUERIES: dict = {}
@@ -75,3 +75,8 @@ def op1(spark, sf_dir):
 def op7(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding",
                       F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False)))
+
+
+@query("op8_suffix_dedup")
+def op8(spark, sf_dir):
+    return suffixes.repeats(table(spark, sf_dir, "documents")).drop("key")

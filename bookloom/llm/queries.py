@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bookloom.llm import bpe, classifier, packing, rules, secrets, sharding, simhash, suffixes, topk
+from bookloom.llm import bpe, classifier, packing, rules, secrets, sharding, simhash, suffixes, topk, warc
 from bookloom.llm.common import table
 
 QUERIES: dict = {}
@@ -80,3 +80,8 @@ def op7(spark, sf_dir):
 @query("op8_suffix_dedup")
 def op8(spark, sf_dir):
     return suffixes.repeats(table(spark, sf_dir, "documents")).drop("key")
+
+
+@query("op5_warc")
+def op5(spark, sf_dir):
+    return warc.archive(table(spark, sf_dir, "pages"))

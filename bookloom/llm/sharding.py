@@ -65,11 +65,11 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     small = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                         (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
     placed = settle(assign(small, "doc_id", shards), "shards")
+    # `shards` rows at most: how many rows the shards before each one hold.
     counts = placed.groupBy("shard").agg(F.count("*").alias("_c"))
-    # `shards` rows at most: the rows of the shards before this one.
-    starts = counts.select("shard").join(counts.select(F.col("shard").alias("_b"), "_c"),
-                                         F.col("_b") < F.col("shard"), "left").groupBy("shard").agg(
-        F.coalesce(F.sum("_c"), F.lit(0)).alias("_start"))
+    later = counts.select(F.explode(F.sequence("shard", F.lit(shards - 1))).alias("_s"), "shard", "_c")
+    starts = later.groupBy(F.col("_s").alias("shard")).agg(
+        F.coalesce(F.sum(F.when(F.col("shard") < F.col("_s"), F.col("_c"))), F.lit(0)).alias("_start"))
     order = ["shard", "doc_id", "text_crc32", "size", "_row"]
     ranked = numbered(placed.withColumn("_row", F.monotonically_increasing_id()), order, "_n")
     return ranked.join(F.broadcast(starts), "shard").select(

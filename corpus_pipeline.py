@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookloom.llm import rules
+from bookloom.llm import packing, rules, secrets, simhash, suffixes
 from bookloom.operators.common import settle
 
 
@@ -13,7 +13,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rules.keep_good(docs)
 
 
-STAGES = [("quality_rules", quality)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return simhash.keep_one(docs)
+
+
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of passages of 50 words or more are cut out of the texts."""
+    return suffixes.cut_repeats(docs)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced by a marker."""
+    return secrets.masked(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left as token pieces in full sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality_rules", quality), ("simhash_near_dedup", near_dedup), ("suffix_dedup", passage_dedup),
+          ("secret_scan", without_secrets), ("best_fit_packing", packed)]
 
 #: Near-duplicate groups, passages and packing have no plain SQL form.
 ORACLE_SQL = None

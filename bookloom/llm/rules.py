@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bookloom.llm.common import WHITESPACE, let
+from bookloom.llm.common import DOCUMENTS, WHITESPACE, let
 from bookloom.operators.common import settle
 
 Features = Callable[[str], Column]
@@ -133,9 +133,9 @@ def passes(rules: list[Rule], feature: Features) -> Column:
 
 
 def keep_good(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """The rows of docs that pass every rule, columns as they are.  Null texts count as
+    """The columns of documents for the rows that pass every rule.  Null texts count as
     empty and fail; repeated rows are judged alike; an empty table stays empty."""
-    return docs.filter(passes(ordered(docs, rules), from_text(F.col("text"))))
+    return docs.select(*DOCUMENTS).filter(passes(ordered(docs, rules), from_text(F.col("text"))))
 
 
 def measure(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:

@@ -9,7 +9,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookloom.llm.common import arrow_map
+from bookloom.llm.common import DOCUMENTS, arrow_map
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -137,12 +137,16 @@ def scan(docs: DataFrame, least_bits: float = GUESS_BITS) -> DataFrame:
 
 
 def masked(docs: DataFrame, least_bits: float = GUESS_BITS, filler: str = "[SECRET]") -> DataFrame:
-    """docs with every secret replaced by `filler` and n_chars counted anew; rows without
-    one are unchanged, null texts stay null."""
+    """The columns of documents with every secret replaced by `filler` and n_chars counted
+    anew there; rows without one are unchanged, null texts stay null."""
     def run(batches):
         for b in batches:
-            yield b | {"text": [t if t is None else mask(t, find(t, least_bits), filler) for t in b["text"]]}
-    names = ("doc_id", "text", "lang", "source", "n_chars")
-    rows = docs.select(*names)
-    out = arrow_map(rows, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema), run)
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*names)
+            texts, sizes = list(b["text"]), list(b["n_chars"])
+            for i, t in enumerate(texts):
+                if t and (spans := find(t, least_bits)):
+                    texts[i] = mask(t, spans, filler)
+                    sizes[i] = len(texts[i])
+            yield b | {"text": texts, "n_chars": sizes}
+
+    rows = docs.select(*DOCUMENTS)
+    return arrow_map(rows, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema), run)

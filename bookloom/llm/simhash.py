@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookloom.llm.common import arrow_map
+from bookloom.llm.common import DOCUMENTS, arrow_map
 from bookloom.llm.components import components
 from bookloom.operators.common import settle
 
@@ -219,9 +219,9 @@ def _grouped(prints: DataFrame, distance: int, thirds: bool) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE, thirds: bool = False) -> DataFrame:
-    """docs with one row of each near-duplicate group: that of the smallest doc_id, null ids
-    last; of repeated rows the first.  Columns are as they were."""
-    numbered = settle(docs.withColumn("_row", F.monotonically_increasing_id()), "simhash-docs")
+    """The columns of documents for one row of each near-duplicate group: that of the
+    smallest doc_id, null ids last; of repeated rows the first."""
+    numbered = settle(docs.select(*DOCUMENTS).withColumn("_row", F.monotonically_increasing_id()), "simhash-docs")
     placed = settle(fingerprints(numbered.withColumn("doc_id", F.col("doc_id").cast("long"))), "fingerprints")
     distinct = placed.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("best"))
     known = distinct.join(groups(distinct, distance, thirds), "fp", "left").withColumn("c", F.coalesce("component", "fp"))

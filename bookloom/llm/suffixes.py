@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bookloom.llm.common import arrow_map
+from bookloom.llm.common import DOCUMENTS, WHITESPACE, arrow_map
 from bookloom.operators.common import settle
 
 LEAST_WORDS = 50
@@ -29,7 +29,6 @@ ROWS_PER_TASK = 500_000
 CACHED_WORDS = 400_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_BLANK = " \t\n\x0b\x0c\r"
 
 
 class _Hashes(dict):
@@ -237,17 +236,16 @@ def repeats(docs: DataFrame, least: int = LEAST_WORDS, seed: int = SEED_WORDS) -
 
 
 def cut_repeats(docs: DataFrame, least: int = LEAST_WORDS, seed: int = SEED_WORDS) -> DataFrame:
-    """docs without the later copies of repeated passages: those are cut out of the texts
-    and n_chars is counted anew.  A text with nothing but blanks left goes; texts without a
+    """The columns of documents without the later copies of repeated passages: those are cut
+    out of the texts and n_chars is counted anew.  A text with nothing but blanks left goes; texts without a
     copy, null ones included, stay as they are."""
-    names = ["doc_id", "text", "lang", "source", "n_chars"]
     spans = repeats(docs, least, seed).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
-    keyed = docs.select(*names, F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key")).join(spans, "key", "left")
+    keyed = docs.select(*DOCUMENTS, F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key")).join(spans, "key", "left")
     gaps = F.zip_with(F.concat(F.array(F.lit(0)), F.col("cuts.end")),
                       F.concat(F.col("cuts.start"), F.array(F.char_length("text"))),
                       lambda a, b: F.substring(F.col("text"), a + 1, b - a))
     left = F.array_join(gaps, "")
     out = keyed.withColumn("text", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(left))
-    kept = out.filter(F.col("cuts").isNull() | (F.length(F.trim("text", F.lit(_BLANK))) > 0))
+    kept = out.filter(F.col("cuts").isNull() | (F.length(F.trim("text", F.lit(WHITESPACE))) > 0))
     return kept.withColumn("n_chars", F.when(F.col("cuts").isNull(), F.col("n_chars")).otherwise(
-        F.char_length("text").cast("long"))).select(*names)
+        F.char_length("text").cast("long"))).select(*DOCUMENTS)

@@ -102,12 +102,13 @@ def top_k(vectors: DataFrame, id_col: str, vector_col: str, is_query: Column, k:
     if not m:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     blocks, parts = -(-n // block_rows), -(-m // query_rows)
-    pack = [F.collect_list(c).alias(c) for c in ("id", "row", "v")]
-    index = rows.groupBy(F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block")).agg(*pack)
+    index = rows.groupBy(F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block")).agg(
+        F.collect_list(F.struct("id", "row", "v")).alias("c"))
     asked = rows.filter("q").groupBy(F.pmod(F.xxhash64("row"), F.lit(parts)).alias("part")).agg(
-        *[c.alias("q_" + n) for c, n in zip([F.collect_list(c) for c in ("id", "row", "v")], ("id", "row", "v"))])
-    pairs = index.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))).join(
-        asked, "part").select("id", "row", "v", "q_id", "q_row", "q_v")
+        F.collect_list(F.struct("id", "row", "v")).alias("a"))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
+    pairs = index.withColumn("part", each).join(asked, "part").select(
+        *[F.col(f"{side}.{name}").alias(to + name) for side, to in (("c", ""), ("a", "q_")) for name in ("id", "row", "v")])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

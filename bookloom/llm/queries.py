@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bookloom.llm import bpe, classifier, packing, rules, secrets, sharding, simhash, suffixes, topk, warc
+from bookloom.llm import bpe, classifier, oracles, packing, rules, secrets, sharding, simhash, suffixes, topk, warc
 from bookloom.llm.common import table
 
 QUERIES: dict = {}
@@ -20,12 +20,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("op2_sharding")
+@query("op2_sharding", oracles.SHARDS)
 def op2(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-@query("op3_quality_rules")
+@query("op3_quality_rules", oracles.RULES)
 def op3(spark, sf_dir):
     return rules.measure(table(spark, sf_dir, "documents"))
 
@@ -71,7 +71,7 @@ def op1(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-@query("op7_exact_top_k")
+@query("op7_exact_top_k", oracles.TOP_K)
 def op7(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding",
                       F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False)))
@@ -82,6 +82,6 @@ def op8(spark, sf_dir):
     return suffixes.repeats(table(spark, sf_dir, "documents")).drop("key")
 
 
-@query("op5_warc")
+@query("op5_warc", oracles.WARC)
 def op5(spark, sf_dir):
-    return warc.archive(table(spark, sf_dir, "pages"))
+    return warc.archive(table(spark, sf_dir, "pages")).drop("url_key")

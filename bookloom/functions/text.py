@@ -150,6 +150,13 @@ def fuzzy_norm(c) -> Column:
     return squeeze(F.regexp_replace(c, r"[^\p{L}\p{N}_\s]", " "))
 
 
+def number(c) -> Column:
+    """A plain decimal number, with or without exponent; anything else is null (a cast
+    alone would also take type suffixes, as in ``5d``)."""
+    t = F.trim(c)
+    return F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), t.try_cast("double"))
+
+
 def item_key(title, author) -> Column:
     return F.concat(F.trim(_text(title)), F.lit(" - "), F.trim(_text(author)))
 

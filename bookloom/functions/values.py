@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from bookloom.functions.series import index_to_position
+from bookloom.functions.text import number
 
 # Penalty for 0, 1, 2, 3 and 4-or-more rejections of one title.
 REJECTION_PENALTIES = [0.0, 0.5, 1.5, 3.5, 6.0]
@@ -30,7 +31,7 @@ RECENT, MIDDLE, OLD, UNDATED = "<=12mo", "12-36mo", "3+yrs", "undated"
 
 
 def parse_rating(c) -> Column:
-    return F.trim(c).try_cast("double")
+    return number(c)
 
 
 def parse_date(c) -> Column:
@@ -58,7 +59,7 @@ def recency_bucket(day: Column, today: Column) -> Column:
 
 
 def _whole(c) -> Column:
-    return F.trim(c).try_cast("double").try_cast("bigint")
+    return number(c).try_cast("bigint")
 
 
 def _year(c: Column) -> Column:
@@ -78,7 +79,7 @@ def csv_owned(pages="pages", reviews="reviews", rating="rating", series="series"
     return {
         "pages": _whole(pages),
         "reviews": _whole(reviews),
-        "rating": F.trim(rating).try_cast("double"),
+        "rating": number(rating),
         "series": name,
         "series_position": F.when(name.isNotNull(), index_to_position(series_index)),
         "series_status": F.nullif(F.trim(F.coalesce(F.col(series_type), F.lit(""))), F.lit("")),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from bookloom.functions import text
+from bookloom.functions import text, values
 from bookloom.operators import identity
 from bookloom.operators.common import best, settle
 
@@ -34,12 +34,6 @@ def _common_length(a: str, b: str) -> int:
     return len(a) - bin(open_).count("1")
 
 
-def _similarity(a: str, b: str) -> float:
-    """Insert/delete similarity in percent."""
-    total = len(a) + len(b)
-    return 100.0 if total == 0 else 200.0 * _common_length(a, b) / total
-
-
 def token_set_score(a: str, b: str) -> float:
     """Best of comparing shared words with each side and both sides with each other;
     100 when one side's words contain the other's."""
@@ -74,11 +68,19 @@ def sequence_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+def _plain(c: str) -> Column:
+    """Distinct words in order: the text that the author score compares."""
+    return F.array_join(F.array_sort(F.array_distinct(text.words(F.col(c)))), " ")
+
+
 def _pairs(c: str) -> Column:
-    """Distinct two-character pieces of the sorted words."""
-    plain = F.array_join(F.array_sort(F.array_distinct(text.words(F.col(c)))), " ")
-    return F.when(F.length(plain) > 1, F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.length(plain) - 1), lambda i: F.substring(plain, i, 2)))).otherwise(F.array(plain))
+    """Two-character pieces of the plain text, each with how often it came before."""
+    def numbered_pieces(p: Column) -> Column:
+        return F.transform(p, lambda x, i: F.concat(x, F.size(F.filter(F.slice(p, 1, i), lambda y: y == x)).cast("string")))
+    plain = _plain(c)
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length(plain) - 1, F.lit(1))),
+                         lambda i: F.substring(plain, i, 2))
+    return F.get(F.transform(F.array(pieces), numbered_pieces), 0)
 
 
 def _by_words(asked: DataFrame, known: DataFrame) -> DataFrame:
@@ -89,22 +91,34 @@ def _by_words(asked: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _by_pieces(asked: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs that could reach the author score without sharing a word.
-
-    Such a pair shares a third of its characters in order, so the edits that separate
-    it leave at least |pieces| - 2/3 length common pieces on the longer side; a pair
-    must then meet on one of each side's rarest pieces (prefix filter)."""
+    """Pairs that can reach the author score without sharing a word.
+
+    Such texts, n and m characters long, differ by d <= (n + m) / 5 inserted or deleted
+    characters; the (n + m - d) / 2 kept ones lie in d + 1 stretches at most, so at least
+    (n + m - d) / 2 - d - 1 two-character pieces survive in both.  For every m in reach of
+    n that is max(1, (n - 1) // 3), but for n, m = 2, 3, where it can be none.  So a pair
+    meets on one of the rarest pieces of each side, all but that many of its pieces
+    (prefix filter), and texts of two characters meet those of three by what is left of
+    these without one character."""
     a = asked.select("asked", F.explode(_pairs("asked")).alias("p"))
     k = known.select("known", F.explode(_pairs("known")).alias("p"))
     counts = a.select("p").unionByName(k.select("p")).groupBy("p").agg(F.count("*").alias("c"))
 
     def rare(df, name):
         ranked = df.join(counts, "p").groupBy(name).agg(F.array_sort(F.collect_list(F.struct("c", "p"))).alias("ps"))
-        length = F.length(F.array_join(F.array_sort(F.array_distinct(text.words(F.col(name)))), " "))
-        need = F.greatest(F.size("ps") - F.floor(length * 2 / 3), F.lit(1)).cast("int")
-        return ranked.select(name, F.explode(F.slice("ps", 1, F.size("ps") - need + 1)["p"]).alias("p"))
+        need = F.greatest(F.floor((F.length(_plain(name)) - 1) / 3), F.lit(1)).cast("int")
+        head = F.greatest(F.size("ps") - need + 1, F.lit(1))
+        return ranked.select(name, F.explode(F.slice("ps", 1, head)["p"]).alias("p"))
     close = F.length("asked").between(F.length("known") * 2 / 3 - 1, F.length("known") * 3 / 2 + 1)
-    return rare(a, "asked").join(rare(k, "known"), "p").filter(close).select("asked", "known").distinct()
+    pieces = rare(a, "asked").join(rare(k, "known"), "p").filter(close).select("asked", "known")
+
+    def short(df, name):
+        t = _plain(name)
+        less = F.array(*[F.concat(F.substring(t, 1, i - 1), F.substring(t, i + 1, 3 - i)) for i in (1, 2, 3)])
+        forms = F.when(F.length(t) == 2, F.array(t)).when(F.length(t) == 3, F.array_distinct(less))
+        return df.select(name, F.length(t).alias(f"n_{name}"), F.explode(forms).alias("p"))
+    tiny = short(asked, "asked").join(short(known, "known"), "p").filter("n_asked <> n_known")
+    return pieces.unionByName(tiny.select("asked", "known")).distinct()
 
 
 def author_matches(asked: DataFrame, known: DataFrame) -> DataFrame:
@@ -143,15 +157,20 @@ def export_match(export: DataFrame, library: DataFrame, order: str) -> DataFrame
 
 
 def log_from_export(export: DataFrame, library: DataFrame, matches: DataFrame) -> DataFrame:
-    """Reading-log rows of the matched exports marked as read."""
+    """Reading-log rows of the matched exports marked as read.  Sort by `read_order`
+    (newest first, undated last, then by row) when writing them."""
     good = matches.filter((F.col("score") >= READ_SCORE) & F.col("lib_id").isNotNull())
     read = export.filter(F.col("read_status") == "read").select(
         "row_id", F.col("date_text").alias("Last Date Read"), F.col("stars").alias("My Rating"))
-    facts = library.select("lib_id", "title", F.col("author").alias("authors"), "genre",
-                           "series_type", F.col("tags").alias("my_tags"))
+    facts = library.select("lib_id", "title", F.col("author").alias("authors"), "genre", "series_type",
+                           F.col("tags").alias("my_tags"), F.col("more_tags").alias("goodreads_shelves"))
     return good.join(read, "row_id").join(facts, "lib_id").drop("lib_id", "score")
 
 
+def read_order() -> list[Column]:
+    return [values.parse_date(F.col("Last Date Read")).desc_nulls_last(), F.col("row_id")]
+
+
 def near_misses(log: DataFrame, items: DataFrame) -> DataFrame:
     """Unresolved log rows as near miss or orphan: (log_id, kind, item_key, distance).
 

@@ -11,7 +11,7 @@ from testbed import duck
 from testbed.registry import query
 
 _EXPORT = """SELECT log_id AS row_id, title, author, date_text, rating_text AS stars, CASE WHEN length(log_id) % 7 = 0 THEN 'to-read' ELSE 'read' END AS read_status FROM log"""
-_SHELF = """SELECT pk AS lib_id, title, author, primary_genre AS genre, series_status AS series_type, 'owned' AS tags FROM items"""
+_SHELF = """SELECT pk AS lib_id, title, author, primary_genre AS genre, series_status AS series_type, 'owned' AS tags, series_role AS more_tags FROM items"""
 
 
 @query("d06_fuzzy_join")
@@ -60,8 +60,8 @@ n AS (SELECT *, row_number() OVER (PARTITION BY reader_id, island ORDER BY seq)
 SELECT reader_id, seq, value AS run_value, n FROM n WHERE n >= 3""")
 def x01(v):
     stream = _stream(v, v.feedback.select("reader_id", "seq", "type", "vector", "genre"), "events-in")
-    return drained(v, runs.live_probes(stream), "probes",
-                   **{"spark.sql.streaming.stateStore.providerClass": runs.STATE_PROVIDER})
+    return drained(v, runs.live_probes(stream), "probes", **{
+        "spark.sql.streaming.stateStore.providerClass": runs.STATE_PROVIDER}).filter("not late").drop("late")
 
 
 _LIVE = """SELECT reader_id, seq, ts, title, author, type AS status FROM feedback"""

@@ -61,20 +61,18 @@ def weak_links(links: DataFrame, items: DataFrame, tags: DataFrame, vectors: Dat
 
 
 def misaligned_entries(items: DataFrame) -> DataFrame:
-    """(item_key, reason) of entry points whose role or position says otherwise."""
+    """(item_key, reason) of entry points whose role or position says otherwise.  Reasons:
+    ``role:<role>`` (a later one), ``role:<role>/book:<n>`` (an opening one past book one),
+    ``prequel``, ``book:<n>`` (below one, or past one where no role is set)."""
     role, prequel = F.col("series_role"), F.lower(F.coalesce("series_position", F.lit(""))).contains("prequel")
 
     def reasons(n):
         shown = series.plain_number(n)
-        by_role = (F.when(role.isin(LATER_ROLES), "(mid-series — not a sensible entry)")
-                   .when(role.isin(OPENING_ROLES) & (n > 1), F.concat(
-                       F.lit("but series_position parses to Book "), shown)))
-        by_position = (F.when(prequel, "series_position contains 'prequel'")
-                       .when((n > 0) & (n < 1), F.concat(F.lit("series_position parses to Book "), shown,
-                                                         F.lit(" (sub-1, likely prequel)")))
-                       .when(role.isNull() & (n > 1), F.concat(
-                           F.lit("series_role unset and series_position parses to Book "), shown)))
-        return F.concat_ws("; ", F.concat(F.lit("series_role='"), role, F.lit("' "), by_role), by_position)
+        by_role = (F.when(role.isin(LATER_ROLES), F.concat(F.lit("role:"), role))
+                   .when(role.isin(OPENING_ROLES) & (n > 1), F.concat(F.lit("role:"), role, F.lit("/book:"), shown)))
+        by_position = (F.when(prequel, "prequel")
+                       .when(((n > 0) & (n < 1)) | (role.isNull() & (n > 1)), F.concat(F.lit("book:"), shown)))
+        return F.concat_ws("; ", by_role, by_position)
     number = F.array(series.book_number("series_position"))
     found = F.filter(F.transform(number, reasons), lambda r: r != "")
     return items.filter("author_entry_point").select("item_key", F.explode(found).alias("reason"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookloom.functions import series, text, values
-from bookloom.operators import identity
+from bookloom.operators import filters, identity
 from bookloom.operators.common import best, settle, top_rows
 
 # Thresholds of the catalogue rules.
@@ -55,19 +55,53 @@ def refreshed_by_field(synced: DataFrame) -> DataFrame:
 def apply_records(items: DataFrame, records: DataFrame) -> DataFrame:
     """Overlay extracted records (item_key, fields map): a field present in the map wins,
     even when null; CSV-owned fields never change; the status follows the confidence
-    when the record names none."""
+    when the record names none.  A value that is not of its column's type changes nothing
+    and its field is named in `rejected`."""
     over = records.select("item_key", F.col("fields").alias("_f"))
     kinds = dict(items.dtypes)
     fixed = set(PINNED) | {"item_key", "pk", "status"}
 
+    def bad(c):
+        return F.col("_f")[c].isNotNull() & F.col("_f")[c].try_cast(kinds[c]).isNull()
+
     def patched(c):
-        return F.when(F.map_contains_key("_f", F.lit(c)), F.col("_f")[c].cast(kinds[c])).otherwise(F.col(c))
+        return F.when(F.map_contains_key("_f", F.lit(c)) & ~bad(c), F.col("_f")[c].try_cast(kinds[c])).otherwise(F.col(c))
+    open_fields = [c for c in items.columns if c not in fixed]
+    rejected = F.coalesce(F.array_compact(F.array(*[F.when(bad(c), F.lit(c)) for c in open_fields])), F.array().cast("array<string>"))
     status = (F.when(F.col("_f").isNull(), F.col("status"))
               .when(F.map_contains_key("_f", F.lit("status")), F.col("_f")["status"])
               .when(F.col("_f")["confidence"] == "Low", "needs_review").otherwise("complete"))
     return items.join(over, "item_key", "left").select(
         *[status.alias(c) if c == "status" else F.col(c) if c in fixed else patched(c).alias(c)
-          for c in items.columns])
+          for c in items.columns], rejected.alias("rejected"))
+
+
+def reply_fields(values_: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_key, fields): the scalar members of each reply's objects (raw_key, value
+    variant), under the catalogue key that the raw key or else its title leads to; of
+    several replies for one item, the one of the greatest doc_id counts."""
+    named = values_.withColumn("title", F.coalesce(text.key_title("raw_key"), F.col("raw_key")))
+    known = identity.upsert_keys(named, items).filter("canonical_key is not null")
+    members = F.try_variant_get("value", "$", "map<string, variant>")
+    plain = F.map_filter(members, lambda k, v: ~F.startswith(F.schema_of_variant(v), F.lit("ARRAY"))
+                         & ~F.startswith(F.schema_of_variant(v), F.lit("OBJECT")))
+    fields = F.transform_values(plain, lambda k, v: F.try_variant_get(v, "$", "string"))
+    rows = known.withColumn("fields", fields).filter("fields is not null")
+    return rows.groupBy(F.col("canonical_key").alias("item_key")).agg(
+        F.max_by("fields", F.struct("doc_id", "raw_key")).alias("fields"))
+
+
+def reply_tags(values_: DataFrame, items: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(item_key, child, pos, tag): themes and signals of the replies' objects that the
+    closed lists hold, keyed as in reply_fields."""
+    named = values_.withColumn("title", F.coalesce(text.key_title("raw_key"), F.col("raw_key")))
+    known = identity.upsert_keys(named, items).filter("canonical_key is not null")
+    paths = {"theme": "$.themes", "positive": "$.taste_signals.positive", "negative": "$.taste_signals.negative"}
+    lists = F.explode(F.array(*[F.struct(F.lit(c).alias("child"), F.try_variant_get("value", p, "array<string>").alias("tags"))
+                                for c, p in paths.items()]))
+    each = known.select(F.col("canonical_key").alias("item_key"), lists.alias("l")).select(
+        "item_key", "l.child", F.posexplode("l.tags").alias("pos", "tag"))
+    return filters.closed_vocabulary(each, vocabulary)
 
 
 def flag_gates(items: DataFrame, current_year: int) -> DataFrame:
@@ -303,9 +337,8 @@ def distribution(items: DataFrame) -> DataFrame:
     """Per genre: counts, and the share of all indie and classic books it holds."""
     by = items.groupBy(F.coalesce(F.nullif("primary_genre", F.lit("")), F.lit("Unknown")).alias("genre")).agg(
         F.count("*").alias("total"), F.count_if("indie").alias("indie"), F.count_if("classic").alias("classic"))
-    # One row per genre by now: the window runs over that handful of rows.
-    every = Window.partitionBy(F.lit(1))
-    out = by.withColumns({"_i": F.sum("indie").over(every), "_c": F.sum("classic").over(every)})
+    # One row of totals beside every genre.
+    out = by.crossJoin(F.broadcast(by.agg(F.sum("indie").alias("_i"), F.sum("classic").alias("_c"))))
     for tag, total in (("indie", "_i"), ("classic", "_c")):
         share = F.col(tag) / F.nullif(F.col(total), F.lit(0))
         out = out.withColumns({f"{tag}_share": F.bround(share, 2),

@@ -146,14 +146,15 @@ def indie_audit_candidates(items: DataFrame, floor: int = 0, ceiling: int = 15_0
 
 
 def warnings(candidates: DataFrame, notes: DataFrame, items: DataFrame) -> DataFrame:
-    """(reader_id, item_key, n, warning): page caps exceeded and avoided tags carried.
-    Notes never remove a candidate."""
+    """(reader_id, item_key, n, warning): page caps exceeded (``pages:700>500``) and avoided
+    tags carried (``avoids:indie``), each with the note's own words after a blank.  Notes
+    never remove a candidate."""
     facts = candidates.join(items.select("item_key", "pages", "indie", "classic"), "item_key")
     carried = ((F.col("tag") == "indie") & F.col("indie")) | ((F.col("tag") == "classic") & F.col("classic"))
     message = (F.when((F.col("kind") == "page_cap") & (F.col("pages") > F.col("page_limit")),
-                      F.concat(F.lit("page count "), F.col("pages").cast("string"),
-                               F.lit(" exceeds preference ("), "raw", F.lit(")")))
-               .when((F.col("kind") == "avoid") & carried, F.concat(F.lit("reader noted: "), "raw")))
+                      F.concat(F.lit("pages:"), F.col("pages").cast("string"), F.lit(">"),
+                               F.col("page_limit").cast("string"), F.lit(" "), "raw"))
+               .when((F.col("kind") == "avoid") & carried, F.concat(F.lit("avoids:"), "tag", F.lit(" "), "raw")))
     return (facts.join(notes, "reader_id").withColumn("warning", message)
             .filter(F.col("warning").isNotNull()).select("reader_id", "item_key", "n", "warning"))
 

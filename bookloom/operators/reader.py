@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookloom.functions import text, values
-from bookloom.operators.common import half_even, positive_tags, settle
+from bookloom.operators.common import half_even, positive_tags, settle, top_rows
 
 # Thresholds of the reader signals.
 LIKED = 4.0
@@ -198,6 +198,18 @@ def anchor_strength(wanted: DataFrame, wanted_tags: DataFrame, groups: DataFrame
         F.least(F.sum("weight"), F.lit(ANCHOR_CAP)).alias("strength"))
 
 
+def matched_anchors(wanted: DataFrame, wanted_tags: DataFrame, anchor_tags: DataFrame, items: DataFrame,
+                    limit: int = 5) -> DataFrame:
+    """(reader_id, item_key, place, anchor, title, weight): the heaviest anchors that share
+    a tag with each wanted item."""
+    hits = (wanted.select("reader_id", "item_key").join(wanted_tags, "item_key")
+            .join(anchor_tags.withColumnRenamed("item_key", "anchor"), ["reader_id", "kind", "tag"])
+            .groupBy("reader_id", "item_key", "anchor").agg(F.max("weight").alias("weight")))
+    top = top_rows(hits, ["reader_id", "item_key"], [F.desc(F.round("weight", 9)), F.col("anchor")], limit)
+    return top.join(items.select(F.col("item_key").alias("anchor"), "title"), "anchor").select(
+        "reader_id", "item_key", F.col("_rn").alias("place"), "anchor", "title", "weight")
+
+
 def favourite_pools(log: DataFrame) -> DataFrame:
     """(reader_id, pool, title_norm, author_norm): five-star authors, favourite authors
     and favourite titles, under the older normaliser."""
@@ -267,28 +279,19 @@ def shared_attributes(keys: DataFrame, items: DataFrame, tags: DataFrame) -> Dat
 
 
 def probes(events: DataFrame, items: DataFrame, tags: DataFrame) -> DataFrame:
-    """A question for each reader whose tail run of rejections is long enough."""
+    """What to ask each reader whose tail run of rejections is long enough: the run, what
+    all its items share, and `ask`: ``shared`` if they share anything, else ``run``."""
     rows = rejection_rows(events)
     runs = rejection_runs(events)
     live = rows.join(runs.select("reader_id"), "reader_id", "left_semi")
     shared = shared_attributes(live, items, tags)
     empty = F.array().cast("array<string>")
-
-    def two(c):
-        head = F.slice(F.coalesce(c, empty), 1, 2)
-        return F.when(F.size(head) > 0, F.array_join(head, ", "))
-    parts = F.array_compact(F.array(
-        two("signals"), F.when(F.col("page_range").isNotNull(), F.concat("page_range", F.lit(" pages"))),
-        two("themes")))
-    question = F.when(F.size(parts) > 0, F.concat(
-        F.lit("the rejections share "), F.array_join(parts, " and "), F.lit(" — is the issue the "),
-        "run_kind", F.lit(" match itself or something else?"))).otherwise(F.concat(
-            F.lit("three rejections in a row in "), "run_value", F.lit(" — what's not landing?")))
+    some = (F.size(F.coalesce("signals", empty)) > 0) | (F.size(F.coalesce("themes", empty)) > 0) | F.col("page_range").isNotNull()
     return (runs.join(shared, "reader_id", "left")
             .select("reader_id", "run_kind", "run_value", "n", "page_range",
                     F.array_join(F.coalesce("signals", empty), "|").alias("signals"),
                     F.array_join(F.coalesce("themes", empty), "|").alias("themes"),
-                    question.alias("question")))
+                    F.when(some, "shared").otherwise("run").alias("ask")))
 
 
 def lock_ledger(events: DataFrame, notes: DataFrame | None = None) -> DataFrame:
@@ -303,10 +306,6 @@ def lock_ledger(events: DataFrame, notes: DataFrame | None = None) -> DataFrame:
             .filter((F.col("defended") > 0) | F.col("session_lock")))
 
 
-def hard_locks(locks: DataFrame) -> DataFrame:
-    return locks.filter((F.col("defended") >= 2) | F.col("session_lock")).select("reader_id", "item_key")
-
-
 def rejection_counts(ledger: DataFrame) -> DataFrame:
     """(reader_id, title_norm, author_norm, n, penalty)."""
     n = ledger.groupBy("reader_id", "title_norm", "author_norm").agg(

@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 
 from bookloom.functions import values
 from bookloom.operators import filters, identity, reader, series
-from bookloom.operators.common import half_even, positive_tags, settle, top_rows
+from bookloom.operators.common import positive_tags, settle, top_rows
 
 # Score and slot constants.
 RATING_PIVOT = 4.1
 RATING_CLAMP = 1.0
-TIE_GAP = 0.15
+TIE_GAP = 150  # thousandths
 QUOTA = {"balanced": 0.20, "broad": 0.375}
 APPETITE_MODE = {"high": "broad", "moderate": "balanced", "low": "similar"}
 FOCUS_WEIGHT, LEAN_FACTOR = 6.0, 2.0
@@ -35,11 +35,23 @@ def rating_term(effective: Column) -> Column:
                       F.lit(0.0))
 
 
+def link_bonus(links: Column) -> Column:
+    return F.least(F.coalesce(links, F.lit(0)), F.lit(reader.LINK_CAP)) * reader.LINK_WEIGHT
+
+
+def rounded_sum(*parts: Column) -> Column:
+    """Sum to thousandths, halves to even.  The parts are added as decimals of nine places,
+    so that binary noise decides no tie."""
+    total = sum((F.coalesce(p, F.lit(0.0)).cast("decimal(18,9)") for p in parts), F.lit(0).cast("decimal(18,9)"))
+    return F.bround(total, 3).cast("double")
+
+
 def score(effective: Column, strength: Column, links: Column) -> Column:
-    bonus = F.least(F.coalesce(links, F.lit(0)), F.lit(reader.LINK_CAP)) * reader.LINK_WEIGHT
-    total = rating_term(effective) + F.coalesce(strength, F.lit(0.0)) + bonus
-    # Nine digits first: sums of decimals carry noise that would decide a tie.
-    return half_even(F.round(total, 9), 3)
+    return rounded_sum(rating_term(effective), strength, link_bonus(links))
+
+
+def thousandths(c: Column) -> Column:
+    return F.round(c * 1000, 0).cast("bigint")
 
 
 def score_items(pairs: DataFrame, items: DataFrame, strength: DataFrame, links: DataFrame) -> DataFrame:
@@ -57,7 +69,7 @@ def tie_chunks(rows: DataFrame, keys: list[str]) -> DataFrame:
     a few thousand distinct scores per group, never over the rows themselves."""
     per = Window.partitionBy(*keys).orderBy(F.desc("score"))
     steps = rows.select(*keys, "score").distinct()
-    drop = half_even(F.lag("score").over(per) - F.col("score"), 3) > TIE_GAP
+    drop = F.lag(thousandths(F.col("score"))).over(per) - thousandths(F.col("score")) > TIE_GAP
     steps = steps.withColumn("opens", F.coalesce(drop, F.lit(False)).cast("int"))
     return steps.withColumn("chunk", F.sum("opens").over(
         per.rowsBetween(Window.unboundedPreceding, 0))).drop("opens")
@@ -199,10 +211,6 @@ def fill(ranked: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return chosen.select("reader_id", place.cast("bigint").alias("place"), "item_key", "stratum", "score")
 
 
-def thousandths(c: Column) -> Column:
-    return F.round(c * 1000, 0).cast("bigint")
-
-
 class Recommender:
     """Inputs of one run, with the tables several steps share written once."""
 
@@ -233,7 +241,7 @@ class Recommender:
         self.quality = settle(
             facts.join(profiles, "item_key", "left")
             .select("item_key", "profile", "title", "indie", "classic", "primary_genre", "secondary_genre",
-                    term.alias("term"), half_even(term, 3).alias("base"),
+                    term.alias("term"), rounded_sum(term).alias("base"),
                     filters.open_entry().alias("open_entry")), "quality-items")
 
     # -- reader facts
@@ -269,10 +277,9 @@ class Recommender:
         offered = (touching.join(self.excluded, keys, "left_anti")
                    .join(known.withColumn("known", F.lit(True)), keys, "left")
                    .filter(F.col("open_entry") | F.coalesce("known", F.lit(False))))
-        links = F.least(F.coalesce("links", F.lit(0)), F.lit(reader.LINK_CAP)) * reader.LINK_WEIGHT
         pool = settle(offered.join(strength, ["reader_id", "profile"], "left").join(liked_links, keys, "left")
-                      .select("reader_id", "profile", "item_key", half_even(
-                          F.col("term") + F.coalesce("strength", F.lit(0.0)) + links, 3).alias("score")), "pool")
+                      .select("reader_id", "profile", "item_key", rounded_sum(
+                          F.col("term"), F.col("strength"), link_bonus(F.col("links"))).alias("score")), "pool")
         placed = self._place(pool, overlap, under, risk)
         wide = self.modes.filter(F.col("mode").isin("balanced", "broad")).select("reader_id")
         explicit, implicit = self._forced(wide, touching, known, liked_links)
@@ -322,8 +329,8 @@ class Recommender:
                      F.lit(True).alias("known"))))
         named = (named.filter(F.col("open_entry") | F.coalesce("known", F.lit(False)))
                  .join(touching.select(*keys), keys, "left_anti").join(self.excluded, keys, "left_anti"))
-        bonus = F.least(F.col("links"), F.lit(reader.LINK_CAP)) * reader.LINK_WEIGHT
-        explicit = settle(named.select(*keys, half_even(F.col("term") + bonus, 3).alias("score")), "forced-named")
+        explicit = settle(named.select(*keys, rounded_sum(F.col("term"), link_bonus(F.col("links"))).alias("score")),
+                          "forced-named")
         # Open items that are not implicit for the reader: near, excluded, or liked links.
         out = touching.filter("open_entry").select(*keys).unionByName(
             self.excluded.join(facts.filter("open_entry"), "item_key").select(*keys)).unionByName(

@@ -17,7 +17,7 @@ audio_preference: boolean>, taste_vectors array<struct<name: string, weight: dou
 status: string, canonical_signals: array<string>, themes: array<string>,
 example_titles: array<string>>>, events array<struct<type: string, key: string, vector: string,
 genre: string, title: string, ts: string>>, session_notes array<struct<kind: string, key: string,
-title: string>>, negative_signals array<struct<kind: string, canonical: string>>"""
+title: string>>, negative_signals array<struct<kind: string, canonical: string>>, _bad string"""
 
 # Record validators.
 ROLES = ["standalone", "first", "mid", "late", "loose-entry", "loose-mid"]
@@ -29,8 +29,10 @@ def _allowed(c: str, options: list[str], default: str) -> Column:
 
 
 def reader_state(raw: DataFrame, body: str = "state") -> DataFrame:
-    """Parse state JSON, fill defaults and lift version 1 to version 2."""
-    s = raw.withColumn("s", F.from_json(body, STATE_TYPE))
+    """Parse state JSON, fill defaults and lift version 1 to version 2.  `bad_state` marks
+    text that is no JSON object or holds a value of the wrong type: its defaults are not
+    the reader's."""
+    s = raw.withColumn("s", F.from_json(body, STATE_TYPE, {"columnNameOfCorruptRecord": "_bad"}))
     audio = (F.coalesce("s.preferences.audio_flagged", F.lit(False))
              | F.coalesce("s.preferences.audio_preference", F.lit(False)))
 
@@ -52,6 +54,7 @@ def reader_state(raw: DataFrame, body: str = "state") -> DataFrame:
         F.coalesce("s.preferences.curiosity_targets", F.array().cast("array<string>"))
         .alias("curiosity_targets"),
         audio.alias("audio_flagged"), audio.alias("audio_preference"),
+        (F.col("s").isNull() | F.col("s._bad").isNotNull()).alias("bad_state"),
         *[or_empty(f"s.{c}", types[c]) for c in ("taste_vectors", "events", "session_notes",
                                                  "negative_signals")])
 
@@ -135,7 +138,7 @@ def valid_ids(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
         "value", "$", "string"))).drop("value")
     known = vocabulary.select(F.col("tag").alias("canonical_id")).distinct().withColumn("_known", F.lit(True))
     return named.join(known, "canonical_id", "left").withColumn(
-        "canonical_id", F.when("_known", F.col("canonical_id"))).drop("_known")
+        "canonical_id", F.when(F.col("_known"), F.col("canonical_id"))).drop("_known")
 
 
 def valid_lists(rows: DataFrame) -> DataFrame:

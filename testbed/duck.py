@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bookloom.functions.series import NOT_A_SUBSERIES
+
+# Typographic characters and their plain forms.
 _FROM = "‘’‚‛“”„‟–—−​‌‍﻿"
 _TO = "''''\"\"\"\"---"
 _NAME = r"([^\s,(&;/]+(?:\s+[^\s,(&;/]+)?)"
@@ -55,6 +58,7 @@ def short(e: str) -> str:
 
 def fold(e: str) -> str:
     """Word-wise suffix fold; the first rule that fits wins."""
+    # British suffix, American suffix, shortest word.
     rules = [("isations", "izations", 9), ("isation", "ization", 8), ("ising", "izing", 7),
              ("ised", "ized", 6), ("ise", "ize", 6), ("ours", "ors", 6), ("our", "or", 5)]
     arms = " ".join(f"WHEN length(w) >= {n} AND suffix(w, '{a}') "
@@ -118,6 +122,15 @@ def bucket(day: str, today: str) -> str:
             f"WHEN {age} <= 1095 THEN '12-36mo' ELSE '3+yrs' END)")
 
 
+def rounded_sum(*parts: str) -> str:
+    """Sum to thousandths, halves to even, counted in whole billionths."""
+    n = "(" + " + ".join(f"CAST(round(coalesce({p}, 0) * 1e9) AS BIGINT)" for p in parts) + ")"
+    low = f"CAST(floor({n} / 1e6) AS BIGINT)"
+    rest = f"({n} - {low} * 1000000)"
+    up = f"CASE WHEN {rest} > 500000 OR ({rest} = 500000 AND {low} % 2 <> 0) THEN 1 ELSE 0 END"
+    return f"(({low} + {up}) / 1000.0e0)"
+
+
 def hash01(*parts: str) -> str:
     text = " || '|' || ".join(parts)
     return f"(CAST(('0x' || substr(md5({text}), 1, 8))::UBIGINT AS DOUBLE) / 4294967296.0)"
@@ -177,6 +190,7 @@ def _horner(cs, x):
 
 
 def ppf(p: str) -> str:
+    # Coefficients of the inverse normal approximation.
     a = [-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02,
          1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00]
     b = [-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02,
@@ -198,17 +212,12 @@ def pdf(x: str) -> str:
 
 
 def sub_inner(e: str) -> str:
-    skip = ("overall|publication order|collects|novella|novelette|omnibus|anthology|standalone|"
-            "prequel|sequel|companion|short story|finale|chronological|translated|translation|"
-            "audio original|ebook|middle grade|final adult|spin-off|side-story|or standalone|"
-            "set after|between|late-career|pre-series|unpublished|set in|in english|collection|"
-            "bridge novella|plus anthology|part of interconnected|novellas|phase 1|phase ii|"
-            "rogue one prequel|in publication order|in chronological|within universe|short novel|"
-            "secret project|or \\.")
+    skip = "|".join(NOT_A_SUBSERIES).replace(".", "\\.")
     inner = f"trim(regexp_extract(coalesce({e}, ''), '\\(([^)]+)\\)', 1))"
     return f"(CASE WHEN {inner} <> '' AND NOT regexp_matches(lower({inner}), '{skip}') THEN {inner} END)"
 
 
+# The accepted sub-series spellings, in the order they are tried.
 SUB_FORMS = [
     (r"(?i)^Book\s+([\d.]+)\s+in\s+(.+?)(?:\s+subseries)?$", 2, 1),
     (r"(?i)^(.+?),\s+Book\s+([\d.]+)$", 1, 2),

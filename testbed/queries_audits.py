@@ -9,7 +9,7 @@ from testbed import duck
 from testbed.registry import query
 
 # Catalogue-wide vectors: the tags of each genre's and each noun's items.
-_VOCABULARY = """SELECT DISTINCT 'g-' || i.primary_genre AS vector, t.kind, t.tag FROM good_tags t JOIN items i ON i.item_key = t.item_key AND i.pk % 4 = 0 AND t.tag NOT LIKE 'shared%'
+_VOCABULARY = """SELECT DISTINCT 'g-' || i.primary_genre AS vector, t.kind, t.tag FROM good_tags t JOIN items i ON i.item_key = t.item_key AND t.tag NOT LIKE 'shared%'
 UNION SELECT DISTINCT 'y-' || CAST(i.pk % 5 AS STRING), t.kind, t.tag FROM good_tags t JOIN items i ON i.item_key = t.item_key WHERE t.tag LIKE 'shared%' OR t.tag LIKE 'hot%'"""
 _VECTORS = """SELECT DISTINCT vector, kind, tag FROM vector_members"""
 duck.TABLES["vocab_v"] = _VOCABULARY
@@ -45,10 +45,9 @@ def a03(v):
         "src_key", "dst_key", "action", F.round("rating_sum", 4).alias("rating_sum"))
 
 
-@query("a01_entry_misalignment", f"""SELECT item_key, reason FROM (SELECT item_key, concat_ws('; ', CASE WHEN series_role IN ('mid', 'late', 'loose-mid') THEN 'series_role=''' || series_role || ''' (mid-series — not a sensible entry)'
-    WHEN series_role IN ('first', 'standalone') AND n > 1 THEN 'series_role=''' || series_role || ''' but series_position parses to Book ' || ns END,
-  CASE WHEN contains(lower(series_position), 'prequel') THEN 'series_position contains ''prequel''' WHEN n > 0 AND n < 1 THEN 'series_position parses to Book ' || ns || ' (sub-1, likely prequel)'
-    WHEN series_role IS NULL AND n > 1 THEN 'series_role unset and series_position parses to Book ' || ns END) AS reason
+@query("a01_entry_misalignment", f"""SELECT item_key, reason FROM (SELECT item_key, concat_ws('; ', CASE WHEN series_role IN ('mid', 'late', 'loose-mid') THEN 'role:' || series_role
+    WHEN series_role IN ('first', 'standalone') AND n > 1 THEN 'role:' || series_role || '/book:' || ns END,
+  CASE WHEN contains(lower(series_position), 'prequel') THEN 'prequel' WHEN (n > 0 AND n < 1) OR (series_role IS NULL AND n > 1) THEN 'book:' || ns END) AS reason
   FROM (SELECT *, CASE WHEN n = floor(n) THEN CAST(CAST(n AS BIGINT) AS VARCHAR) ELSE CAST(n AS VARCHAR) END AS ns FROM (SELECT *, {duck.book_number('series_position')} AS n FROM items WHERE author_entry_point))) WHERE reason <> ''""")
 def a01(v):
     return audits.misaligned_entries(v.items)
@@ -61,11 +60,10 @@ def a02(v):
     return audits.year_regressions(v.items)
 
 
-@query("g26_zero_entry_authors", """SELECT an AS author_norm, count(*) AS n_books, coalesce(string_agg(DISTINCT series_role, ', ' ORDER BY series_role), '') AS roles, arg_min(author, item_key) AS author FROM items_n WHERE series IS NOT NULL AND pk % 4 <> 0
-GROUP BY 1 HAVING count(*) >= 3 AND NOT bool_or(coalesce(series_role IN ('standalone', 'first', 'loose-entry', 'entry-point'), false))""")
+@query("g26_zero_entry_authors", """SELECT an AS author_norm, count(*) AS n_books, coalesce(string_agg(DISTINCT series_role, ', ' ORDER BY series_role), '') AS roles, arg_min(author, item_key) AS author FROM items_n
+GROUP BY 1 HAVING count(*) >= 3 AND NOT bool_or(coalesce(author_entry_point, false) OR coalesce(series_role IN ('standalone', 'first', 'loose-entry', 'entry-point'), false))""")
 def g26(v):
-    """Series books that carry no entry flag, as in a catalogue audited late."""
-    return audits.zero_entry_authors(v.items.filter("series is not null and pk % 4 <> 0"))
+    return audits.zero_entry_authors(v.items)
 
 
 @query("g28_reconcile_picks", """SELECT p.reader_id, p.tn AS title_norm, p.an AS author_norm, CASE WHEN i.item_key IS NOT NULL THEN 'key_valid' WHEN p.direct IS NOT NULL THEN 'key_unknown'

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from bookloom.functions import text
 from bookloom.operators import audits, catalogue, identity
 from bookloom.operators.common import positive_tags, settle
+from bookloom.sources import records
 from testbed import duck
 from testbed.queries_scalar import LIBRARY, _REWRITE
 from testbed.registry import query
@@ -38,7 +39,12 @@ def m01(v):
     return synced(v).withColumn("changed", F.array_join("changed", "|")).drop("title", "author")
 
 
+# Replies about every second item: scalars of several types, some of the wrong one, and lists.
 _PATCH = """SELECT item_key, pk, CASE WHEN pk % 6 < 2 THEN 'x' || primary_genre END AS g, pk % 6 AS m FROM items WHERE pk % 2 = 0"""
+_ANSWERS = """SELECT pk AS doc_id, 'Here: {"' || CASE WHEN pk % 8 = 0 THEN upper(item_key) ELSE item_key END || '": {' || CASE pk % 6
+  WHEN 0 THEN '"primary_genre": "x' || primary_genre || '", "pages": 1, "indie": "maybe"' WHEN 2 THEN '"primary_genre": null, "confidence": "Low", "classic": true'
+  ELSE '"status": "pending", "indie": false, "classic": [1]' END || ', "themes": ["shared-1", "no such", "shared-' || CAST(pk % 11 AS STRING) || '"], "taste_signals": {"positive": ["red-1", "odd"], "negative": []}}} end' AS text
+FROM items WHERE pk % 2 = 0 AND item_key NOT LIKE '%]'"""
 
 
 @query("m02_apply_records", f"""SELECT i.item_key, CASE WHEN p.m IN (0, 2) THEN p.g ELSE i.primary_genre END AS primary_genre, i.pages,
@@ -53,6 +59,22 @@ def m02(v):
         "item_key", "primary_genre", "pages", "status", "confidence")
 
 
+@query("m02_reply_to_items", f"""SELECT i.item_key, CASE p.pk % 6 WHEN 0 THEN 'x' || i.primary_genre WHEN 2 THEN NULL ELSE i.primary_genre END AS primary_genre, i.pages,
+  CASE WHEN p.pk % 6 = 4 THEN false ELSE i.indie END AS indie, CASE WHEN p.pk % 6 = 2 THEN true ELSE i.classic END AS classic,
+  CASE WHEN p.pk IS NULL THEN i.status WHEN p.pk % 6 = 4 THEN 'pending' WHEN p.pk % 6 = 2 THEN 'needs_review' ELSE 'complete' END AS status,
+  CASE WHEN p.pk % 6 = 0 THEN 'indie' ELSE '' END AS rejected, CASE WHEN p.pk IS NULL THEN '' WHEN p.pk % 11 = 1 THEN 'positive:red-1|theme:shared-1' WHEN p.pk % 11 = 0 THEN 'positive:red-1|theme:shared-0|theme:shared-1'
+    ELSE 'positive:red-1|theme:shared-1|theme:shared-' || CAST(p.pk % 11 AS VARCHAR) END AS tags FROM items i LEFT JOIN items p ON p.item_key = i.item_key AND p.pk % 2 = 0 AND p.item_key NOT LIKE '%]'""")
+def m02r(v):
+    """From reply text to patched items: parsing, keys, types and closed lists in one run."""
+    replies = settle(records.response_values(v.sql(_ANSWERS)), "replies")
+    patched = catalogue.apply_records(v.items, catalogue.reply_fields(replies, v.items))
+    tags = catalogue.reply_tags(replies, v.items, v.good_tags).groupBy("item_key").agg(
+        F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "child", "tag"))), "|").alias("tags"))
+    return patched.join(tags, "item_key", "left").select(
+        "item_key", "primary_genre", "pages", "indie", "classic", "status", F.array_join("rejected", "|").alias("rejected"),
+        F.coalesce("tags", F.lit("")).alias("tags"))
+
+
 @query("m03_flag_gates", """WITH a AS (SELECT *, CASE WHEN indie AND reviews > 15000 THEN false ELSE indie END AS i1 FROM items),
 s AS (SELECT series, bool_or(coalesce(i1, false) AND coalesce(series_role IN ('first', 'loose-entry'), false)) AS ind,
   count(*) FILTER (series_role IS NOT NULL AND series_status IS DISTINCT FROM 'Standalone') AS r,
@@ -172,13 +194,17 @@ def m09(v):
     return catalogue.rewrite_positions(v.items)
 
 
-@query("m10_tag_sync", f"""WITH f AS (SELECT {duck.light('item_key')} AS light, arg_max(indie, item_key) AS indie, arg_max(classic, item_key) AS classic, true AS hit FROM items WHERE pk % 5 <> 3 GROUP BY 1),
+# The library with a fifth of its titles unknown to the catalogue.
+_STRAYED = f"SELECT pk, authors, tags, CASE WHEN pk % 5 = 3 THEN 'Lost ' || title ELSE title END AS title FROM ({LIBRARY})"
+
+
+@query("m10_tag_sync", f"""WITH f AS (SELECT {duck.light('item_key')} AS light, arg_max(indie, item_key) AS indie, arg_max(classic, item_key) AS classic, true AS hit FROM items GROUP BY 1),
 r AS (SELECT l.pk, coalesce(l.tags, '') AS tags, f.hit, array_to_string(list_concat(list_filter(list_transform(string_split(coalesce(tags, ''), ','), lambda t: trim(t)), lambda t: t NOT IN ('', 'Indie', 'Classics')),
-  list_concat(CASE WHEN f.indie THEN ['Indie'] ELSE [] END, CASE WHEN f.classic THEN ['Classics'] ELSE [] END)), ', ') AS t2 FROM library l LEFT JOIN f ON f.light = {duck.light("trim(l.title) || ' - ' || trim(l.authors)")})
+  list_concat(CASE WHEN f.indie THEN ['Indie'] ELSE [] END, CASE WHEN f.classic THEN ['Classics'] ELSE [] END)), ', ') AS t2 FROM ({_STRAYED}) l LEFT JOIN f ON f.light = {duck.light("trim(l.title) || ' - ' || trim(l.authors)")})
 SELECT pk, CASE WHEN hit THEN t2 ELSE tags END AS new_tags, CASE WHEN hit IS NULL THEN 'unmatched' WHEN t2 <> tags THEN 'changed' ELSE 'same' END AS outcome FROM r""")
 def m10(v):
-    flags = v.items.filter("pk % 5 <> 3").fillna(False, ["indie", "classic"])
-    return catalogue.sync_tags(v.sql(LIBRARY), flags).select("pk", "new_tags", "outcome")
+    flags = v.items.fillna(False, ["indie", "classic"])
+    return catalogue.sync_tags(v.sql(_STRAYED), flags).select("pk", "new_tags", "outcome")
 
 
 _STORED = """SELECT item_key, title, CASE WHEN pk % 6 = 0 AND pk % 13 <> 0 AND pk % 17 <> 0 THEN split_part(author, ' ', 2) || ', ' || split_part(author, ' ', 1) ELSE author END AS author,

@@ -138,6 +138,15 @@ def g10(v):
     return reader.anchor_strength(listed(v), tags, groups).withColumn("strength", F.round("strength", 4))
 
 
+@query("g10_matched_anchors", f"""WITH h AS (SELECT DISTINCT p.reader_id, p.item_key, a.item_key AS anchor, a.weight FROM list_items p JOIN good_tags t ON t.item_key = p.item_key
+  JOIN anchor_tags a ON a.reader_id = p.reader_id AND a.kind = t.kind AND a.tag = t.tag), r AS (SELECT *, row_number() OVER (PARTITION BY reader_id, item_key ORDER BY round(weight, 9) DESC, anchor) AS place FROM h)
+SELECT r.reader_id, r.item_key, r.place, r.anchor, i.title, round(r.weight, 4) AS weight FROM r JOIN items i ON i.item_key = r.anchor WHERE place <= 5""")
+def g10a(v):
+    """The liked reads behind a strength, heaviest first."""
+    found = reader.matched_anchors(listed(v), reader.positive_tags(v.item_tags), anchor_parts(v)[1], v.items)
+    return found.withColumns({"weight": F.round("weight", 4), "place": F.col("place").cast("bigint")})
+
+
 @query("g11_link_overlap", """SELECT f.reader_id, l.src_key AS item_key, count(*) AS links, least(count(*), 3) * 0.6e0 AS bonus
 FROM item_links l JOIN liked f ON f.item_key = l.dst_key GROUP BY 1, 2""")
 def g11(v):
@@ -179,10 +188,8 @@ def w06(v):
 
 
 @query("t11_probe", """SELECT u.reader_id, u.run_kind, u.run_value, u.n, l.page_range, coalesce(l.signals, '') AS signals, coalesce(l.themes, '') AS themes,
-  CASE WHEN len(parts) > 0 THEN 'the rejections share ' || array_to_string(parts, ' and ') || ' — is the issue the ' || run_kind || ' match itself or something else?'
-  ELSE 'three rejections in a row in ' || run_value || ' — what''s not landing?' END AS question
-FROM runs u LEFT JOIN (SELECT *, list_filter([nullif(array_to_string(string_split(signals, '|')[1:2], ', '), ''), page_range || ' pages',
-  nullif(array_to_string(string_split(themes, '|')[1:2], ', '), '')], lambda p: p IS NOT NULL) AS parts FROM run_lists) l ON l.reader_id = u.reader_id""")
+  CASE WHEN coalesce(l.signals, '') <> '' OR coalesce(l.themes, '') <> '' OR l.page_range IS NOT NULL THEN 'shared' ELSE 'run' END AS ask
+FROM runs u LEFT JOIN run_lists l ON l.reader_id = u.reader_id""")
 def t11(v):
     return reader.probes(v.feedback, v.items, v.item_tags)
 
@@ -282,9 +289,16 @@ def negatives(v):
     return v.vectors.filter("status = 'demoted'").join(v.vector_members, ["reader_id", "vector"])
 
 
-@query("f07_soft_warnings", None)
+_COLD = """SELECT p.reader_id, p.item_key, string_agg(DISTINCT t.tag, '|' ORDER BY t.tag) AS flags FROM list_items p
+JOIN good_tags t ON t.item_key = p.item_key JOIN vectors v ON v.reader_id = p.reader_id AND v.status = 'demoted'
+JOIN vector_members m ON m.reader_id = v.reader_id AND m.vector = v.vector AND m.kind = t.kind AND m.tag = t.tag GROUP BY 1, 2"""
+
+
+@query("f07_soft_warnings", f"""WITH w AS (SELECT b.reader_id, b.item_key, n.n, CASE WHEN n.kind = 'page_cap' AND b.pages > n.page_limit THEN 'pages:' || CAST(b.pages AS VARCHAR) || '>' || CAST(n.page_limit AS VARCHAR) || ' ' || n.raw
+  WHEN n.kind = 'avoid' AND ((n.tag = 'indie' AND b.indie) OR (n.tag = 'classic' AND b.classic)) THEN 'avoids:' || n.tag || ' ' || n.raw END AS warning FROM list_books b JOIN notes_r n ON n.reader_id = b.reader_id),
+a AS (SELECT reader_id, item_key, string_agg(warning, ' / ' ORDER BY n, warning) AS warnings FROM w WHERE warning IS NOT NULL GROUP BY 1, 2), c AS ({_COLD})
+SELECT coalesce(a.reader_id, c.reader_id) AS reader_id, coalesce(a.item_key, c.item_key) AS item_key, warnings, flags FROM a FULL JOIN c ON c.reader_id = a.reader_id AND c.item_key = a.item_key""")
 def f07(v):
-    """No oracle: the text rules are checked by s10, the messages by a unit test."""
     picked = listed(v)
     found = filters.warnings(picked, notes(v), v.items).groupBy("reader_id", "item_key").agg(
         F.array_join(F.array_sort(F.collect_list(F.struct("n", "warning")))["warning"], " / ").alias("warnings"))
@@ -292,9 +306,7 @@ def f07(v):
     return found.join(cold, ["reader_id", "item_key"], "full")
 
 
-@query("f07_negative_flags", """SELECT p.reader_id, p.item_key, string_agg(DISTINCT t.tag, '|' ORDER BY t.tag) AS flags FROM list_items p
-JOIN good_tags t ON t.item_key = p.item_key JOIN vectors v ON v.reader_id = p.reader_id AND v.status = 'demoted'
-JOIN vector_members m ON m.reader_id = v.reader_id AND m.vector = v.vector AND m.kind = t.kind AND m.tag = t.tag GROUP BY 1, 2""")
+@query("f07_negative_flags", _COLD)
 def f07b(v):
     return filters.negative_flags(listed(v), v.item_tags, negatives(v)).withColumn("flags", F.array_join("flags", "|"))
 

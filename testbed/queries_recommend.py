@@ -11,8 +11,7 @@ from testbed.queries_reader import anchor_parts, listed, log, negatives, notes,
 from testbed.registry import TODAY, query
 
 duck.TABLES.update({
-    "pick_scores": """SELECT p.reader_id, p.item_key, round_even(round(coalesce(greatest(-1.0, least(1.0, e.effective - 4.1)), 0) + coalesce(s.strength, 0)
-  + 0.6 * least(coalesce(f.n, 0), 3), 9), 3) AS score FROM list_items p JOIN effective e ON e.item_key = p.item_key
+    "pick_scores": f"""SELECT p.reader_id, p.item_key, {duck.rounded_sum('greatest(-1.0, least(1.0, e.effective - 4.1))', 's.strength', '0.6 * least(coalesce(f.n, 0), 3)')} AS score FROM list_items p JOIN effective e ON e.item_key = p.item_key
 LEFT JOIN pick_strength s ON s.reader_id = p.reader_id AND s.item_key = p.item_key
 LEFT JOIN (SELECT f.reader_id, l.src_key, count(*) AS n FROM item_links l JOIN liked f ON f.item_key = l.dst_key GROUP BY 1, 2) f ON f.reader_id = p.reader_id AND f.src_key = p.item_key""",
     "v_size": "SELECT reader_id, vector, count(*) AS size, CAST(greatest(2, least(ceil(count(*) / 2), 3)) AS BIGINT) AS threshold FROM active_members GROUP BY 1, 2",
@@ -32,7 +31,7 @@ def t02(v):
 
 
 @query("w08_tie_chunks", """SELECT reader_id, item_key, score, CAST(sum(o) OVER (PARTITION BY reader_id ORDER BY score DESC) AS BIGINT) AS chunk FROM (
-  SELECT *, CASE WHEN round_even(lag(score) OVER (PARTITION BY reader_id ORDER BY score DESC) - score, 3) > 0.15 THEN 1 ELSE 0 END AS o FROM pick_scores)""")
+  SELECT *, CASE WHEN CAST(round(lag(score) OVER (PARTITION BY reader_id ORDER BY score DESC) * 1000) AS BIGINT) - CAST(round(score * 1000) AS BIGINT) > 150 THEN 1 ELSE 0 END AS o FROM pick_scores)""")
 def w08(v):
     scored = pick_scores(v)
     return scored.join(recommend.tie_chunks(scored, ["reader_id"]), ["reader_id", "score"]).select(

@@ -188,12 +188,14 @@ def p20(v):
     return v.sql(LIBRARY).select("pk", *[c.alias(n) for n, c in values.csv_owned().items()])
 
 
-@query("p21_normal_curve", f"""SELECT pk, round({duck.ppf('p')}, 6) AS z, round({duck.pdf(duck.ppf('p'))}, 6) AS density
-FROM (SELECT pk, (CAST(pk % 499 AS DOUBLE) + 0.5) / 500 AS p FROM items)""")
+# A book's share of the readers of its series' most read one.
+_SHARE = "SELECT item_key, CAST(reviews AS DOUBLE) / (max(reviews) OVER (PARTITION BY series) + 1) AS p FROM items WHERE series IS NOT NULL"
+
+
+@query("p21_normal_curve", f"""SELECT item_key, round({duck.ppf('p')}, 6) AS z, round({duck.pdf(duck.ppf('p'))}, 6) AS density FROM ({_SHARE})""")
 def p21(v):
-    p = ((F.col("pk") % 499).cast("double") + 0.5) / 500
-    return (v.items.select("pk", values.norm_ppf(p).alias("z"))
-            .select("pk", F.round("z", 6).alias("z"), F.round(values.norm_pdf(F.col("z")), 6).alias("density")))
+    return (v.sql(_SHARE).select("item_key", values.norm_ppf(F.col("p")).alias("z"))
+            .select("item_key", F.round("z", 6).alias("z"), F.round(values.norm_pdf(F.col("z")), 6).alias("density")))
 
 
 _KEPT = "list_filter(list_transform(string_split(coalesce(tags, ''), ','), lambda t: trim(t)), lambda t: t NOT IN ('', 'Indie', 'Classics'))"
@@ -219,7 +221,7 @@ def p23(v):
 
 @query("p24_page_bucket", """SELECT item_key, CASE WHEN coalesce(pages, 0) = 0 THEN NULL WHEN pages <= 350 THEN 'short'
   WHEN pages <= 600 THEN 'medium' ELSE 'long' END AS bucket,
-  CASE WHEN pages / 600.0 >= 0.9 THEN 'strong' WHEN pages / 600.0 >= 0.4 THEN 'medium' ELSE 'weak' END AS verdict FROM items""")
+  CASE WHEN rating - 4.1 >= 0.9 THEN 'strong' WHEN rating - 4.1 >= 0.4 THEN 'medium' ELSE 'weak' END AS verdict FROM items""")
 def p24(v):
     return v.items.select("item_key", values.page_bucket(F.col("pages")).alias("bucket"),
-                          values.fit_verdict(F.col("pages") / 600.0).alias("verdict"))
+                          values.fit_verdict(F.col("rating") - 4.1).alias("verdict"))

@@ -123,7 +123,7 @@ def w09e(v):
     return series.effective_rating(v.items).select("item_key", F.round("effective", 7).alias("effective"))
 
 
-_RELEASED = "SELECT *, CAST(make_date(CAST(pub_year AS INT), 6, 1) AS DATE) AS released FROM items WHERE pub_year IS NOT NULL"
+_RELEASED = "SELECT *, CASE WHEN pub_year IS NOT NULL THEN CAST(make_date(CAST(pub_year AS INT), 6, 1) AS DATE) END AS released FROM items"
 
 
 @query("w10_review_anomaly", f"""WITH i AS (SELECT * FROM ({_RELEASED}) WHERE series IS NOT NULL AND reviews IS NOT NULL),

@@ -174,7 +174,7 @@ _PROFILE = """SELECT doc_id, '# Profile' || chr(10) || text || chr(10) || '## Re
 duck.TABLES["pf_lines"] = duck.TABLES["md_lines"].replace(_MARKDOWN, _PROFILE)
 
 
-@query("s10_preference_notes", """WITH h AS (SELECT *, last_value(CASE WHEN starts_with(line, '## ') THEN lower(trim(substr(line, 4))) END IGNORE NULLS)
+_PREFS = """WITH h AS (SELECT *, last_value(CASE WHEN starts_with(line, '## ') THEN lower(trim(substr(line, 4))) END IGNORE NULLS)
     OVER (PARTITION BY doc_id ORDER BY n) AS heading FROM pf_lines),
 b AS (SELECT doc_id, n, trim(substr(line, 3)) AS raw, lower(trim(substr(line, 3))) AS low FROM h
   WHERE starts_with(line, '- ') AND regexp_matches(heading, 'preference|avoid|constraint')),
@@ -183,7 +183,11 @@ c AS (SELECT *, CAST(coalesce(nullif(regexp_extract(low, '(?:under|below|<\\s*)(
     CASE WHEN regexp_matches(low, 'doorstop|long book') AND regexp_matches(low, 'no |avoid|less') THEN '500' END) AS BIGINT) AS cap FROM b)
 SELECT doc_id, n, 'page_cap' AS kind, CAST(NULL AS VARCHAR) AS tag, cap AS page_limit, raw FROM c WHERE cap IS NOT NULL
 UNION ALL SELECT doc_id, n, CASE WHEN regexp_matches(low, 'more|prefer') THEN 'prefer' ELSE 'avoid' END, t.tag, NULL, raw
-FROM c, (VALUES ('indie'), ('classic')) t(tag) WHERE cap IS NULL AND contains(low, t.tag) AND regexp_matches(low, 'more|prefer|less|fewer')""")
+FROM c, (VALUES ('indie'), ('classic')) t(tag) WHERE cap IS NULL AND contains(low, t.tag) AND regexp_matches(low, 'more|prefer|less|fewer')"""
+duck.TABLES["prefs"] = _PREFS
+
+
+@query("s10_preference_notes", _PREFS)
 def s10(v):
     return markdown.preference_notes(v.sql(_PROFILE)).withColumn("n", F.col("n").cast("bigint"))
 
@@ -243,6 +247,18 @@ def s13(v):
         "reader_id", "title", "batch_id", "status", "title_norm", "primary_genre", "indie", "classic", "pages")
 
 
+@query("s13_ledger_append", f"""SELECT reader_id, title, author, batch_id, status, primary_genre, n FROM (SELECT reader_id, title, author, batch_id, coalesce(status, 'shown') AS status, primary_genre, 2 * count(*) AS n FROM ({_MARKS}) GROUP BY ALL)""")
+def s13a(v):
+    """Two appends to one ledger, read back."""
+    path, marks = fresh_path(v.spark, "appended"), v.sql(_MARKS)
+    shown = marks.withColumn("status", F.coalesce("status", F.lit("shown"))).drop("seq")
+    for _ in range(2):
+        records.append_ledger(shown, path)
+    back = records.ledger_scan(v.spark, path)
+    names = ["reader_id", "title", "author", "batch_id", "status", "primary_genre"]
+    return back.groupBy(*names).agg(F.count("*").alias("n"))
+
+
 _REPLIES = """SELECT doc_id, replace(replace(text, '{', '('), '}', ')') || CASE WHEN doc_id % 4 = 0 THEN ' no block {"k' || CAST(doc_id AS STRING) || '": 1999, "s": "1850", "t": 12, "b": true, "n": null} end'
   WHEN doc_id % 4 = 1 THEN chr(10) || '```json' || chr(10) || '{"k' || CAST(doc_id AS STRING) || '": "2001", "u": 2500, "w": "x", "f": false, "l": ["a", 3, "b"]}' || chr(10) || '``` and {"not": "this"}'
   WHEN doc_id % 4 = 2 THEN ' {"broken": ' ELSE '```' || '{"e": {"series_role": "' || CASE WHEN doc_id % 3 = 0 THEN 'first' ELSE 'odd' END || '", "author_entry_point": true}}```' END AS text FROM documents"""
@@ -268,6 +284,17 @@ def s14(v):
     return years.unionByName(flags).unionByName(entries).unionByName(lists)
 
 
+_CHOSEN = """SELECT CAST(floor(pk / 20) AS BIGINT) AS doc_id, '{' || string_agg('"' || replace(tag, '-', ' ') || ' ' || CAST(pk AS STRING) || '": ' || CASE pk % 4 WHEN 0 THEN '"nope"' WHEN 1 THEN '7' ELSE '"' || tag || '"' END, ', ') || '}' AS text
+FROM (SELECT i.pk, min(t.tag) AS tag FROM items i JOIN good_tags t ON t.item_key = i.item_key GROUP BY i.pk) GROUP BY 1"""
+
+
+@query("s14_allowed_ids", """SELECT CAST(floor(pk / 20) AS BIGINT) AS doc_id, replace(tag, '-', ' ') || ' ' || CAST(pk AS VARCHAR) AS raw_key, CASE WHEN pk % 4 >= 2 THEN tag END AS canonical_id
+FROM (SELECT i.pk, min(t.tag) AS tag FROM items i JOIN good_tags t ON t.item_key = i.item_key GROUP BY i.pk)""")
+def s14i(v):
+    """Phrases answered with closed-list IDs; anything else becomes null."""
+    return records.valid_ids(records.response_values(v.sql(_CHOSEN)), v.good_tags)
+
+
 @query("s15_request_batches", """WITH r AS (SELECT *, row_number() OVER (ORDER BY item_key) - 1 AS n FROM items WHERE status = 'pending'),
 j AS (SELECT CAST(floor(n / 20) AS BIGINT) AS chunk, n % 20 + 1 AS line_no, title, author, list_filter([
    '"series":"' || series || '"', '"series_position":"' || series_position || '"', '"series_status":"' || series_status || '"',

@@ -73,11 +73,13 @@ SELECT title || ' - ' || author
             WHEN (brand_no + length(p_type)) % 5 = 3 THEN 'Standalone'
             ELSE 'Short Series' END AS series_status,
        CASE WHEN pk % 37 = 0 THEN NULL
+            WHEN brand_no % 8 = 5 THEN CASE WHEN series IS NOT NULL THEN CASE WHEN rn <= 5 THEN 'mid' ELSE 'late' END END
             WHEN series IS NULL THEN 'standalone'
             WHEN (brand_no + length(p_type)) % 5 = 3
               THEN CASE WHEN rn = 1 THEN 'loose-entry' ELSE 'loose-mid' END
             WHEN rn = 1 THEN 'first' WHEN rn <= 5 THEN 'mid' ELSE 'late' END AS series_role,
-       CASE pk % 4 WHEN 0 THEN true WHEN 1 THEN false ELSE NULL END AS author_entry_point,
+       CASE WHEN brand_no % 8 = 5 THEN CASE WHEN pk % 2 = 0 THEN false END
+            ELSE CASE pk % 4 WHEN 0 THEN true WHEN 1 THEN false ELSE NULL END END AS author_entry_point,
        genre AS primary_genre,
        CASE WHEN pk % 3 = 0 THEN {_pick('pk % 6', TYPES)} END AS secondary_genre,
        CASE WHEN pk % 6 = 0 THEN true WHEN pk % 6 = 1 THEN NULL ELSE false END AS indie,

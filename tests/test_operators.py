@@ -117,7 +117,7 @@ def test_warnings(spark):
                                   "reader_id long, n int, kind string, tag string, page_limit long, raw string")
     pairs = spark.createDataFrame([(1, "k")], "reader_id long, item_key string")
     got = [r.warning for r in filters.warnings(pairs, notes, items).orderBy("n").collect()]
-    assert got == ["page count 700 exceeds preference (no doorstops)", "reader noted: less indie"]
+    assert got == ["pages:700>500 no doorstops", "avoids:indie less indie"]
 
 
 def test_numbered_is_dense_and_ordered(spark):

@@ -25,7 +25,6 @@ QUOTA = {"balanced": 0.20, "broad": 0.375}
 APPETITE_MODE = {"high": "broad", "moderate": "balanced", "low": "similar"}
 FOCUS_WEIGHT, LEAN_FACTOR = 6.0, 2.0
 ADJACENT_WEIGHT, ADJACENT_RESIDUAL = 1.5, 0.5
-DRAWS = 16
 RESIDUAL = "residual"
 
 
@@ -212,16 +211,22 @@ def fill(ranked: DataFrame, n: int, seed: int = 0) -> DataFrame:
 
 
 class Recommender:
-    """Inputs of one run, with the tables several steps share written once."""
+    """Inputs of one run, with the tables several steps share written once.
+
+    Near-tied items come in a tossed order.  `tie_orders` is how many such orders there are
+    for the items that match none of a reader's tags: readers with the same order, chosen by
+    a hash, are offered the same ones of these where all else is equal.  More orders spread
+    such offers further and cost one list of the open items each."""
 
     def __init__(self, items, tags, links, log, picks, events, vectors, members, state, floors, *,
                  today: str, n: int = 15, variance: str | None = None, lean: str | None = None,
-                 seed: int = 0, genre: str | None = None, indie: bool = False, statuses: list[str] = ()):
+                 seed: int = 0, genre: str | None = None, indie: bool = False, statuses: list[str] = (),
+                 tie_orders: int = 16):
         # Shared inputs are written once, with their normalised names beside them.
         items = settle(identity.with_norms(items), "items")
         tags = settle(tags, "tags")
         self.items, self.tags, self.links, self.n, self.lean, self.seed = items, tags, links, n, lean, seed
-        self.state, self.floors, self.today = state, floors, today
+        self.state, self.floors, self.today, self.tie_orders = state, floors, today, tie_orders
         self.vectors, self.members = vectors, members
         self.live = settle(reader.active_members(vectors, members), "active-members")
         # A reader without an active vector has nothing to match against.
@@ -266,10 +271,15 @@ class Recommender:
         near = overlap.select("reader_id", "profile").distinct()
         _, anchor_tags = reader.anchors(self.resolved, self.tags, self.live.select(
             "reader_id", "kind", "tag").distinct(), self.today)
+        anchor_tags = settle(anchor_tags, "anchors")
         strength = reader.anchor_strength(near, self.profile_tags, settle(
             reader.anchor_groups(anchor_tags), "anchor-groups"), "profile")
-        liked_links = settle(reader.link_overlap(self.links, reader.favourites(self.resolved)), "liked-links")
-        known = settle(filters.known_author_items(self.log, self.items), "known-authors")
+        # Only items that may be offered matter, and a known author only where it opens one.
+        held = self.quality.select("item_key")
+        liked_links = settle(reader.link_overlap(self.links.join(held.withColumnRenamed("item_key", "src_key"), "src_key", "left_semi"),
+                                                 reader.favourites(self.resolved)), "liked-links")
+        closed = self.items.join(self.quality.filter("not open_entry").select("item_key"), "item_key", "left_semi")
+        known = settle(filters.known_author_items(self.log, closed), "known-authors")
 
         # Every quality item near a reader by tags, whether or not it may be offered.
         touching = settle(near.join(self.quality.filter("profile is not null"), "profile")
@@ -295,7 +305,7 @@ class Recommender:
         pool_size = totals.groupBy("reader_id").agg(F.sum("c").alias("pool_size"))
         return {"chosen": chosen, "pool": pool, "pool_size": pool_size, "slots": slots, "placed": rows,
                 "sizes": sizes, "overlap": overlap, "underused": under, "at_risk": risk,
-                "liked_links": liked_links}
+                "liked_links": liked_links, "anchor_tags": anchor_tags}
 
     def _place(self, pool, overlap, under, risk) -> DataFrame:
         """Strata of the matching pool: underused vectors and unmet floors, or residual;
@@ -351,7 +361,7 @@ class Recommender:
     def _rank(self, rows, implicit, touching, liked_links):
         """First n rows per reader and stratum, with the stratum's full size."""
         n, by = self.n, ["reader_id", "stratum"]
-        draw = F.pmod(F.xxhash64(F.lit(self.seed), F.col("reader_id")), F.lit(DRAWS)).cast("string")
+        draw = self.draw()
 
         def toss(d, stratum):
             return values.unit_hash(F.lit(str(self.seed)), d, stratum, "item_key")
@@ -389,7 +399,7 @@ class Recommender:
         """(score, draw, pos, item_key, toss): open items of each score in toss order.
         The toss is uniform, so its first digits cut a crowded score into even parts."""
         rows = (self.quality.filter("open_entry").select("item_key", F.col("base").alias("score"))
-                .withColumn("draw", F.explode(F.array(*[F.lit(str(d)) for d in range(DRAWS)])))
+                .withColumn("draw", F.explode(F.array(*[F.lit(str(d)) for d in range(self.tie_orders)])))
                 .withColumn("toss", toss(F.col("draw"), F.lit(RESIDUAL))))
         rows = rows.withColumn("part", F.floor(F.col("toss") * 64).cast("int"))
         sizes = rows.groupBy("score", "draw", "part").agg(F.count("*").alias("c"))
@@ -399,6 +409,11 @@ class Recommender:
         return (rows.withColumn("r", F.row_number().over(inner)).join(starts, ["score", "draw", "part"])
                 .select("score", "draw", (F.col("s") + F.col("r")).alias("pos"), "item_key", "toss"))
 
+    def draw(self) -> Column:
+        """Which of the tie orders a reader has."""
+        u = values.unit_hash(F.lit(str(self.seed)), F.lit("order of ties"), F.col("reader_id").cast("string"))
+        return F.floor(u * self.tie_orders).cast("string")
+
     def _slots(self, sizes, under, risk) -> DataFrame:
         """Slots of the non-empty strata, in the order vectors, floors, residual."""
         vectors = under.select("reader_id", F.concat(F.lit("vector:"), "vector").alias("stratum"),
@@ -416,13 +431,12 @@ class Recommender:
                         self.n, self.lean, self.seed)
 
 
-def breakdown(chosen: DataFrame) -> DataFrame:
-    return chosen.groupBy("reader_id", "stratum").agg(F.count("*").alias("n"))
-
-
 def projection(rec: Recommender, out: dict[str, DataFrame], notes: DataFrame | None = None,
                negatives: DataFrame | None = None) -> DataFrame:
-    """The chosen items with the reasons for each."""
+    """The chosen items with the reasons for each: matched vectors and themes, gaps filled,
+    links liked, the heaviest liked reads they share a tag with (`resonance`), how they
+    reach beyond their vector (`divergence`, `bridges_to`), warnings and cold tags; and for
+    the reader the mode, the size of each stratum's share and the pool."""
     keys = ["reader_id", "item_key"]
     chosen = settle(out["chosen"], "chosen")
     overlap = reader.vector_overlap(chosen, rec.tags, rec.live)
@@ -436,7 +450,14 @@ def projection(rec: Recommender, out: dict[str, DataFrame], notes: DataFrame | N
               .agg(F.array_sort(F.collect_list("tag")).alias("matched_themes")))
     facts = rec.items.select("item_key", "title", "author", "pages", "primary_genre", "indie", "classic",
                              "series", "series_position")
+    resonance = reader.matched_anchors(chosen, positive_tags(rec.tags), out["anchor_tags"], rec.items).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("place", "title")))["title"].alias("resonance"))
+    beyond = adjacency(overlap, positive_tags(rec.tags), rec.live, "item_key").select(*keys, "divergence", "bridges_to")
+    share = chosen.groupBy("reader_id", "stratum").agg(F.count("*").alias("stratum_count"))
+    chosen = (chosen.join(share, ["reader_id", "stratum"]).join(rec.modes, "reader_id")
+              .join(out["pool_size"], "reader_id"))
     rows = (chosen.join(facts, "item_key").join(matched, keys, "left").join(fills, keys, "left")
+            .join(resonance, keys, "left").join(beyond, keys, "left")
             .join(floors, keys, "left").join(themes, keys, "left").join(out["liked_links"], keys, "left")
             .withColumn("is_residual", F.col("matched_vectors").isNull()))
     if notes is not None:

@@ -190,7 +190,7 @@ def older(v):
 duck.TABLES["pools"] = f"""SELECT DISTINCT reader_id, rating >= 5 AS five, {duck.norm_old('title')} AS t, {duck.norm_old('author')} AS a FROM log_n WHERE rating >= 4.5"""
 
 
-@query("t01_older_score", f"""WITH near AS (SELECT DISTINCT f.reader_id, l.dst_key AS item_key FROM feedback f JOIN item_links l ON l.src_key = f.item_key),
+_OLDER = f"""WITH near AS (SELECT DISTINCT f.reader_id, l.dst_key AS item_key FROM feedback f JOIN item_links l ON l.src_key = f.item_key),
 i AS (SELECT *, {duck.norm_old('title')} AS t, {duck.norm_old('author')} AS a FROM items),
 au AS (SELECT reader_id, a, max(CASE WHEN five THEN 1.5 ELSE 0.8 END) AS pocket FROM pools GROUP BY 1, 2), ti AS (SELECT DISTINCT reader_id, t, a FROM pools),
 ks AS (SELECT item_key, {duck.norm_old("left(item_key, length(item_key) - length(list_extract(string_split(item_key, ' - '), -1)) - 3)")} AS t, {duck.norm_old("list_extract(string_split(item_key, ' - '), -1)")} AS a FROM items),
@@ -201,12 +201,27 @@ SELECT n.reader_id, n.item_key, coalesce(i.rating, 0) AS base, CAST(coalesce(au.
   coalesce((reviews > 0 AND reviews < 1500 AND rating >= 4.2) OR indie OR (classic AND reviews > 0 AND reviews < 50000) OR (secondary_genre <> primary_genre AND secondary_genre = 'large'), false) AS deep_cut,
   round(coalesce(i.rating, 0) + coalesce(au.pocket, 0) + least(coalesce(ov.n, 0), 3) * 0.6e0 + CASE WHEN i.indie THEN 0.4e0 ELSE 0 END + CASE WHEN i.classic THEN 0.25e0 ELSE 0 END - coalesce(rj.penalty, 0), 4) AS score
 FROM near n JOIN i ON i.item_key = n.item_key LEFT JOIN au ON au.reader_id = n.reader_id AND au.a = i.a LEFT JOIN ov ON ov.reader_id = n.reader_id AND ov.src_key = n.item_key
-LEFT JOIN rj ON rj.reader_id = n.reader_id AND rj.title_norm = i.t AND rj.author_norm = i.a""")
+LEFT JOIN rj ON rj.reader_id = n.reader_id AND rj.title_norm = i.t AND rj.author_norm = i.a"""
+
+
+@query("t01_older_score", _OLDER)
 def t01(v):
     return _r(older(v), score=4, link_bonus=4)
 
 
-@query("t03_older_batch")
+def _fold(phase: int, on: str) -> str:
+    return f"SELECT *, {phase} AS phase, row_number() OVER (PARTITION BY reader_id ORDER BY score DESC, item_key) AS r FROM x WHERE {on}"
+
+
+@query("t03_older_batch", f"""WITH x AS MATERIALIZED (SELECT n.reader_id, n.item_key, n.score, n.deep_cut, coalesce(i.indie, false) AS indie, coalesce(i.classic, false) AS classic FROM ({_OLDER}) n JOIN items i ON i.item_key = n.item_key),
+steps AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY reader_id ORDER BY phase, r) AS i FROM ({_fold(1, 'indie')} UNION ALL {_fold(2, 'classic')} UNION ALL {_fold(3, 'deep_cut')} UNION ALL {_fold(4, 'true')}) WHERE r <= 9),
+walked AS MATERIALIZED (SELECT * FROM (WITH RECURSIVE f AS (SELECT DISTINCT reader_id, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS keys, 0 AS ni, 0 AS nc, 0 AS nd FROM steps
+  UNION ALL SELECT reader_id, i, CASE WHEN ok THEN list_append(keys, item_key) ELSE keys END, ni + CASE WHEN ok AND indie THEN 1 ELSE 0 END, nc + CASE WHEN ok AND classic THEN 1 ELSE 0 END, nd + CASE WHEN ok AND deep_cut THEN 1 ELSE 0 END FROM (
+    SELECT s.*, f.keys, f.ni, f.nc, f.nd, NOT list_contains(f.keys, s.item_key) AND CASE s.phase WHEN 1 THEN f.ni < 2 WHEN 2 THEN f.nc < 1 WHEN 3 THEN f.nd < 1 ELSE len(f.keys) < 4 END AS ok
+    FROM f JOIN steps s ON s.reader_id = f.reader_id AND s.i = f.i + 1) z)
+  SELECT * FROM f) WHERE (reader_id, i) IN (SELECT reader_id, max(i) FROM steps GROUP BY 1)),
+c AS (SELECT x.*, row_number() OVER (PARTITION BY x.reader_id ORDER BY {duck.hash01("'5'", "CAST(x.reader_id AS VARCHAR)", "x.item_key")}, x.item_key) AS place FROM (SELECT reader_id, unnest(keys) AS item_key FROM walked) w JOIN x ON x.reader_id = w.reader_id AND x.item_key = w.item_key)
+SELECT reader_id, place, item_key, score, deep_cut, min(CASE WHEN deep_cut THEN place END) OVER (PARTITION BY reader_id) AS deep_cut_place FROM c""")
 def t03(v):
-    """Greedy fill, checked against a plain re-implementation in the tests."""
-    return decide.batch(older(v), v.items, {"indie": 2, "classic": 1}, size=4, seed=5)
+    """Greedy fill: tag minima, one deep cut, then the best left."""
+    return _r(decide.batch(older(v), v.items, {"indie": 2, "classic": 1}, size=4, seed=5), score=4)

@@ -62,7 +62,7 @@ def test_recommendations_match_the_whole_pool(spark, sf_dir):
     full = spark.createDataFrame([(r, "residual", k, s) for (r, k), s in merged.items()],
                                  "reader_id long, stratum string, item_key string, score double")
     chunks = recommend.tie_chunks(full, ["reader_id", "stratum"])
-    draw = F.pmod(F.xxhash64(F.lit(rec.seed), F.col("reader_id")), F.lit(recommend.DRAWS)).cast("string")
+    draw = rec.draw()
     order = [F.col("chunk"), values.unit_hash(F.lit(str(rec.seed)), draw, F.col("stratum"), "item_key"), F.col("item_key")]
     from bookloom.operators.common import top_rows
     best = top_rows(full.join(chunks, ["reader_id", "stratum", "score"]), ["reader_id"], order, 15)

@@ -17,13 +17,18 @@ def log(v):
                               "read_on": values.parse_date("date_text")})
 
 
-def resolved(v):
+def resolve_log(v):
     return identity.resolve(log(v).select("log_id", "reader_id", "title", "author", "rating", "read_on",
                                           "logged_on", "my_tags"), v.items)
 
 
+def resolved(v):
+    """The log with its item keys, stored once."""
+    return v.kept("resolved-log", lambda: resolve_log(v))
+
+
 def listed(v):
-    return identity.resolve_picks(v.picks, v.items)
+    return v.kept("listed-items", lambda: identity.resolve_picks(v.picks, v.items))
 
 
 duck.TABLES.update({

@@ -9,6 +9,10 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
+
+from bookloom.operators.common import fresh_path
+
 ADJECTIVES = ["small", "red", "blue", "hot", "large", "old", "new", "cold"]
 NOUNS = ["ring", "widget", "bolt", "gear", "gizmo", "plate", "anvil", "rod"]
 TYPES = ["economy", "small", "promo", "standard", "medium", "large"]
@@ -234,6 +238,10 @@ BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "li
                "events", "documents", "embeddings", "pages", "benchmark", "labels",
                "conversations"]
 
+#: Roles that cost joins or windows: written once per application and folder, then read.
+STORED = ["items", "item_tags", "raw_links", "item_links", "log", "picks", "feedback"]
+_kept: dict[tuple, str] = {}
+
 _LITERAL = re.compile(r"'[^']*'")
 _SOURCE = re.compile(r"(?:\b(?:FROM|JOIN)\b|,)\s*\(?\s*([A-Za-z_][A-Za-z0-9_]*)")
 
@@ -286,8 +294,28 @@ class Roles:
             self._made[name] = self.sql(f"SELECT * FROM {name}")
         return self._made[name]
 
-    def sql(self, text: str):
-        full = for_spark(with_roles(text))
+    def kept(self, name: str, build):
+        """What build() gives, written once per application and folder of tables."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key in _kept:
+            try:
+                return self.spark.read.parquet(_kept[key])
+            except AnalysisException:  # the shared folder was cleared meanwhile
+                pass
+        path = fresh_path(self.spark, name)
+        build().write.parquet(path)
+        _kept[key] = path
+        return self.spark.read.parquet(path)
+
+    def sql(self, text: str, plain: str | None = None):
+        """Rows of a query over roles; `plain` is a role to compute here and now."""
+        stored = {}
+        for name in STORED:
+            if name != plain and re.search(rf"\b{name}\b", with_roles(text)):
+                self.kept(name, lambda: self.sql(f"SELECT * FROM {name}", name))
+                path = _kept[self.spark.sparkContext.applicationId, self.sf_dir, name]
+                stored[name] = f"SELECT * FROM parquet.`{path}`"
+        full = for_spark(with_roles(text, stored))
         for t in BASE_TABLES:
             full = re.sub(rf"\b(FROM|JOIN)(\s+){t}\b",
                           rf"\1\2parquet.`{self.sf_dir}/{t}.parquet`", full)

@@ -99,8 +99,8 @@ def copies(suffixes: DataFrame) -> DataFrame:
 
     The list is sorted by ranges of its whole key, so a run of any size is spread over as
     many tasks as it has rows for, and each task compares neighbours in one range of about
-    ROWS_PER_TASK rows.  Runs at either end of a range may go on in the next one: their
-    first row is found by an aggregate over those rows alone.
+    ROWS_PER_TASK rows.  A run may go on from one range to the next: the first rows of each
+    range's first and last run, two per task, tell where it began.
     """
     order = ["seed", "doc", "key", "place"]
     session = suffixes.sparkSession
@@ -114,23 +114,23 @@ def copies(suffixes: DataFrame) -> DataFrame:
         bounds = np.concatenate([[0], np.flatnonzero(np.diff(seed)) + 1, [len(seed)]])
         size = np.diff(bounds)
         first = np.repeat(bounds[:-1], size)
-        edge = (first == 0) | (first == bounds[-2])
-        at = np.flatnonzero(edge | (first != np.arange(len(seed))))
+        place_of = np.arange(len(seed))
+        bound = (place_of == 0) | (place_of == bounds[-2])
+        at = np.flatnonzero(bound | (first != place_of))
         for i in range(0, len(at), 1 << 16):
             rows = at[i:i + (1 << 16)]
             of = first[rows]
             yield {"seed": seed[rows], "doc": doc[rows], "key": key[rows], "place": place[rows], "o_doc": doc[of],
-                   "o_key": key[of], "o_place": place[of], "edge": edge[rows]}
+                   "o_key": key[of], "o_place": place[of], "bound": bound[rows]}
 
     ranged = suffixes.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
-    told = settle(arrow_map(ranged, "seed long, doc long, key long, place int, o_doc long, o_key long, o_place int, edge boolean",
+    told = settle(arrow_map(ranged, "seed long, doc long, key long, place int, o_doc long, o_key long, o_place int, bound boolean",
                             run), "neighbours")
-    names = ["doc", "key", "place", "o_doc", "o_key", "o_place"]
-    edge = told.filter("edge")
-    firsts = edge.groupBy("seed").agg(F.min(F.struct("o_doc", "o_key", "o_place")).alias("o"))
-    fixed = edge.drop("o_doc", "o_key", "o_place").join(firsts, "seed").select("doc", "key", "place", "o.*")
-    return told.filter("not edge").select(names).union(fixed.select(names)).filter(
-        (F.col("key") != F.col("o_key")) | (F.col("place") != F.col("o_place")))
+    begun = told.filter("bound").groupBy("seed").agg(F.min(F.struct("o_doc", "o_key", "o_place")).alias("b"))
+    first = F.least(F.struct("o_doc", "o_key", "o_place"), F.coalesce("b", F.struct("o_doc", "o_key", "o_place")))
+    out = told.join(F.broadcast(begun), "seed", "left").select("doc", "key", "place", first.alias("o")).select(
+        "doc", "key", "place", "o.*")
+    return out.filter((F.col("key") != F.col("o_key")) | (F.col("place") != F.col("o_place")))
 
 
 def stretches(found: DataFrame, seed: int) -> DataFrame:

@@ -8,13 +8,15 @@ and padded with zeros.  Of at most four errors the two best segments hold (0 or
 or 0 and 2 with 2 in the third.  So each fingerprint has these keys:
 
 * for each pair of segments, the nearest code word of one with each near one of the other,
-  both ways round (24 bits, about ten keys a pair);
-* for each segment, its bits with each third of the next segment (28 bits, three keys):
-  two errors leave one third whole.
-
-`thirds=True` adds a third of the remaining segment to the first kind (two errors there
-leave one whole) and the bits of one segment with the near words of another, for tables
-of some 10**9 fingerprints and more, where 24 bits alone make long lists.
+  both ways round, and one third of the remaining segment, whose two errors at most leave
+  one of its three thirds whole (31 bits, about 29 keys a pair);
+* for each two segments, the bits of one with the near code words of the other (33 bits, five
+  keys), for pairs whose third segment has more errors;
+* for each segment, its bits with each third of the next one (28 bits, three keys): two
+  errors there leave one third whole.
+
+Without `thirds` the first kind goes without that third: a third of the keys, but only 24
+bits, so that lists of unrelated fingerprints grow long beyond some millions of them.
 """
 
 from __future__ import annotations
@@ -104,7 +106,7 @@ def near_words(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.column_stack([first, first[:, None] ^ others[s]]), count[s]
 
 
-def keys(prints: np.ndarray, thirds: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def keys(prints: np.ndarray, thirds: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(place of the fingerprint, key) for all keys.  The top bits name the kind of key."""
     x = prints.view(np.uint64).astype(np.uint64)
     seg = [((x >> np.uint64(a)) & np.uint64((1 << w) - 1)).astype(np.int64) for a, w in SEGMENTS]
@@ -154,7 +156,7 @@ def _apart(a: str, b: str):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def groups(prints: DataFrame, distance: int = DISTANCE, thirds: bool = False) -> DataFrame:
+def groups(prints: DataFrame, distance: int = DISTANCE, thirds: bool = True) -> DataFrame:
     """(fp, component) for distinct fingerprints fp: the components of the graph that links
     fingerprints at `distance` or fewer bits (at most 4).
 
@@ -172,7 +174,8 @@ def groups(prints: DataFrame, distance: int = DISTANCE, thirds: bool = False) ->
             for at in range(0, len(key), 1 << 18):
                 yield {"key": key[at:at + (1 << 18)], "fp": fp[place[at:at + (1 << 18)]]}
 
-    rows = settle(arrow_map(prints.select("fp"), "key long, fp long", run), "simhash-keys")
+    # Made twice rather than written: the keys are many times the fingerprints.
+    rows = arrow_map(prints.select("fp"), "key long, fp long", run)
     ends = rows.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi")
     shared = settle(rows.join(ends, "key"), "simhash-shared")
     stars = [shared.filter((F.col("fp") != F.col(p)) & (_apart("fp", p) <= distance)).select(
@@ -198,7 +201,7 @@ def groups(prints: DataFrame, distance: int = DISTANCE, thirds: bool = False) ->
     return joined.union(alone)
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, thirds: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, thirds: bool = True) -> DataFrame:
     """One row per row of docs: doc_id, _row, fp, component_id (the smallest doc_id whose
     fingerprint is reachable by links; null ids only where a whole component has no other).
 
@@ -210,7 +213,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, thirds: bool = Fa
 
 
 def _grouped(prints: DataFrame, distance: int, thirds: bool) -> DataFrame:
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("_row").alias("_least_row"))
+    distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-prints")
     linked = groups(distinct, distance, thirds)
     known = distinct.join(linked, "fp", "left").withColumn("c", F.coalesce("component", "fp"))
     least = known.groupBy("c").agg(F.min("least").alias("component_id"))
@@ -218,12 +221,13 @@ def _grouped(prints: DataFrame, distance: int, thirds: bool) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "_row", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, distance: int = DISTANCE, thirds: bool = False) -> DataFrame:
+def keep_one(docs: DataFrame, distance: int = DISTANCE, thirds: bool = True) -> DataFrame:
     """The columns of documents for one row of each near-duplicate group: that of the
     smallest doc_id, null ids last; of repeated rows the first."""
     numbered = settle(docs.select(*DOCUMENTS).withColumn("_row", F.monotonically_increasing_id()), "simhash-docs")
     placed = settle(fingerprints(numbered.withColumn("doc_id", F.col("doc_id").cast("long"))), "fingerprints")
-    distinct = placed.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("best"))
+    distinct = settle(placed.groupBy("fp").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("best")), "distinct-prints")
     known = distinct.join(groups(distinct, distance, thirds), "fp", "left").withColumn("c", F.coalesce("component", "fp"))
     stay = known.groupBy("c").agg(F.min("best").alias("best")).select(F.col("best._row").alias("_row"))
     return numbered.join(stay, "_row", "left_semi").drop("_row")

@@ -206,9 +206,14 @@ def sync_links(links: DataFrame, items: DataFrame, themes: DataFrame,
     def stat(df, name):
         return df.select(F.lit(name).alias("metric"), F.col("n").cast("bigint").alias("n"))
     lengths = closed.groupBy("src_key").agg(F.count("*").alias("c"))
-    before = links.groupBy("src_key").agg(F.sort_array(F.collect_list(F.struct("pos", "dst_key")))["dst_key"].alias("b"))
-    after = capped.groupBy("src_key").agg(F.sort_array(F.collect_list(F.struct("added", "pos", "dst_key")))["dst_key"].alias("a"))
-    lists = before.join(after, "src_key", "full").filter(~F.col("a").eqNullSafe(F.col("b")))
+
+    def places(df, *order):
+        place = F.row_number().over(Window.partitionBy("src_key").orderBy(*order))
+        return df.select("src_key", place.alias("place"), "dst_key")
+    # A list has changed if it differs at any place.
+    before, after = places(links, "pos", "dst_key"), places(capped, "added", "pos", "dst_key")
+    lists = (before.join(after.withColumnRenamed("dst_key", "new"), ["src_key", "place"], "full")
+             .filter(~F.col("dst_key").eqNullSafe(F.col("new"))).select("src_key").distinct())
     stats = [
         stat(kept.agg(F.count_if(F.col("matched") & (F.col("raw_key") != F.col("dst_key"))).alias("n")), "canonicalised"),
         stat(dropped.agg(F.count_if(F.col("reason") == "self").alias("n")), "self_dropped"),

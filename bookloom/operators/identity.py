@@ -195,11 +195,13 @@ def containing(needles: DataFrame, texts: DataFrame) -> DataFrame:
     n = needles.select("needle").filter(F.col("needle") != "").distinct()
     t = texts.select("text").distinct()
     spread = F.concat(_grams(F.col("text"), 3), _grams(F.col("text"), 2), _grams(F.col("text"), 1))
-    held = t.select("text", F.explode(F.array_distinct(spread)).alias("gram"))
-    counts = held.groupBy("gram").agg(F.count("*").alias("held"))
     size = F.least(F.length("needle"), F.lit(3))
     wanted = n.select("needle", F.explode(
         F.when(size == 3, _grams(F.col("needle"), 3)).otherwise(F.array("needle"))).alias("gram"))
+    # Only pieces that some needle has are counted or moved.
+    held = t.select("text", F.explode(F.array_distinct(spread)).alias("gram")).join(
+        wanted.select("gram").distinct(), "gram", "left_semi")
+    counts = held.groupBy("gram").agg(F.count("*").alias("held"))
     rarest = best(wanted.join(counts, "gram"), ["needle"], [F.col("held"), F.col("gram")], ["gram"])
     return (rarest.join(held, "gram").filter(F.contains("text", "needle"))
             .select("needle", "text").distinct())

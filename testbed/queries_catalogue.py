@@ -136,15 +136,23 @@ def t10(v):
         "src_key", "dst_key", "how", F.col("pos").cast("bigint").alias("pos"))
 
 
-@query("m05_link_sync", """SELECT 'canonicalised' AS metric, count(*) AS n FROM canon_kept WHERE r = 1 AND matched AND raw_key <> dst_key
+_LINK_STATS = """SELECT 'canonicalised' AS metric, count(*) AS n FROM canon_kept WHERE r = 1 AND matched AND raw_key <> dst_key
 UNION ALL SELECT 'self_dropped', count(*) FROM canon WHERE matched AND dst_key = src_key UNION ALL SELECT 'duplicate_dropped', count(*) FROM canon_kept WHERE r > 1
 UNION ALL SELECT 'reciprocals_added', count(*) FROM closed_links WHERE added = 1 UNION ALL SELECT 'over_cap', count(DISTINCT src_key) FROM link_n WHERE length > 6
 UNION ALL SELECT 'ranked', count(DISTINCT src_key) FROM capped WHERE how = 'ranked' UNION ALL SELECT 'ranking_failures', count(DISTINCT src_key) FROM capped WHERE how = 'cut'
 UNION ALL SELECT 'lists_changed', count(*) FROM (SELECT src_key, list(dst_key ORDER BY pos) AS b FROM raw_links GROUP BY 1) x FULL JOIN
   (SELECT c.src_key, list(c.dst_key ORDER BY coalesce(k.added, 0), c.pos, c.dst_key) AS a FROM capped c LEFT JOIN closed_links k ON c.how = 'kept' AND k.src_key = c.src_key AND k.dst_key = c.dst_key GROUP BY 1) y
-  ON x.src_key = y.src_key WHERE a IS DISTINCT FROM b""")
+  ON x.src_key = y.src_key WHERE a IS DISTINCT FROM b"""
+
+
+@query("m05_link_sync", f"""SELECT metric, n, CAST(NULL AS VARCHAR) AS src_key, CAST(NULL AS VARCHAR) AS dst_key FROM ({_LINK_STATS})
+UNION ALL SELECT 'link:' || how, pos, src_key, dst_key FROM capped""")
 def m05(v):
-    return catalogue.sync_links(*link_parts(v))[1]
+    """The statistics and every link of the synced lists."""
+    links, stats = catalogue.sync_links(*link_parts(v))
+    none = F.lit(None).cast("string")
+    return stats.select("metric", "n", none.alias("src_key"), none.alias("dst_key")).unionByName(links.select(
+        F.concat(F.lit("link:"), "how").alias("metric"), F.col("pos").cast("bigint").alias("n"), "src_key", "dst_key"))
 
 
 @query("m06_series_role", """SELECT item_key, role AS series_role, role IS NULL OR author_entry_point IS NULL AS needs_audit FROM (SELECT *, coalesce(series_role, CASE

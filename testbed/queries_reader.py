@@ -243,9 +243,11 @@ FROM rel_pairs r JOIN items i ON i.item_key = r.item_key GROUP BY 1""")
 def f01(v):
     profiles, held = filters.tag_profiles(v.item_tags)
     near = filters.relevant_profiles(reader.active_tags(v.vectors, v.vector_members), held)
-    pool = near.join(filters.quality_items(v.items).join(profiles, "item_key"), "profile")
-    return pool.groupBy("reader_id").agg(F.count("*").alias("n"), F.min("item_key").alias("first_key"),
-                                         F.max("item_key").alias("last_key"), F.sum("pk").alias("pk_sum"))
+    # Per profile first, so that no reader meets an item.
+    per = filters.quality_items(v.items).join(profiles, "item_key").groupBy("profile").agg(
+        F.count("*").alias("n"), F.min("item_key").alias("a"), F.max("item_key").alias("z"), F.sum("pk").alias("s"))
+    return near.join(per, "profile").groupBy("reader_id").agg(
+        F.sum("n").alias("n"), F.min("a").alias("first_key"), F.max("z").alias("last_key"), F.sum("s").alias("pk_sum"))
 
 
 duck.TABLES["excl"] = """SELECT DISTINCT l.reader_id, i.item_key FROM log_n l JOIN items_n i ON i.tn = l.tn AND i.an = l.an
@@ -265,9 +267,10 @@ duck.TABLES["gate"] = """SELECT item_key, an, CASE WHEN series_role IS NOT NULL
 
 @query("f03_entry_point_gate", """SELECT g.item_key, g.open_entry, (SELECT count(DISTINCT reader_id) FROM log_n l WHERE l.an = g.an) AS n_readers FROM gate g""")
 def f03(v):
-    known = filters.known_author_items(v.log, v.items).groupBy("item_key").agg(F.count("*").alias("n_readers"))
-    return (v.items.select("item_key", filters.open_entry().alias("open_entry")).join(known, "item_key", "left")
-            .fillna(0, ["n_readers"]))
+    # Readers per author first; t08_sample covers the gate reader by reader.
+    known = filters.read_authors(v.log).groupBy("author_norm").agg(F.count("*").alias("n_readers"))
+    return (identity.with_norms(v.items).select("item_key", "author_norm", filters.open_entry().alias("open_entry"))
+            .join(known, "author_norm", "left").fillna(0, ["n_readers"]).drop("author_norm"))
 
 
 @query("f04_genre_filter", "SELECT item_key FROM items WHERE lower(primary_genre) = 'economy' OR lower(secondary_genre) = 'economy'")

@@ -56,9 +56,10 @@ def nested(v):
 
 
 def _nested_files(v):
-    path = fresh_path(v.spark, "catalogue-json")
-    shard = F.pmod(F.xxhash64("item_key"), F.lit(64))
-    (nested(v).groupBy(shard.alias("shard"))
+    path, entries = fresh_path(v.spark, "catalogue-json"), nested(v)
+    # One JSON object holds about 500 entries, however many there are.
+    shard = F.pmod(F.xxhash64("item_key"), F.lit(-(-max(entries.count(), 1) // 500)))
+    (entries.groupBy(shard.alias("shard"))
      .agg(F.map_from_entries(F.collect_list(F.struct("item_key", "entry"))).alias("entries"))
      .select("entries").write.json(path))
     return path

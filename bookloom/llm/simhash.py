@@ -223,11 +223,14 @@ def _grouped(prints: DataFrame, distance: int, thirds: bool) -> DataFrame:
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE, thirds: bool = True) -> DataFrame:
     """The columns of documents for one row of each near-duplicate group: that of the
-    smallest doc_id, null ids last; of repeated rows the first."""
-    numbered = settle(docs.select(*DOCUMENTS).withColumn("_row", F.monotonically_increasing_id()), "simhash-docs")
-    placed = settle(fingerprints(numbered.withColumn("doc_id", F.col("doc_id").cast("long"))), "fingerprints")
+    smallest doc_id, null ids last.  Of rows equal in id and text the one with the least
+    remaining columns stays."""
+    keyed = docs.select(*DOCUMENTS, F.xxhash64(F.col("doc_id").cast("long"), "text").alias("_row"))
+    placed = settle(fingerprints(keyed.withColumn("doc_id", F.col("doc_id").cast("long"))), "fingerprints")
     distinct = settle(placed.groupBy("fp").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("best")), "distinct-prints")
     known = distinct.join(groups(distinct, distance, thirds), "fp", "left").withColumn("c", F.coalesce("component", "fp"))
     stay = known.groupBy("c").agg(F.min("best").alias("best")).select(F.col("best._row").alias("_row"))
-    return numbered.join(stay, "_row", "left_semi").drop("_row")
+    # One shuffle serves the join and the choice among equal rows.
+    kept = keyed.join(stay, "_row", "left_semi").groupBy("_row").agg(F.min(F.struct(*DOCUMENTS)).alias("d"))
+    return kept.select("d.*")

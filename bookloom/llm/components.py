@@ -26,17 +26,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return out.filter(F.col("u") != F.col("v")).distinct()
 
 
+def _unfinished(edges: DataFrame) -> bool:
+    """Whether some node has two neighbours below it, or one below and one above: without
+    such a node every component is a star around its least node."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("below")).union(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("below")))
+    seen = ends.groupBy("node").agg(F.sum("below").alias("below"), F.bool_or(F.col("below") == 0).alias("above"))
+    return not seen.filter((F.col("below") > 1) | ((F.col("below") == 1) & F.col("above"))).isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (u, v): the smallest node reachable.
 
-    Alternating large and small stars, each result written and read again.  Every round at
-    least halves the longest path to a component's least node; it ends when a round changes
-    nothing, seen from the count and a checksum.  Loops and repeated edges do no harm.
+    Alternating large and small stars, each result written and read again, until every
+    component is a star.  Loops and repeated edges do no harm.
     """
-    now, before = settle(edges.select("u", "v").filter(F.col("u") != F.col("v")).distinct(), "edges"), None
-    while True:
-        seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if not seen[0] or seen == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-                now.select("v", "v").distinct())
-        before, now = seen, settle(_small_star(_large_star(now)), "edges")
+    now = settle(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter(
+        F.col("u") != F.col("v")).distinct(), "edges")
+    while _unfinished(now):
+        now = settle(_small_star(_large_star(now)), "edges")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from bookloom.operators.common import settle
 
+#: Edges per written file of a round, about.
+ROWS_PER_FILE = 200_000
+
 
 def _least(edges: DataFrame) -> DataFrame:
     """Each node's smallest neighbour or itself; combined before the shuffle."""
@@ -43,6 +46,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = settle(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter(
         F.col("u") != F.col("v")).distinct(), "edges")
+    # A round makes no more edges than there were nodes and edges: few rows, few files.
+    files = 1 + now.count() // ROWS_PER_FILE
     while _unfinished(now):
-        now = settle(_small_star(_large_star(now)), "edges")
+        now = settle(_small_star(_large_star(now)).coalesce(files), "edges")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

@@ -182,11 +182,11 @@ def groups(prints: DataFrame, distance: int = DISTANCE, thirds: bool = True) ->
     shared = settle(rows.join(ends, "key"), "simhash-shared")
     stars = [shared.filter((F.col("fp") != F.col(p)) & (_apart("fp", p) <= distance)).select(
         F.col("fp").alias("u"), F.col(p).alias("v")) for p in ("lo", "hi")]
-    first = settle(components(stars[0].union(stars[1])), "simhash-first")
+    first = components(stars[0].union(stars[1]))
 
     named = F.coalesce("component", "fp")
-    member = settle(shared.select("key", "fp").join(first.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "key", "fp", named.alias("c")), "simhash-members")
+    member = shared.select("key", "fp").join(first.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "key", "fp", named.alias("c"))
     common = member.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(
         F.max_by("c", F.struct("n", "c")).alias("most"), F.count("*").alias("kinds")).filter("kinds > 1").drop("kinds")
     mixed = member.join(common, "key")
@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, thirds: bool = Tr
 
 
 def _grouped(prints: DataFrame, distance: int, thirds: bool) -> DataFrame:
-    distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-prints")
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     linked = groups(distinct, distance, thirds)
     known = distinct.join(linked, "fp", "left").withColumn("c", F.coalesce("component", "fp"))
     least = known.groupBy("c").agg(F.min("least").alias("component_id"))
@@ -229,8 +229,8 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE, thirds: bool = True) ->
     remaining columns stays."""
     keyed = docs.select(*DOCUMENTS, F.xxhash64(F.col("doc_id").cast("long"), "text").alias("_row"))
     placed = settle(fingerprints(keyed.withColumn("doc_id", F.col("doc_id").cast("long"))), "fingerprints")
-    distinct = settle(placed.groupBy("fp").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("best")), "distinct-prints")
+    distinct = placed.groupBy("fp").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("best"))
     known = distinct.join(groups(distinct, distance, thirds), "fp", "left").withColumn("c", F.coalesce("component", "fp"))
     stay = known.groupBy("c").agg(F.min("best").alias("best")).select(F.col("best._row").alias("_row"))
     # One shuffle serves the join and the choice among equal rows.

@@ -177,7 +177,7 @@ def groups(prints: DataFrame, distance: int = DISTANCE, thirds: bool = True) ->
     # Made twice rather than written: the keys are many times the fingerprints, so these
     # are spread over as many tasks as the keys' shuffle has.
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = arrow_map(prints.select("fp").repartition(parts, "fp"), "key long, fp long", run)
+    rows = arrow_map(prints.select("fp").repartition(parts), "key long, fp long", run)
     ends = rows.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi")
     shared = settle(rows.join(ends, "key"), "simhash-shared")
     stars = [shared.filter((F.col("fp") != F.col(p)) & (_apart("fp", p) <= distance)).select(

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import functools
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -99,6 +99,15 @@ class Coder:
             out += self.tree(p.encode())
         return out
 
+    def pieced(self, raw: bytes, sizes: Iterable[int]) -> list[int]:
+        """Ranks of bytes whose pieces are known by their sizes."""
+        out: list[int] = []
+        at = 0
+        for n in sizes:
+            out += self.tree(raw[at:at + n])
+            at += n
+        return out
+
     def cut(self, text: str) -> Iterator[str | int]:
         """The text between special tokens, and their ids."""
         if not self.special:
@@ -134,27 +143,30 @@ def _whole(path: str):
     return run
 
 
-def parts_of(c: Coder, text: str, size: int) -> Iterator[tuple[int, bool, bytes]]:
-    """(special id or -1, whether it continues the piece before, bytes).  Pieces are gathered
-    up to `size` bytes; one piece beyond that is halved into leaves that a tree joins."""
+def parts_of(c: Coder, text: str, size: int) -> Iterator[tuple[int, bool, list[int], bytes]]:
+    """(special id or -1, whether it continues the piece before, the bytes of each piece,
+    bytes).  Pieces are gathered up to `size` bytes and never split anew, since where a piece
+    ends depends on what follows it; one piece beyond that size is halved into leaves that a
+    tree joins."""
     for p in c.cut(text):
         if isinstance(p, int):
-            yield p, False, b""
+            yield p, False, [], b""
             continue
-        held: list[str] = []
+        held: list[bytes] = []
         n = 0
         for piece in c.pieces.findall(p):
             if held and n + len(piece) * 4 > size:
-                yield -1, False, "".join(held).encode()
+                yield -1, False, list(map(len, held)), b"".join(held)
                 held, n = [], 0
-            if len(piece) * 4 > size and len(raw := piece.encode()) > size:
+            raw = piece.encode()
+            if len(raw) > size:
                 for at in range(0, len(raw), size):
-                    yield -2, at > 0, raw[at:at + size]
+                    yield -1, at > 0, [len(raw[at:at + size])], raw[at:at + size]
             else:
-                held.append(piece)
+                held.append(raw)
                 n += len(piece) * 4
         if held:
-            yield -1, False, "".join(held).encode()
+            yield -1, False, list(map(len, held)), b"".join(held)
 
 
 def _cut(path: str, size: int):
@@ -163,7 +175,7 @@ def _cut(path: str, size: int):
         for b in batches:
             for row, doc, text in zip(b["_row"], b["doc_id"], b["text"]):
                 rows = [(row, doc, n, *x) for n, x in enumerate(parts_of(c, text, size))]
-                yield dict(zip(("_row", "doc_id", "part", "special", "glued", "raw"), map(list, zip(*rows))))
+                yield dict(zip(("_row", "doc_id", "part", "special", "glued", "sizes", "raw"), map(list, zip(*rows))))
     return run
 
 
@@ -171,8 +183,7 @@ def _encode_parts(path: str):
     def run(batches):
         c = coder(path)
         for b in batches:
-            ranks = [[] if s >= 0 else c.tree(raw) if s == -2 else c.plain(raw.decode())
-                     for s, raw in zip(b["special"], b["raw"])]
+            ranks = [c.pieced(raw, sizes) for raw, sizes in zip(b["raw"], b["sizes"])]
             yield {k: b[k] for k in ("_row", "doc_id", "part", "special", "glued")} | {"ranks": ranks}
     return run
 
@@ -212,7 +223,7 @@ def encode(docs: DataFrame, path: str | None = None, long_chars: int = LONG_CHAR
     long = F.char_length("text") > long_chars
     short = arrow_map(rows.filter(~long), "doc_id long, ids array<int>, decoded string", _whole(path))
     cut = arrow_map(rows.filter(long).withColumn("_row", F.monotonically_increasing_id()),
-                    "_row long, doc_id long, part int, special int, glued boolean, raw binary", _cut(path, long_chars))
+                    "_row long, doc_id long, part int, special int, glued boolean, sizes array<int>, raw binary", _cut(path, long_chars))
     coded = arrow_map(cut.repartition("_row", "part"),
                       "_row long, doc_id long, part int, special int, glued boolean, ranks array<int>",
                       _encode_parts(path))

@@ -343,6 +343,15 @@ def test_bpe_tables(docs, texts, byte_tokenizer):
         assert key((r["doc_id"], tuple(r["ids"]), r["decoded"]) for r in got) == key(want())
 
 
+def test_bpe_parts_keep_the_pieces_of_the_whole_text(spark, byte_tokenizer):
+    """Blanks before a word are split by what follows them, also where a part ends."""
+    rows = [(n, "x" * n + gap.join(["foo bar"] * 60)) for n in range(24) for gap in ("\n\n", "\n\n\n", " \n ", "\n\n" + "ab" * 40)]
+    rows += [(100, "foo\n\n" + "y" * 300), (101, "\n" * 300 + "x"), (102, " " * 300 + "x"), (103, "a\n\n<|endoftext|>\n\nb" * 20)]
+    want = key((i, tuple(byte_tokenizer.encode(t, add_special_tokens=False).ids)) for i, t in rows)
+    got = bpe.encode(frame(spark, rows), long_chars=50).collect()
+    assert key((r["doc_id"], tuple(r["ids"])) for r in got) == want
+
+
 def test_bpe_trees(byte_tokenizer):
     r = random.Random(3)
     coders = [bpe.Coder(bpe.default_path(), leaf=n) for n in (1, 8, 512)]

@@ -5,17 +5,21 @@ Only suffixes that start at a minimiser are kept: of the 8-word grams in each st
 passage of `least` words keep a suffix at the same place, among its first `window` words,
 and agree on the `seed` words from there: window + seed = least + 1.
 
-The kept suffixes are sorted by their first `seed` words (as a hash) over all machines, and
-neighbours with equal ones are copies.  In each run of copies the first by (doc_id, text,
-place) is the original.  A document's copied stretches are joined and extended left and
-right, word by word, against the originals of their first and last suffix.
+A passage of `least` words has one minimiser, at the same place in all its copies; a kept
+suffix stands for the passages that it is the minimiser of, and its context are the words
+that these cover.  The kept suffixes are sorted over all machines by their first `seed`
+words and their context (as hashes).  Suffixes equal in both hold the same passages, so all
+but the first by (doc_id, text, place) are copies.  Of those equal in the first `seed` words
+only, the first of each context gives its passages one by one, as hashes of all `least`
+words, and these are sorted and compared in the same way.  So each passage is compared with
+each earlier place of all its words, never with one place chosen for a part of them.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookloom.llm.common import DOCUMENTS, WHITESPACE, arrow_map
@@ -50,26 +54,36 @@ def _windows(sums: np.ndarray, back: np.ndarray, width: int) -> np.ndarray:
     return _mixed((sums[width:] - sums[:-width]) * back[:len(sums) - width])
 
 
-def kept_suffixes(words: list[bytes], hashes: _Hashes, least: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, hashes of the first `seed` words) of the suffixes at minimisers."""
-    n = len(words)
-    if n < least:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
+def _sums(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of word * base**place, and the powers that bring them back."""
+    n = len(h)
     powers = np.empty(n, np.uint64)
     powers[0], powers[1:] = 1, _BASE
     np.multiply.accumulate(powers, out=powers)
     back = np.empty(n, np.uint64)
     back[0], back[1:] = 1, _INVERSE
     np.multiply.accumulate(back, out=back)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers, dtype=np.uint64)])
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers, dtype=np.uint64)]), back
+
+
+def kept_suffixes(words: list[bytes], hashes: _Hashes, least: int, seed: int) -> tuple[np.ndarray, ...]:
+    """(starts, hashes of the first `seed` words, hashes of the context, first passage's
+    start, number of further passages) of the suffixes at minimisers."""
+    n = len(words)
+    if n < least:
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    sums, back = _sums(np.fromiter(map(hashes.__getitem__, words), np.uint64, n))
     grams = _windows(sums, back, GRAM)
     width = least - seed + 1
-    view = np.lib.stride_tricks.sliding_window_view(grams, width)
-    starts = np.unique(np.concatenate([view[at:at + 65536].argmin(1) + np.arange(at, min(at + 65536, len(view)))
-                                       for at in range(0, len(view), 65536)]))
-    starts = starts[starts + seed <= n]
-    return starts, _windows(sums, back, seed)[starts].view(np.int64)
+    view = np.lib.stride_tricks.sliding_window_view(grams, width)[:n - least + 1]
+    each = np.concatenate([view[at:at + 65536].argmin(1) + np.arange(at, min(at + 65536, len(view)))
+                           for at in range(0, len(view), 65536)])
+    # The least gram of a stretch never lies before that of the stretch before.
+    starts, low, count = np.unique(each, return_index=True, return_counts=True)
+    end = low + count - 1 + least
+    shape = (starts - low).astype(np.uint64) * np.uint64(least) + count.astype(np.uint64)
+    context = _mixed(_mixed((sums[end] - sums[low]) * back[low]) + shape * _BASE)
+    return starts, _windows(sums, back, seed)[starts].view(np.int64), context.view(np.int64), low, count - 1
 
 
 _NO_ID = (1 << 63) - 1
@@ -82,93 +96,67 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def suffix_list(docs: DataFrame, least: int, seed: int) -> DataFrame:
-    """(seed, doc, key, place) of every kept suffix; place counts words from 0."""
+    """(seed, context, doc, key, place, more) of every kept suffix: its passages start at the
+    word `place`, counted from 0, and the `more` words after it."""
     def run(batches):
         hashes = _Hashes()
         for b in batches:
             for doc, key, text in zip(b["doc"], b["key"], b["text"]):
-                starts, seeds = kept_suffixes((text or "").encode().split(), hashes, least, seed)
+                starts, seeds, context, low, more = kept_suffixes((text or "").encode().split(), hashes, least, seed)
                 if len(starts):
-                    yield {"seed": seeds, "doc": np.full(len(starts), doc), "key": np.full(len(starts), key), "place": starts}
-    return arrow_map(docs.filter("text is not null"), "seed long, doc long, key long, place int", run)
+                    yield {"seed": seeds, "context": context, "doc": np.full(len(starts), doc), "key": np.full(len(starts), key),
+                           "place": low, "more": more}
+    return arrow_map(docs.filter("text is not null"), "seed long, context long, doc long, key long, place int, more int", run)
 
 
-def copies(suffixes: DataFrame) -> DataFrame:
-    """Each suffix with an equal neighbour that is not the first of its run, with that
-    first: (doc, key, place, o_doc, o_key, o_place).
+def copies(rows: DataFrame, carried: list[str], label: str) -> tuple[DataFrame, DataFrame]:
+    """Of rows (seed, context, doc, key, place, carried ints): those that are not the first
+    of their seed and context, with that one's doc as o_doc; and the first ones of each
+    context among several of one seed.
 
     The list is sorted by ranges of its whole key, so a run of any size is spread over as
     many tasks as it has rows for, and each task compares neighbours in one range of about
     ROWS_PER_TASK rows.  A run may go on from one range to the next: the first rows of each
-    range's first and last run, two per task, tell where it began.
+    range's first and last run, two per task, tell where it began.  The seeds at the two
+    ends of a range always count as having several contexts.
     """
-    order = ["seed", "doc", "key", "place"]
-    session = suffixes.sparkSession
-    tasks = max(-(-suffixes.count() // ROWS_PER_TASK), int(session.conf.get("spark.sql.shuffle.partitions")))
+    order = ["seed", "context", "doc", "key", "place"]
+    names = [*order, *carried]
+    session = rows.sparkSession
+    tasks = max(-(-rows.count() // ROWS_PER_TASK), int(session.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches):
-        got = [[np.array(b[c], np.int64) for c in order] for b in batches]
+        got = [[np.array(b[c], np.int64) for c in names] for b in batches]
         if not got:
             return
-        seed, doc, key, place = (np.concatenate(c) for c in zip(*got))
-        bounds = np.concatenate([[0], np.flatnonzero(np.diff(seed)) + 1, [len(seed)]])
-        size = np.diff(bounds)
-        first = np.repeat(bounds[:-1], size)
-        place_of = np.arange(len(seed))
+        col = dict(zip(names, (np.concatenate(c) for c in zip(*got))))
+        n = len(col["seed"])
+        new_seed = np.concatenate([[True], np.diff(col["seed"]) != 0])
+        new = new_seed | np.concatenate([[True], np.diff(col["context"]) != 0])
+        bounds = np.append(np.flatnonzero(new), n)
+        first = np.repeat(bounds[:-1], np.diff(bounds))
+        place_of = np.arange(n)
         bound = (place_of == 0) | (place_of == bounds[-2])
-        at = np.flatnonzero(bound | (first != place_of))
+        of_seed = np.cumsum(new_seed) - 1
+        several = (np.bincount(of_seed, new) > 1)[of_seed] | (of_seed == 0) | (of_seed == of_seed[-1])
+        among = several & new
+        at = np.flatnonzero(bound | among | (first != place_of))
         for i in range(0, len(at), 1 << 16):
-            rows = at[i:i + (1 << 16)]
-            of = first[rows]
-            yield {"seed": seed[rows], "doc": doc[rows], "key": key[rows], "place": place[rows], "o_doc": doc[of],
-                   "o_key": key[of], "o_place": place[of], "bound": bound[rows]}
-
-    ranged = suffixes.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
-    told = settle(arrow_map(ranged, "seed long, doc long, key long, place int, o_doc long, o_key long, o_place int, bound boolean",
-                            run), "neighbours")
-    begun = told.filter("bound").groupBy("seed").agg(F.min(F.struct("o_doc", "o_key", "o_place")).alias("b"))
-    first = F.least(F.struct("o_doc", "o_key", "o_place"), F.coalesce("b", F.struct("o_doc", "o_key", "o_place")))
-    out = told.join(F.broadcast(begun), "seed", "left").select("doc", "key", "place", first.alias("o")).select(
-        "doc", "key", "place", "o.*")
-    return out.filter((F.col("key") != F.col("o_key")) | (F.col("place") != F.col("o_place")))
-
-
-def stretches(found: DataFrame, seed: int) -> DataFrame:
-    """Copied suffixes of a document whose seeds touch, joined: first and last place with
-    the originals there."""
-    order = Window.partitionBy("key").orderBy("place")
-    marked = found.withColumn("new", F.coalesce(F.col("place") > F.lag("place").over(order) + seed, F.lit(True)).cast("int"))
-    named = marked.withColumn("n", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    side = F.struct("place", "o_key", "o_place", "o_doc")
-    return named.groupBy("key", "n").agg(F.min("doc").alias("doc"), F.min(side).alias("head"), F.max(side).alias("tail"))
-
-
-def _contexts(docs: DataFrame, asked: DataFrame, seed: int, reach: int) -> DataFrame:
-    """For each asked (key, place, left): hashes of up to `reach` words leftwards from the
-    place, or rightwards from the seed's end, nearest first; and code-point offsets of
-    where the stretch would start (or end) after taking 0, 1, ... of them."""
-    lists = asked.groupBy("key").agg(F.collect_set(F.struct("place", "left")).alias("asked"))
-    schema = "key long, place int, left boolean, words array<long>, offsets array<int>"
-
-    def run(batches):
-        hashes = _Hashes()
-        for b in batches:
-            for key, text, asked in zip(b["key"], b["text"], b["asked"]):
-                words, starts, ends = word_places(text)
-                h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)).view(np.int64)
-                out = []
-                for a in asked:
-                    p, left = a["place"], a["left"]
-                    if left:
-                        low = max(0, p - reach)
-                        out.append((key, p, True, h[low:p][::-1], starts[low:p + 1][::-1]))
-                    else:
-                        end = p + seed
-                        out.append((key, p, False, h[end:end + reach], ends[end - 1:end + reach]))
-                yield dict(zip(("key", "place", "left", "words", "offsets"), map(list, zip(*out))))
-
-    # Rows equal in id and text have one key: their contexts are the same.
-    return arrow_map(docs.join(lists, "key").select("key", "text", "asked"), schema, run).dropDuplicates(["key", "place", "left"])
+            here = at[i:i + (1 << 16)]
+            of = first[here]
+            yield {c: v[here] for c, v in col.items()} | {
+                "o_doc": col["doc"][of], "o_key": col["key"][of], "o_place": col["place"][of],
+                "bound": bound[here], "among": among[here]}
+
+    ranged = rows.select(*names).repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    ints = "".join(f", {c} int" for c in carried)
+    told = settle(arrow_map(ranged, f"seed long, context long, doc long, key long, place int{ints}, o_doc long, o_key long, "
+                                    "o_place int, bound boolean, among boolean", run), label)
+    here = F.struct("o_doc", "o_key", "o_place")
+    begun = told.filter("bound").groupBy("seed", "context").agg(F.min(here).alias("b"))
+    out = told.join(F.broadcast(begun), ["seed", "context"], "left").withColumn("o", F.least(here, F.coalesce("b", here)))
+    later = out.filter((F.col("key") != F.col("o.o_key")) | (F.col("place") != F.col("o.o_place")))
+    return later.select("doc", "key", "place", *carried, F.col("o.o_doc").alias("o_doc")), told.filter("among").select(*names)
 
 
 def word_places(text: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -181,58 +169,69 @@ def word_places(text: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return raw.split(), points[change[::2]].astype(np.int32), points[change[1::2]].astype(np.int32)
 
 
-def _common(a: str, b: str) -> Column:
-    """How many leading elements two arrays share."""
-    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    at = F.array_position(same, False)
-    return F.when(at == 0, F.size(same)).otherwise(at - 1).cast("int")
+def _passages(docs: DataFrame, asked: DataFrame, least: int) -> DataFrame:
+    """For each key's asked (place, more, o_doc, whole): whole ones joined where they touch,
+    with the doc of the first one's original; of the others each passage of `least` words
+    with its hash.  (hash, key, doc, a, e, start, end, o_doc): words and code points."""
+    lists = asked.groupBy("key").agg(F.collect_set(F.struct("place", "more", "whole", "o_doc")).alias("asked"))
+    schema = "hash long, key long, doc long, a int, e int, start int, end int, o_doc long, whole boolean"
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches):
+        hashes = _Hashes()
+        for b in batches:
+            for key, doc, text, asked in zip(b["key"], b["doc"], b["text"], b["asked"]):
+                words, starts, ends = word_places(text)
+                joined: list[list[int]] = []
+                for x in sorted((x["place"], x["o_doc"], x["more"]) for x in asked if x["whole"]):
+                    a, e = x[0], x[0] + x[2] + least
+                    if joined and a <= joined[-1][1]:
+                        joined[-1][1] = max(joined[-1][1], e)
+                    else:
+                        joined.append([a, e, x[1]])
+                single = sorted({p for x in asked if not x["whole"] for p in range(x["place"], x["place"] + x["more"] + 1)})
+                a = np.array([*(x[0] for x in joined), *single], np.int64)
+                e = np.array([*(x[1] for x in joined), *(p + least for p in single)], np.int64)
+                whole = np.arange(len(a)) < len(joined)
+                hashed = np.zeros(len(a), np.int64)
+                if single:
+                    sums, back = _sums(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
+                    hashed[~whole] = _windows(sums, back, least)[single].view(np.int64)
+                full = [np.full(len(a), v, np.int64) for v in (key, doc)]
+                o_doc = np.array([*(x[2] for x in joined), *[0] * len(single)], np.int64)
+                yield dict(zip(names, (hashed, *full, a, e, starts[a], ends[e - 1], o_doc, whole)))
+
+    # Rows equal in id and text have one key: a second one tells the same.
+    return arrow_map(docs.join(lists, "key").select("key", "doc", "text", "asked"), schema, run)
 
 
 def repeats(docs: DataFrame, least: int = LEAST_WORDS, seed: int = SEED_WORDS) -> DataFrame:
     """Passages that an earlier place holds too: doc_id, key, start, end (code points, end
-    exclusive), n_words, kept_doc_id (where the original of its first suffix is).
+    exclusive), n_words, kept_doc_id (where the original of its first words is).
 
     Every passage of `least` words or more that two places hold is found in all but its
-    first place.  Words are compared as they are, blanks between them do not matter.  A
-    stretch is extended against the originals at its two ends, up to least - seed words;
-    those then shorter than `least` words are no passages.  Texts that are null or have
-    fewer words give no rows; rows equal in id and text count as one document; an empty
-    table gives none.
+    first place, and nothing else.  Words are compared as they are, blanks between them do
+    not matter; passages that touch are one.  Texts that are null or have fewer words give
+    no rows; rows equal in id and text count as one document; an empty table gives none.
     """
-    rows = _documents(docs)
-    found = copies(settle(suffix_list(rows, least, seed), "suffixes")).distinct()
-    ends = settle(stretches(found, seed), "stretches")
-    sides = [(F.col(f"{s}.{k}").alias("key"), F.col(f"{s}.{p}").alias("place"), F.lit(s == "head").alias("left"))
-             for s in ("head", "tail") for k, p in (("o_key", "o_place"),)]
-    own = [(F.col("key"), F.col(f"{s}.place").alias("place"), F.lit(s == "head").alias("left")) for s in ("head", "tail")]
-    asked = ends.select(*own[0])
-    for cols in (own[1], *sides):
-        asked = asked.union(ends.select(*cols))
-    context = settle(_contexts(rows.filter("text is not null"), asked.distinct(), seed, least - seed), "contexts")
-
-    out = ends
-    for side in ("head", "tail"):
-        at = context.filter(F.col("left") == (side == "head"))
-        mine = at.select("key", F.col("place").alias(f"{side}_p"), F.col("words").alias(f"{side}_w"), F.col("offsets").alias(f"{side}_at"))
-        other = at.select(F.col("key").alias(f"{side}_ok"), F.col("place").alias(f"{side}_op"), F.col("words").alias(f"{side}_ow"))
-        out = out.withColumns({f"{side}_p": F.col(f"{side}.place"), f"{side}_ok": F.col(f"{side}.o_key"),
-                               f"{side}_op": F.col(f"{side}.o_place")})
-        out = out.join(mine, ["key", f"{side}_p"]).join(other, [f"{side}_ok", f"{side}_op"])
-        out = out.withColumn(f"{side}_n", _common(f"{side}_w", f"{side}_ow"))
-    spans = out.select(
-        "key", "doc", (F.col("head_p") - F.col("head_n")).alias("a"), (F.col("tail_p") + seed + F.col("tail_n")).alias("e"),
-        F.get("head_at", F.col("head_n")).alias("start"), F.get("tail_at", F.col("tail_n")).alias("end"),
-        F.col("head.o_doc").alias("kept"))
-    # Stretches that meet after extension are one passage.
+    rows = _documents(docs).filter("text is not null")
+    whole, among = copies(settle(suffix_list(rows, least, seed), "suffixes"), ["more"], "neighbours")
+    asked = whole.select("key", "place", "more", "o_doc", F.lit(True).alias("whole")).union(
+        among.select("key", "place", "more", F.lit(0).cast("long"), F.lit(False)))
+    found = settle(_passages(rows, asked, least), "passages")
+    single = found.filter(~F.col("whole")).select(F.col("hash").alias("seed"), F.lit(0).cast("long").alias("context"), "doc", "key",
+                                                  F.col("a").alias("place"), "e", "start", "end")
+    parts, _ = copies(single, ["e", "start", "end"], "passage-neighbours")
+    spans = found.filter("whole").select("key", "doc", "a", "e", "start", "end", "o_doc").union(
+        parts.select("key", "doc", "place", "e", "start", "end", "o_doc"))
     order = Window.partitionBy("key").orderBy("a", "e")
     before = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
     named = spans.withColumn("new", F.coalesce(F.col("a") > before, F.lit(True)).cast("int")).withColumn(
         "n", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = named.groupBy("key", "n").agg(F.min("doc").alias("doc"), F.min("start").alias("start"), F.max("end").alias("end"),
-                                          (F.max("e") - F.min("a")).alias("n_words"), F.min(F.struct("a", "kept")).alias("k"))
-    return whole.filter(F.col("n_words") >= least).select(
-        F.nullif("doc", F.lit(_NO_ID)).alias("doc_id"), "key", "start", "end", "n_words",
-        F.nullif("k.kept", F.lit(_NO_ID)).alias("kept_doc_id"))
+    joined = named.groupBy("key", "n").agg(F.min("doc").alias("doc"), F.min("start").alias("start"), F.max("end").alias("end"),
+                                           (F.max("e") - F.min("a")).alias("n_words"), F.min(F.struct("a", "o_doc")).alias("k"))
+    return joined.select(F.nullif("doc", F.lit(_NO_ID)).alias("doc_id"), "key", "start", "end", "n_words",
+                         F.nullif("k.o_doc", F.lit(_NO_ID)).alias("kept_doc_id"))
 
 
 def cut_repeats(docs: DataFrame, least: int = LEAST_WORDS, seed: int = SEED_WORDS) -> DataFrame:

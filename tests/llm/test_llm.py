@@ -421,6 +421,23 @@ def test_repeats(spark, texts):
     assert dict(got) == want
 
 
+def test_repeats_behind_an_earlier_part_of_them(spark):
+    """A document that holds only a part of a passage hides no later copy of the whole."""
+    rows = []
+    for n in range(40):
+        for size, a, b in ((55, 3, 52), (60, 8, 52), (69, 10, 59), (50, 0, 49)):
+            words = prose(size, 9000 + 10 * n + size).split()[:size]
+            for part in (words[a:b], words, words):
+                i = len(rows)
+                rows.append((i, " ".join([prose(25, 20000 + i), *part, prose(25, 40000 + i)])))
+    want = plain_windows(rows, 50)
+    got = {}
+    for x in suffixes.repeats(frame(spark, rows).repartition(5)).collect():
+        words = [m.start() for m in WORD.finditer(rows[x["doc_id"]][1])]
+        got.setdefault(x["doc_id"], set()).update(n for n, at in enumerate(words) if x["start"] <= at < x["end"])
+    assert got == want
+
+
 def test_cut_repeats(docs, texts):
     cut = suffixes.cut_repeats(docs)
     assert cut.columns == SCHEMA.replace(",", "").split()[::2]

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bookloom.llm.common import DOCUMENTS, arrow_map
+from bookloom.operators.common import settle
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -32,17 +33,41 @@ orange apple banana coffee cookie cheese flower pepper ginger silver golden purp
 red tiger eagle killer hunter ranger soccer hockey jordan michael charlie thomas robert daniel andrew jessica
 ashley january february march april may june july august september october november december monday tuesday
 wednesday thursday friday saturday sunday the and for not you with this that""".split()
+COLUMNS = ["1qaz", "2wsx", "3edc", "4rfv", "5tgb", "6yhn", "7ujm", "8ik", "9ol"]
 ROWS = ["qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrstuvwxyz"]
 LEET = str.maketrans("4301$5@7", "aeolssat")
 GUESS_BITS = 40.0
 _SEGMENT_BITS = 1.0
+#: The corpus's own words: the commonest WORD_COUNT that stand in WORD_DOCS documents or more.
+WORD_COUNT, WORD_DOCS, WORD_CHARS = 50_000, 3, 24
+#: Longest block whose repeats are known.
+BLOCK = 16
 
 
 @functools.cache
 def _tables() -> tuple[dict[str, float], dict[tuple[str, str], bool], int]:
     ranks = {w: math.log2(n + 2) for n, w in enumerate(dict.fromkeys(WORDS))}
-    near = {p: True for row in ROWS for way in (row, row[::-1]) for p in zip(way, way[1:])}
-    return ranks, near, max(map(len, ranks))
+    return ranks, _steps(ROWS), max(map(len, ranks))
+
+
+def _steps(lines: list[str]) -> dict[tuple[str, str], bool]:
+    return {p: True for line in lines for way in (line, line[::-1]) for p in zip(way, way[1:])}
+
+
+class Known:
+    """Words of password lists and of a corpus, both by rank, with their guess costs."""
+
+    def __init__(self, words: list[str] = ()) -> None:
+        common, self.near, _ = _tables()
+        self.down = _steps(COLUMNS)
+        self.ranks = {w: math.log2(n + 2) for n, w in enumerate(words)}
+        self.ranks |= {w: min(bits, self.ranks.get(w, bits)) for w, bits in common.items()}
+        self.longest = max(map(len, self.ranks))
+
+
+@functools.cache
+def _listed() -> Known:
+    return Known()
 
 
 def _char_bits(c: str) -> float:
@@ -64,30 +89,40 @@ def _date_bits(s: str) -> float | None:
     return None
 
 
-def guess_bits(value: str) -> float:
+def guess_bits(value: str, known: Known | None = None, block: int = 1) -> float:
     """log2 of the guesses that the cheapest reading of the value takes: segments that are
     frequent words (also in capitals or with look-alike digits), dates, repeats of one
-    character, walks along a keyboard or alphabet row, or single brute-force characters.
+    character or of blocks of up to `block`, walks along a keyboard or alphabet row or down
+    or up a keyboard column, or single brute-force characters.
 
     best[j] is the least cost of the first j characters.  Words are at most as long as the
     longest known one and a repeat or walk only ever extends the run ending at j, so the
     time is linear in the value's length.
     """
-    ranks, near, longest = _tables()
+    known = known or _listed()
+    ranks, near, down, longest = known.ranks, known.near, known.down, known.longest
     low = value.lower()
     if len(low) != len(value):
         low = value
     leet = low.translate(LEET)
-    best, same, walk = [0.0], 0, 0
+    best, same, walk, fall = [0.0], 0, 0, 0
+    again = [0] * (block + 1)
     for j in range(1, len(value) + 1):
         c = low[j - 1]
         same = same + 1 if j > 1 and low[j - 2] == c else 1
         walk = walk + 1 if j > 1 and (low[j - 2], c) in near else 1
+        fall = fall + 1 if j > 1 and (low[j - 2], c) in down else 1
         cost = best[j - 1] + _char_bits(value[j - 1]) + (0.0 if value[j - 1] == c else 1.0)
         if same >= 3:
             cost = min(cost, best[j - same] + _char_bits(c) + math.log2(same) + _SEGMENT_BITS)
-        if walk >= 3:
-            cost = min(cost, best[j - walk] + math.log2(2 * 47) + math.log2(walk) + _SEGMENT_BITS)
+        for steps in (walk, fall):
+            if steps >= 3:
+                cost = min(cost, best[j - steps] + math.log2(2 * 47) + math.log2(steps) + _SEGMENT_BITS)
+        for n in range(2, min(block, j - 1) + 1):
+            # As many characters as there are equal the ones n before them.
+            again[n] = again[n] + 1 if value[j - 1] == value[j - 1 - n] else 0
+            if again[n] >= n and (times := again[n] // n):
+                cost = min(cost, best[j - n * times] + math.log2(block) + math.log2(times + 1) + _SEGMENT_BITS)
         for i in range(max(0, j - longest), j - 2):
             for form in (low, leet):
                 if (bits := ranks.get(form[i:j])) is not None:
@@ -100,7 +135,25 @@ def guess_bits(value: str) -> float:
     return best[-1]
 
 
-def find(text: str, least_bits: float = GUESS_BITS) -> list[tuple[str, int, int]]:
+def corpus_words(docs: DataFrame, count: int = WORD_COUNT, least_docs: int = WORD_DOCS) -> list[str]:
+    """The commonest words of the texts, lower-cased letters only, by the number of texts
+    that hold them.  What follows a credential word is not counted, so that a secret in
+    many copies does not become a word.  At most `count` words of WORD_CHARS letters reach
+    the driver and the workers; of words equally common all or none do."""
+    outside = F.regexp_replace(F.lower("text"), "(?i)" + CONTEXT.pattern, " ")
+    words = F.array_distinct(F.regexp_extract_all(outside, F.lit(r"(?<![\p{L}\p{N}])(\p{L}{3,%d})(?![\p{L}\p{N}])" % WORD_CHARS), F.lit(1)))
+    found = settle(docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n")).filter(
+        F.col("n") >= least_docs), "words")
+    # How many words are how common tells where to stop, before any word is collected.
+    total, least = 0, None
+    for n, some in sorted(found.groupBy("n").agg(F.count("*")).collect(), reverse=True):
+        if (total := total + some) > count:
+            break
+        least = n
+    return [w for w, n in sorted(found.filter(F.col("n") >= least).collect(), key=lambda r: (-r[1], r[0]))] if least else []
+
+
+def find(text: str, least_bits: float = GUESS_BITS, known: Known | None = None) -> list[tuple[str, int, int]]:
     """(kind, start, end) by start, then kind: code points, end exclusive.  Base kinds are
     whole matches; `guess` is the value after a credential word if guessing it costs at
     least 2**least_bits tries."""
@@ -108,7 +161,7 @@ def find(text: str, least_bits: float = GUESS_BITS) -> list[tuple[str, int, int]
     low = text.lower()
     if any(h in low for h in _HINTS):
         out += [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_CHARS]
-        out += [("guess", *m.span(1)) for m in CONTEXT.finditer(text) if guess_bits(m[1]) >= least_bits]
+        out += [("guess", *m.span(1)) for m in CONTEXT.finditer(text) if guess_bits(m[1], known, BLOCK) >= least_bits]
     if "AKIA" in text:
         out += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= ACCESS_CHARS]
     out += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
@@ -127,11 +180,15 @@ def mask(text: str, spans: list[tuple[str, int, int]], filler: str = "[SECRET]")
 
 def scan(docs: DataFrame, least_bits: float = GUESS_BITS) -> DataFrame:
     """doc_id, spans array<struct<kind,start,end>> for every row.  Null texts count as empty
-    (no spans); repeated rows are scanned alike; other columns are ignored."""
+    (no spans); repeated rows are scanned alike; other columns are ignored.  The texts' own
+    frequent words count as guessable."""
+    words = corpus_words(docs)
+
     def run(batches):
+        known = Known(words)
         for b in batches:
             yield {"doc_id": b["doc_id"],
-                   "spans": [[dict(zip(("kind", "start", "end"), s)) for s in find(t or "", least_bits)] for t in b["text"]]}
+                   "spans": [[dict(zip(("kind", "start", "end"), s)) for s in find(t or "", least_bits, known)] for t in b["text"]]}
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return arrow_map(rows, "doc_id long, spans array<struct<kind:string,start:int,end:int>>", run)
 
@@ -139,11 +196,14 @@ def scan(docs: DataFrame, least_bits: float = GUESS_BITS) -> DataFrame:
 def masked(docs: DataFrame, least_bits: float = GUESS_BITS, filler: str = "[SECRET]") -> DataFrame:
     """The columns of documents with every secret replaced by `filler` and n_chars counted
     anew there; rows without one are unchanged, null texts stay null."""
+    words = corpus_words(docs)
+
     def run(batches):
+        known = Known(words)
         for b in batches:
             texts, sizes = list(b["text"]), list(b["n_chars"])
             for i, t in enumerate(texts):
-                if t and (spans := find(t, least_bits)):
+                if t and (spans := find(t, least_bits, known)):
                     texts[i] = mask(t, spans, filler)
                     sizes[i] = len(texts[i])
             yield b | {"text": texts, "n_chars": sizes}

@@ -284,6 +284,23 @@ def test_masking(spark, docs):
             assert (r["text"], r["n_chars"]) == (before[i]["text"], before[i]["n_chars"])
 
 
+def test_prose_after_a_credential_word_is_left_alone(spark):
+    prose_ = "every login is available and a password is required. the secret is consistency"
+    rows = [(i, f"{w} availability available, required consistency {i}") for i, w in enumerate("abcde")]
+    rows += [(10 + i, prose_) for i in range(4)]
+    rows += [(20 + i, "the password is kqzvwxjyfhbn today") for i in range(5)]   # copies make it no word
+    got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secrets.scan(frame(spark, rows)).collect()}
+    assert got == {i: ["guess"] if i >= 20 else [] for i, _ in rows}
+    kept = {r["doc_id"]: r["text"] for r in secrets.masked(frame(spark, rows)).collect()}
+    assert all(kept[i] == t for i, t in rows if i < 20) and all("[SECRET]" in kept[i] for i, _ in rows if i >= 20)
+
+
+def test_guess_cost_of_columns_and_blocks():
+    assert secrets.guess_bits("1qaz2wsx") < 25 and secrets.guess_bits("zaq1xsw2") < 25
+    assert secrets.guess_bits("x9!Kx9!Kx9!K", block=secrets.BLOCK) < secrets.guess_bits("x9!K") + 8
+    assert secrets.find("the password is x9!Kx9!Kx9!K") == []
+
+
 # --- WARC ----------------------------------------------------------------------------------
 
 def test_warc_round_trip(spark):

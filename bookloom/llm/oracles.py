@@ -44,3 +44,20 @@ TOP_K = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(2
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+RANKED = r"""WITH cut AS (SELECT '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+' AS c, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
+d AS (SELECT row_number() OVER () AS r, doc_id, translate(text, u, l) AS t FROM documents, cut),
+w AS (SELECT r, doc_id, unnest(regexp_split_to_array(t, c)) AS term FROM d, cut),
+tf AS (SELECT r, doc_id, term, count(*) AS tf FROM w WHERE term <> '' GROUP BY ALL),
+n AS (SELECT r, sum(tf)::BIGINT AS n FROM tf GROUP BY r),
+g AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM n),
+m AS (SELECT r, 100 - 25 + ((25 * n * docs) // total) AS m FROM n, g),
+b AS (SELECT row_number() OVER () AS q, item_id, translate(text, u, l) AS t FROM benchmark, cut),
+x AS (SELECT q, item_id, unnest(regexp_split_to_array(t, c)) AS term FROM b, cut),
+qf AS (SELECT q, item_id, term, count(*) AS times FROM x WHERE term <> '' GROUP BY ALL),
+wt AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, g GROUP BY term, docs),
+s AS (SELECT q, item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM qf JOIN wt USING (term) JOIN tf USING (term) JOIN m USING (r) GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST, r) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM k WHERE rank <= 20"""

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bookloom.llm import bpe, classifier, oracles, packing, rules, secrets, sharding, simhash, suffixes, topk, warc
+from bookloom.llm import (bpe, classifier, maxsketch, oracles, packing, rules, secrets, sharding, simhash, suffixes, suffixtree, topk,
+                          warc, whitening)
 from bookloom.llm.common import table
 
 QUERIES: dict = {}
@@ -85,3 +86,18 @@ def op8(spark, sf_dir):
 @query("op5_warc", oracles.WARC)
 def op5(spark, sf_dir):
     return warc.archive(table(spark, sf_dir, "pages")).drop("url_key")
+
+
+@query("op11_max_sketch_search", oracles.RANKED)
+def op11(spark, sf_dir):
+    return maxsketch.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_suffix_tree_scores")
+def op12(spark, sf_dir):
+    return suffixtree.score(table(spark, sf_dir, "documents"))
+
+
+@query("op13_whitening")
+def op13(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")

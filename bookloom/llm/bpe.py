@@ -24,6 +24,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from bookloom.llm.common import arrow_map
 
@@ -72,7 +73,12 @@ class Coder:
         self.piece = self.merge._core_bpe.encode_single_piece
         self.special = special
         self.at_special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        self.pieces = regex.compile(PIECES)
+        self.splitter = Tokenizer.from_file(path).pre_tokenizer
+
+    def pieces(self, text: str) -> list[str]:
+        """The pieces that the vocabulary's own splitter finds, so that letters are the same
+        ones whatever a text's length."""
+        return [text[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(text)]
 
     def join(self, left: list[int], right: list[int], window: int = 8) -> list[int]:
         """The ranks of left's and right's bytes together, from the ranks of each."""
@@ -95,7 +101,7 @@ class Coder:
         if max(map(len, text.split()), default=0) * 4 <= self.leaf or len(text) * 4 <= self.leaf:
             return self.merge.encode_ordinary(text)
         out: list[int] = []
-        for p in self.pieces.findall(text):
+        for p in self.pieces(text):
             out += self.tree(p.encode())
         return out
 
@@ -154,7 +160,7 @@ def parts_of(c: Coder, text: str, size: int) -> Iterator[tuple[int, bool, list[i
             continue
         held: list[bytes] = []
         n = 0
-        for piece in c.pieces.findall(p):
+        for piece in c.pieces(p):
             if held and n + len(piece) * 4 > size:
                 yield -1, False, list(map(len, held)), b"".join(held)
                 held, n = [], 0

@@ -384,6 +384,20 @@ def test_bpe_trees(byte_tokenizer):
             assert c.decode(ids) == byte_tokenizer.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_paths_agree_on_every_code_point(byte_tokenizer):
+    """Which characters count as letters is the vocabulary's business on each path."""
+    c = bpe.coder(bpe.default_path())
+    points = [chr(p) for p in range(0x110000) if not 0xD800 <= p < 0xE000]
+    points = [ch for ch in points if ord(ch) < 0x33500 or 0xE0000 <= ord(ch) < 0xE0200 or ord(ch) % 997 == 0]
+    for at in range(0, len(points), 400):
+        short = "".join(f" z {ch}'ll a{ch}1 " for ch in points[at:at + 400])
+        long = "x" * 200 + short
+        assert c.encode(short).tolist() == byte_tokenizer.encode(short, add_special_tokens=False).ids
+        want = byte_tokenizer.encode(long, add_special_tokens=False).ids
+        assert c.encode(long).tolist() == want
+        assert c.ids[[r for _, _, sizes, raw in bpe.parts_of(c, long, 2000) for r in c.pieced(raw, sizes)]].tolist() == want
+
+
 # --- Top-k ---------------------------------------------------------------------------------
 
 def test_top_k(spark):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -404,16 +405,17 @@ def test_top_k(spark):
     r = np.random.default_rng(1)
     rows = [(i, r.normal(0, 0.3, 12).round(2).tolist()) for i in range(300)]
     rows += [(300, rows[0][1]), (301, rows[0][1]), (302, None), (303, [1.0, float("nan")]), (304, [float("inf")] * 12),
-             (305, [1.0, None]), (350, []), (400, [1e30] * 12), (401, [0.5]), (100, rows[100][1]), (None, rows[5][1])]
+             (305, [1.0, None]), (350, []), (400, [1e30] * 12), (401, [0.5]), (100, rows[100][1]), (None, rows[5][1]),
+             (450, [300000.0, 1.0]), (451, [300000.0, 1.0]), (452, [400000.0, 0.0]), (453, [262144.0, 900000.0]), (454, [-1e30, 2e30])]
     frame_ = spark.createDataFrame([(*x, 1, 2) for x in rows], "vec_id long, embedding array<float>, id int, q int")
     got = topk.top_k(frame_, "vec_id", "embedding", F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False)), block_rows=64, query_rows=4)
-    ok = [(i, [int(np.floor(np.clip(256 * float(np.float32(x)), -topk.LIMIT, topk.LIMIT))) for x in v]) for i, v in rows
+    ok = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows
           if v is not None and all(x is not None and np.isfinite(np.float32(x)) for x in v)]
     want = []
     for a, (i, q) in enumerate(ok):
         if i is not None and i % 50 == 0:
             all_ = [(-sum(x * y for x, y in zip(q, v)), float("inf") if j is None else j, j) for b, (j, v) in enumerate(ok) if b != a]
-            want += [(i, n + 1, j, -s) for n, (s, _, j) in enumerate(sorted(all_, key=lambda x: x[:2])[:5])]
+            want += [(i, n + 1, j, max(-1 << 63, min((1 << 63) - 1, -s))) for n, (s, _, j) in enumerate(sorted(all_, key=lambda x: x[:2])[:5])]
     assert key(got.collect()) == key(want)
 
 

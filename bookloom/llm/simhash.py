@@ -26,7 +26,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bookloom.llm.common import DOCUMENTS, arrow_map
@@ -152,18 +152,140 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("doc_id", "_row", "text"), "doc_id long, _row long, fp long", run)
 
 
-def _apart(a: str, b: str):
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+class Forest:
+    """Sets of fingerprints that grow together."""
 
+    def __init__(self) -> None:
+        self.above: dict[int, int] = {}
 
-def groups(prints: DataFrame, distance: int = DISTANCE, thirds: bool = True) -> DataFrame:
+    def root(self, x: int) -> int:
+        while (up := self.above.get(x, x)) != x:
+            self.above[x] = self.above.get(up, up)
+            x = up
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether that made one set of two."""
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.above[max(a, b)] = min(a, b)
+            self.above.setdefault(min(a, b), min(a, b))
+        return a != b
+
+
+def _close(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
+    return np.bitwise_count(a ^ b) <= distance
+
+
+def spanning(fp: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Places of links that join all that links within `distance` bits join, each member
+    being linked from one reached before."""
+    waiting, out = np.arange(len(fp)), []
+    while len(waiting):
+        front, waiting = waiting[:1], waiting[1:]
+        while len(front) and len(waiting):
+            found = np.zeros(len(waiting), bool)
+            for at in front:
+                near = ~found & _close(fp[waiting], fp[at], distance)
+                out += [(int(at), int(x)) for x in waiting[near]]
+                found |= near
+            front, waiting = waiting[found], waiting[~found]
+    return out
+
+
+def list_links(batches, distance: int, longest: int):
+    """From rows sorted by key: links that join each list of equal keys as far as links
+    within `distance` bits do, less those that earlier ones of the task imply; and the rows
+    of lists of over `longest`, which are only joined in parts here."""
+    forest = Forest()
+    carried = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    none, opened = np.zeros(0, np.int64), False
+
+    def lists(key: np.ndarray, fp: np.ndarray):
+        """Links of whole lists, or of a part of one."""
+        first = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
+        size = np.diff(np.append(first, len(key)))
+        two = first[size == 2]
+        two = two[_close(fp[two], fp[two + 1], distance)] if len(two) else two
+        pairs = [p for p in zip(fp[two].tolist(), fp[two + 1].tolist()) if forest.join(*p)]
+        for at, n in zip(first[size > 2], size[size > 2]):
+            part = fp[at:at + n]
+            if len({forest.root(x) for x in part.tolist()}) > 1:
+                linked = ((int(part[i]), int(part[j])) for i, j in spanning(part, distance))
+                pairs += [p for p in linked if forest.join(*p)]
+        return pairs
+
+    def rows(pairs, key, fp):
+        u, v = (np.array(x, np.int64) for x in (zip(*pairs) if pairs else ((), ())))
+        return {"key": np.append(np.zeros(len(u), np.int64), key), "u": np.append(u, fp), "v": np.append(v, fp)}
+
+    for b in batches:
+        key, fp = (np.append(held, b[c]) for held, c in zip(carried, ("key", "fp")))
+        last = int(np.searchsorted(key, key[-1])) if len(key) else 0
+        if last and opened:
+            # The list that was given out in parts ends here.
+            end = int(np.searchsorted(key, key[0], "right"))
+            yield rows(lists(key[:end], fp[:end]), key[:end], fp[:end])
+            key, fp, last, opened = key[end:], fp[end:], last - end, False
+        if last:
+            first = np.flatnonzero(np.diff(key[:last], prepend=key[0] - 1))
+            long = np.repeat(np.diff(np.append(first, last)) > longest, np.diff(np.append(first, last)))
+            yield rows(lists(key[:last][~long], fp[:last][~long]), none, none)
+            yield from (rows(lists(key[:last][long][i:i + longest], fp[:last][long][i:i + longest]), key[:last][long][i:i + longest],
+                             fp[:last][long][i:i + longest]) for i in range(0, int(long.sum()), longest))
+        key, fp = key[last:], fp[last:]
+        while len(key) > longest:
+            opened = True
+            yield rows(lists(key[:longest], fp[:longest]), key[:longest], fp[:longest])
+            key, fp = key[longest:], fp[longest:]
+        carried = key, fp
+    key, fp = carried
+    yield rows(lists(key, fp), *((key, fp) if opened else (none, none)))
+
+
+#: Longer lists of equal keys are compared in blocks of this size, by several tasks.
+LIST = 2048
+
+
+def _across(rows: DataFrame, distance: int, block: int) -> DataFrame:
+    """Links (u, v) between the components u, v of rows(key, fp, component) of equal keys:
+    the rows outside a list's commonest component against those of other components, a
+    block of each at a time."""
+    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(
+        F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("kinds"),
+        F.sum("n").alias("all"), F.max("n").alias("top")).filter("kinds > 1")
+    mixed = rows.join(sizes, "key")
+
+    def blocks(df: DataFrame, total: Column, name: str) -> DataFrame:
+        share = F.pmod(F.xxhash64("fp"), F.ceil(total / block))
+        return df.groupBy("key", share.alias(f"block_{name}")).agg(
+            F.collect_list("fp").alias(f"fp_{name}"), F.collect_list("component").alias(f"c_{name}"))
+
+    few = blocks(mixed.filter("component <> most"), F.col("all") - F.col("top"), "a")
+    many = blocks(mixed, F.col("all"), "b")
+
+    def run(batches):
+        for b in batches:
+            forest, pairs = Forest(), []
+            for fa, ca, fb, cb in zip(*(b[c] for c in ("fp_a", "c_a", "fp_b", "c_b"))):
+                fb, cb = np.array(fb, np.int64), np.array(cb, np.int64)
+                for x, c in zip(fa, ca):
+                    for other in np.unique(cb[_close(fb, np.int64(x), distance)]).tolist():
+                        if forest.join(c, other):
+                            pairs.append((c, other))
+            yield {"u": [u for u, _ in pairs], "v": [v for _, v in pairs]}
+
+    pairs = few.join(many, "key").drop("key")
+    return arrow_map(pairs.repartition("block_a", "block_b", F.hash("fp_a")).select("fp_a", "c_a", "fp_b", "c_b"), "u long, v long", run)
+
+
+def groups(prints: DataFrame, distance: int = DISTANCE, thirds: bool = True, longest: int = LIST) -> DataFrame:
     """(fp, component) for distinct fingerprints fp: the components of the graph that links
     fingerprints at `distance` or fewer bits (at most 4).
 
-    No list of equal keys is paired with itself.  First each fingerprint is compared with
-    the least and greatest of each list it is in, which joins dense groups whole.  Only lists
-    that then still mix components are looked at again: there the rows outside the list's
-    commonest component are compared with those of other components, and nothing within one.
+    The keys are sorted, and each list of equal keys is joined where it lies; only links that
+    grow a component leave a task.  Lists of over `longest` fingerprints are joined part by
+    part, and then those that still mix components once more, by blocks of rows.
     """
     assert 0 <= distance <= DISTANCE
 
@@ -174,27 +296,19 @@ def groups(prints: DataFrame, distance: int = DISTANCE, thirds: bool = True) ->
             for at in range(0, len(key), 1 << 18):
                 yield {"key": key[at:at + (1 << 18)], "fp": fp[place[at:at + (1 << 18)]]}
 
-    # Made twice rather than written: the keys are many times the fingerprints, so these
-    # are spread over as many tasks as the keys' shuffle has.
+    def find(batches):
+        return list_links(batches, distance, longest)
+
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = arrow_map(prints.select("fp").repartition(parts), "key long, fp long", run)
-    ends = rows.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi")
-    shared = settle(rows.join(ends, "key"), "simhash-shared")
-    stars = [shared.filter((F.col("fp") != F.col(p)) & (_apart("fp", p) <= distance)).select(
-        F.col("fp").alias("u"), F.col(p).alias("v")) for p in ("lo", "hi")]
-    first = components(stars[0].union(stars[1]))
-
-    named = F.coalesce("component", "fp")
-    member = shared.select("key", "fp").join(first.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "key", "fp", named.alias("c"))
-    common = member.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(
-        F.max_by("c", F.struct("n", "c")).alias("most"), F.count("*").alias("kinds")).filter("kinds > 1").drop("kinds")
-    mixed = member.join(common, "key")
-    few = mixed.filter("c <> most").select("key", F.col("fp").alias("fp_a"), F.col("c").alias("u"))
-    many = mixed.select("key", F.col("fp").alias("fp_b"), F.col("c").alias("v"), (F.col("c") == F.col("most")).alias("top"))
-    links = few.join(many, (few["key"] == many["key"]) & (F.col("u") != F.col("v"))
-                     & (F.col("top") | (F.col("fp_a") < F.col("fp_b"))) & (_apart("fp_a", "fp_b") <= distance))
-    second = components(links.select("u", "v").distinct()).select(
+    found = settle(arrow_map(rows.repartition("key").sortWithinPartitions("key"), "key long, u long, v long", find), "simhash-links")
+    first = components(found.filter("u <> v").select("u", "v"))
+    again = found.filter("u = v").select("key", F.col("u").alias("fp"))
+    if again.isEmpty():
+        return first.select(F.col("node").alias("fp"), "component")
+    named = again.distinct().join(first.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "key", "fp", F.coalesce("component", "fp").alias("component"))
+    second = components(_across(settle(named, "simhash-long-lists"), distance, longest)).select(
         F.col("node").alias("component"), F.col("component").alias("whole"))
     joined = first.join(second, "component", "left").select(
         F.col("node").alias("fp"), F.coalesce("whole", "component").alias("component"))

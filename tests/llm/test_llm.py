@@ -138,7 +138,8 @@ def test_simhash_keys_miss_no_pair_within_four_bits(thirds):
     assert all(a & b for a, b in zip(sets(x), sets(y)))
 
 
-def test_simhash_dense_and_chained_groups(spark):
+@pytest.mark.parametrize("longest", [3, 20, 2048])
+def test_simhash_dense_and_chained_groups(spark, longest):
     r = np.random.default_rng(4)
     centre = r.integers(-2 ** 63, 2 ** 63 - 1, 6)
     prints = []
@@ -149,7 +150,7 @@ def test_simhash_dense_and_chained_groups(spark):
             prints.append(x)
         prints += [int(c) ^ (1 << a) ^ (1 << b) for a in range(0, 30, 3) for b in range(1, 30, 4)]
     prints = sorted(set(prints))
-    got = dict(simhash.groups(spark.createDataFrame([(p,) for p in prints], "fp long")).collect())
+    got = dict(simhash.groups(spark.createDataFrame([(p,) for p in prints], "fp long"), longest=longest).collect())
     label = plain_components([p & (1 << 64) - 1 for p in prints])
     same = defaultdict(set)
     for p, g in zip(prints, label):
@@ -157,6 +158,31 @@ def test_simhash_dense_and_chained_groups(spark):
     assert len(same) == len(set(label)) and all(len(s) == 1 for s in same.values())
 
 
+@pytest.mark.parametrize("flips, longest", [(5, 2048), (5, 16), (6, 2048)])
+def test_simhash_balls_that_are_linked_in_parts(spark, flips, longest):
+    """Many fingerprints around one centre: near enough to share keys, not all to be linked."""
+    r = np.random.default_rng(flips)
+    centre, prints = int(r.integers(0, 2 ** 62)), set()
+    while len(prints) < 400:
+        x = centre
+        for b in r.choice(63, flips, replace=False):
+            x ^= 1 << int(b)
+        prints.add(x)
+    prints = np.array(sorted(prints), np.int64)
+    got = dict(simhash.groups(spark.createDataFrame([(int(p),) for p in prints], "fp long"), longest=longest).collect())
+    near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 4
+    label = np.arange(len(prints))
+    while True:
+        least = np.where(near, label[None, :], len(prints)).min(1)
+        if (least == label).all():
+            break
+        label = least
+    same = defaultdict(set)
+    for p, g in zip(prints.tolist(), label.tolist()):
+        same[got.get(p, p)].add(g)
+    assert 1 < len(set(label.tolist())) == len(same) and all(len(s) == 1 for s in same.values())
+
+
 def test_components(spark):
     r = random.Random(8)
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(8, 40)] + [(3, 3), (50, 51), (51, 50)]

@@ -1,10 +1,13 @@
 """Recommendations for every reader: pool, strata, slots, sample.
 
-Nothing here pairs readers with the whole catalogue.  Items that match a reader's
-tags come from tag joins; the items that match none of them ("forced" rows, which
-only fill the residual stratum) stay implicit: their score does not depend on the
-reader, so they are counted per score value and fetched from per-score lists only as
-far as the sample can reach.
+Nothing here writes or sorts readers x items.  Readers with the same vectors share a taste;
+per taste, items are grouped into cells by the tags they match.  A reader's strength depends
+on the cell alone, so scores of matching items are only counted, per reader, stratum and
+value.  The items that match none of the tags ("forced" rows, which only fill the residual
+stratum) stay implicit: their score does not depend on the reader, so they are counted per
+taste and score.  From the counts follow the sizes, the tie chunks and how many rows of each
+chunk the sample can reach; rows in a chunk are taken in tossed order, so only those below a
+toss that all but surely suffices are named, and whoever falls short is asked again in full.
 """
 
 from __future__ import annotations
@@ -87,14 +90,22 @@ def vector_strata(overlap: DataFrame, underused: DataFrame, unit: str) -> DataFr
             .select("reader_id", unit, F.concat(F.lit("vector:"), "vector").alias("stratum")))
 
 
-def floor_strata(pool: DataFrame, items: DataFrame, at_risk: DataFrame) -> DataFrame:
-    """(reader_id, item_key, stratum) for pool items that help an unmet floor."""
+def floor_facts() -> Column:
+    """What an item can count towards, as kind/name."""
     genre = F.array_distinct(F.array_compact(F.array(F.lower("primary_genre"), F.lower("secondary_genre"))))
-    facts = F.concat(
+    return F.concat(
         F.array_compact(F.array(F.when(F.col("indie"), "tag/indie"), F.when(F.col("classic"), "tag/classic"))),
         F.transform(genre, lambda g: F.concat(F.lit("genre/"), g)))
-    helped = items.select("item_key", F.explode(facts).alias("fact"))
-    floors = at_risk.select("reader_id", "name", F.concat_ws("/", "kind", F.lower("name")).alias("fact"))
+
+
+def floor_fact() -> Column:
+    return F.concat_ws("/", "kind", F.lower("name"))
+
+
+def floor_strata(pool: DataFrame, items: DataFrame, at_risk: DataFrame) -> DataFrame:
+    """(reader_id, item_key, stratum) for pool items that help an unmet floor."""
+    helped = items.select("item_key", F.explode(floor_facts()).alias("fact"))
+    floors = at_risk.select("reader_id", "name", floor_fact().alias("fact"))
     wanted = pool.join(floors.select("reader_id").distinct(), "reader_id", "left_semi")
     return (wanted.select("reader_id", "item_key").join(helped, "item_key").join(floors, ["reader_id", "fact"])
             .select("reader_id", "item_key", F.concat(F.lit("floor:"), "name").alias("stratum")).distinct())
@@ -210,6 +221,16 @@ def fill(ranked: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return chosen.select("reader_id", place.cast("bigint").alias("place"), "item_key", "stratum", "score")
 
 
+#: Tosses fall into levels by halves: level i holds those from 2^-(i + 1) to 2^-i.
+_LEVELS = 40
+
+
+def _level(toss: Column) -> Column:
+    """The level of a toss; a bound's level is that of the greatest tosses it lets in."""
+    halves = F.floor(-F.log2(F.greatest(toss, F.lit(2.0 ** -_LEVELS)))).cast("int")
+    return F.least(F.greatest(halves, F.lit(0)), F.lit(_LEVELS))
+
+
 class Recommender:
     """Inputs of one run, with the tables several steps share written once.
 
@@ -227,7 +248,7 @@ class Recommender:
         tags = settle(tags, "tags")
         self.items, self.tags, self.links, self.n, self.lean, self.seed = items, tags, links, n, lean, seed
         self.state, self.floors, self.today, self.tie_orders = state, floors, today, tie_orders
-        self.vectors, self.members = vectors, members
+        self.vectors, self.members, self.variance = vectors, members, variance
         self.live = settle(reader.active_members(vectors, members), "active-members")
         # A reader without an active vector has nothing to match against.
         owners = self.live.select("reader_id").distinct()
@@ -245,7 +266,7 @@ class Recommender:
         term = rating_term(F.col("effective"))
         self.quality = settle(
             facts.join(profiles, "item_key", "left")
-            .select("item_key", "profile", "title", "indie", "classic", "primary_genre", "secondary_genre",
+            .select(F.monotonically_increasing_id().alias("iid"), "item_key", "profile", floor_facts().alias("facts"),
                     term.alias("term"), rounded_sum(term).alias("base"),
                     filters.open_entry().alias("open_entry")), "quality-items")
 
@@ -257,157 +278,204 @@ class Recommender:
                                      self.state)
         return under, risk
 
+    # -- tastes and cells
+    def _tastes(self) -> None:
+        """readers(reader_id, shape, mode, under, floors), and per shape its members, the
+        cell of every profile that shares a tag, and each cell's tags."""
+        per = self.live.groupBy("reader_id").agg(
+            F.array_sort(F.collect_set(F.struct("vector", "ord", "kind", "tag"))).alias("taste"))
+        tastes = settle(per.select("taste").distinct().withColumn("shape", F.monotonically_increasing_id()), "tastes")
+        under = self.under.groupBy("reader_id").agg(F.collect_set("vector").alias("under"))
+        floors = self.risk.groupBy("reader_id").agg(F.collect_set(F.struct(
+            floor_fact().alias("fact"), F.concat(F.lit("floor:"), "name").alias("stratum"))).alias("floors"))
+        self.readers = settle(per.join(tastes, "taste").drop("taste").join(self.modes, "reader_id", "left")
+                              .join(under, "reader_id", "left").join(floors, "reader_id", "left"), "readers")
+        self.shape_members = tastes.select("shape", F.explode("taste").alias("t")).select("shape", "t.*")
+        held = self.profile_tags.join(self.quality.select("profile").distinct(), "profile", "left_semi")
+        matched = self.shape_members.select("shape", "kind", "tag").distinct().join(held, ["kind", "tag"]).groupBy(
+            "shape", "profile").agg(F.array_sort(F.collect_list(F.struct("kind", "tag"))).alias("tags"))
+        self.matched = settle(matched.withColumn("cell", F.xxhash64("shape", "tags")), "shape-profiles")
+        cells = self.matched.select("shape", "cell", "tags").distinct()
+        self.cell_tags = settle(cells.select("shape", "cell", F.explode("tags").alias("t")).select("shape", "cell", "t.*"), "cell-tags")
+        self.overlap = settle(self.shape_members.join(self.cell_tags, ["shape", "kind", "tag"]).groupBy(
+            "shape", "cell", "vector", "ord").agg(F.count("*").alias("overlap")), "cell-overlap")
+
+    def _leads(self) -> DataFrame:
+        """(shape, profile, lead): the central vector of profiles that also pull outside it."""
+        by_profile = self.matched.select(F.col("shape").alias("reader_id"), "profile", "cell").join(
+            self.overlap.withColumnRenamed("shape", "reader_id"), ["reader_id", "cell"])
+        edges = adjacency(by_profile, self.profile_tags, self.shape_members.withColumnRenamed("shape", "reader_id"), "profile")
+        return edges.select(F.col("reader_id").alias("shape"), "profile", F.col("vector").alias("lead"))
+
+    def _cells(self, groups) -> DataFrame:
+        """One row per reader and cell: strength, and the strata of its underused vectors."""
+        vectors = self.overlap.groupBy("shape", "cell").agg(F.collect_set("vector").alias("vectors"))
+        pairs = self.readers.join(vectors, "shape")
+        strength = reader.anchor_strength(pairs.select("reader_id", "cell"), self.cell_tags.select("cell", "kind", "tag"), groups, "cell")
+        strata = F.transform(F.array_intersect("vectors", F.coalesce("under", F.array())), lambda v: F.concat(F.lit("vector:"), v))
+        return settle(pairs.join(strength, ["reader_id", "cell"], "left").select(
+            "reader_id", "shape", "cell", "mode", "floors", "strength", strata.alias("strata")), "reader-cells")
+
     # -- pool
-    def relevant(self) -> DataFrame:
-        """(reader_id, profile) with the vectors' overlap, for active readers."""
-        hits = self.live.join(self.profile_tags, ["kind", "tag"])
-        return hits.groupBy("reader_id", "profile", "vector", "ord").agg(F.count("*").alias("overlap"))
+    def _pool(self) -> DataFrame:
+        """(reader_id, item_key, iid, score, strata): items that match a reader's tags and may
+        be offered.  A stream that is counted and filtered, never written or shuffled whole."""
+        closed = (self.known.join(self.readers.select("reader_id", "shape"), "reader_id")
+                  .join(self.quality.select("iid", "item_key", "profile", "term", "facts"), "iid")
+                  .join(self.near_profiles, ["shape", "profile"])
+                  .join(self.cells.drop("shape"), ["reader_id", "cell"]))
+        columns = ["reader_id", "iid", "item_key", "term", "facts", "lead", "mode", "floors", "strength", "strata"]
+        rows = self.cells.join(self.near_open.drop("base"), ["shape", "cell"]).select(*columns).unionByName(closed.select(*columns))
+        rows = rows.join(self.barred, ["reader_id", "iid"], "left_anti").join(self.linked, ["reader_id", "iid"], "left")
+        floors = F.transform(F.filter(F.coalesce("floors", F.array()), lambda f: F.array_contains("facts", f["fact"])), lambda f: f["stratum"])
+        usual = F.array_distinct(F.concat("strata", floors))
+        usual = F.when(F.size(usual) > 0, usual).otherwise(F.array(F.lit(RESIDUAL)))
+        edge = F.when(F.col("lead").isNotNull(), F.array(F.concat(F.lit("adjacent:"), "lead"))).otherwise(F.array().cast("array<string>"))
+        return rows.select("reader_id", "iid", "item_key",
+                           rounded_sum(F.col("term"), F.col("strength"), link_bonus(F.col("links"))).alias("score"),
+                           F.when(F.col("mode") == "adjacent", edge).otherwise(usual).alias("strata"))
 
     def run(self) -> dict[str, DataFrame]:
         n, keys = self.n, ["reader_id", "item_key"]
         under, risk = self.gaps()
-        under, risk = settle(under, "underused"), settle(risk, "at-risk")
-        overlap = settle(self.relevant(), "profile-overlap")
-        near = overlap.select("reader_id", "profile").distinct()
+        self.under, self.risk = settle(under, "underused"), settle(risk, "at-risk")
+        self._tastes()
         _, anchor_tags = reader.anchors(self.resolved, self.tags, self.live.select(
             "reader_id", "kind", "tag").distinct(), self.today)
         anchor_tags = settle(anchor_tags, "anchors")
-        strength = reader.anchor_strength(near, self.profile_tags, settle(
-            reader.anchor_groups(anchor_tags), "anchor-groups"), "profile")
+        self.cells = self._cells(settle(reader.anchor_groups(anchor_tags), "anchor-groups"))
         # Only items that may be offered matter, and a known author only where it opens one.
-        held = self.quality.select("item_key")
-        liked_links = settle(reader.link_overlap(self.links.join(held.withColumnRenamed("item_key", "src_key"), "src_key", "left_semi"),
+        names = self.quality.select("item_key", "iid", "open_entry")
+        liked_links = settle(reader.link_overlap(self.links.join(names.withColumnRenamed("item_key", "src_key"), "src_key", "left_semi"),
                                                  reader.favourites(self.resolved)), "liked-links")
-        closed = self.items.join(self.quality.filter("not open_entry").select("item_key"), "item_key", "left_semi")
-        known = settle(filters.known_author_items(self.log, closed), "known-authors")
-
-        # Every quality item near a reader by tags, whether or not it may be offered.
-        touching = settle(near.join(self.quality.filter("profile is not null"), "profile")
-                          .select("reader_id", "profile", "item_key", "term", "base", "open_entry"), "touching")
-        offered = (touching.join(self.excluded, keys, "left_anti")
-                   .join(known.withColumn("known", F.lit(True)), keys, "left")
-                   .filter(F.col("open_entry") | F.coalesce("known", F.lit(False))))
-        pool = settle(offered.join(strength, ["reader_id", "profile"], "left").join(liked_links, keys, "left")
-                      .select("reader_id", "profile", "item_key", rounded_sum(
-                          F.col("term"), F.col("strength"), link_bonus(F.col("links"))).alias("score")), "pool")
-        placed = self._place(pool, overlap, under, risk)
-        wide = self.modes.filter(F.col("mode").isin("balanced", "broad")).select("reader_id")
-        explicit, implicit = self._forced(wide, touching, known, liked_links)
-        residual = explicit.select(*keys, F.lit(RESIDUAL).alias("stratum"), "score")
-        rows = settle(placed.select(*keys, "stratum", "score").unionByName(residual), "placed")
-        implicit = settle(implicit, "implicit-counts")
-        ranked, sizes = self._rank(rows, implicit, touching, liked_links)
-        slots = self._slots(sizes, under, risk)
-        chosen = fill(ranked.join(slots, ["reader_id", "stratum"]), n, self.seed)
-        totals = pool.groupBy("reader_id").agg(F.count("*").alias("c")).unionByName(
+        closed = self.items.join(names.filter("not open_entry"), "item_key", "left_semi")
+        self.linked = settle(liked_links.join(names, "item_key").select("reader_id", "iid", "links", "open_entry"), "links-of-items").drop("open_entry")
+        self.barred = settle(self.excluded.join(names, "item_key").select("reader_id", "iid"), "barred")
+        self.known = settle(filters.known_author_items(self.log, closed).join(names, "item_key").select("reader_id", "iid").distinct(),
+                            "known-authors")
+        leads = self._leads() if self.variance == "adjacent" else self.matched.select(
+            "shape", "profile", F.lit(None).cast("string").alias("lead")).limit(0)
+        self.near_profiles = self.matched.select("shape", "profile", "cell").join(leads, ["shape", "profile"], "left")
+        self.near_open = settle(self.near_profiles.join(self.quality.filter("open_entry").drop("open_entry"), "profile").drop("profile"),
+                                "shape-items")
+        pool = self._pool()
+        at = F.posexplode_outer("strata").alias("at", "stratum")
+        tally = settle(pool.select("reader_id", "score", at).groupBy("reader_id", "stratum", "score").agg(
+            F.count("*").alias("c"), F.count_if(F.coalesce("at", F.lit(0)) == 0).alias("items")), "score-counts")
+        wide = self.readers.filter(F.col("mode").isin("balanced", "broad")).select("reader_id", "shape")
+        explicit, implicit = self._forced(wide)
+        residual = F.lit(RESIDUAL).alias("stratum")
+        counts = (tally.filter("stratum is not null").select("reader_id", "stratum", "score", "c")
+                  .unionByName(explicit.groupBy("reader_id", residual, "score").agg(F.count("*").alias("c")))
+                  .unionByName(implicit.select("reader_id", residual, F.col("base").alias("score"), F.col("left").alias("c")))
+                  .groupBy("reader_id", "stratum", "score").agg(F.sum("c").alias("c")))
+        chunks, sizes = self._chunks(settle(counts, "all-score-counts"))
+        placed = pool.select("reader_id", "iid", "item_key", "score", F.explode("strata").alias("stratum")).unionByName(
+            explicit.withColumn("stratum", F.lit(RESIDUAL)))
+        ranked = self._rank(placed, chunks, wide, implicit)
+        slots = self._slots(sizes, self.under, self.risk)
+        chosen = fill(ranked.join(sizes, ["reader_id", "stratum"]).join(slots, ["reader_id", "stratum"]), n, self.seed)
+        totals = tally.groupBy("reader_id").agg(F.sum("items").alias("c")).unionByName(
             explicit.groupBy("reader_id").agg(F.count("*").alias("c"))).unionByName(
                 implicit.groupBy("reader_id").agg(F.sum("left").alias("c")))
         pool_size = totals.groupBy("reader_id").agg(F.sum("c").alias("pool_size"))
-        return {"chosen": chosen, "pool": pool, "pool_size": pool_size, "slots": slots, "placed": rows,
-                "sizes": sizes, "overlap": overlap, "underused": under, "at_risk": risk,
+        return {"chosen": chosen, "pool_size": pool_size, "slots": slots, "placed": placed.select(*keys, "stratum", "score"),
+                "sizes": sizes, "underused": self.under, "at_risk": self.risk,
                 "liked_links": liked_links, "anchor_tags": anchor_tags}
 
-    def _place(self, pool, overlap, under, risk) -> DataFrame:
-        """Strata of the matching pool: underused vectors and unmet floors, or residual;
-        in adjacent mode, the central vector of items that also pull outside it."""
-        keys = ["reader_id", "item_key"]
-        adjacent = self.modes.filter("mode = 'adjacent'").select("reader_id")
-        usual = pool.join(adjacent, "reader_id", "left_anti")
-        by_vector = usual.join(vector_strata(overlap, under, "profile"), ["reader_id", "profile"])
-        floors = floor_strata(usual, self.quality, risk)
-        hits = by_vector.select(*keys, "stratum").unionByName(floors)
-        rest = usual.join(hits, keys, "left_anti").select(*keys, F.lit(RESIDUAL).alias("stratum"))
-        central = adjacency(overlap, self.profile_tags, self.live, "profile").select(
-            "reader_id", "profile", F.concat(F.lit("adjacent:"), "vector").alias("stratum"))
-        edge = (pool.join(adjacent, "reader_id", "left_semi").join(central, ["reader_id", "profile"])
-                .select(*keys, "stratum"))
-        return hits.unionByName(rest).unionByName(edge).join(pool.select(*keys, "score"), keys)
-
-    def _forced(self, wide, touching, known, liked_links):
+    def _forced(self, wide) -> tuple[DataFrame, DataFrame]:
         """Quality items near none of a reader's tags.
 
         Returns the rows that need naming (liked links, or open only because the author
         is known) and, per score, how many of the others there are."""
-        keys = ["reader_id", "item_key"]
-        facts = self.quality.select("item_key", "term", "base", "open_entry")
-        linked = liked_links.join(wide, "reader_id", "left_semi").join(facts, "item_key")
-        by_author = known.join(wide, "reader_id", "left_semi").join(facts.filter("not open_entry"), "item_key")
-        named = (linked.select(*keys, "term", "open_entry", "links")
-                 .join(by_author.select(*keys, F.lit(True).alias("known")), keys, "left")
-                 .unionByName(by_author.join(linked.select(*keys), keys, "left_anti").select(
-                     *keys, "term", "open_entry", F.lit(0).cast("bigint").alias("links"),
-                     F.lit(True).alias("known"))))
-        named = (named.filter(F.col("open_entry") | F.coalesce("known", F.lit(False)))
-                 .join(touching.select(*keys), keys, "left_anti").join(self.excluded, keys, "left_anti"))
-        explicit = settle(named.select(*keys, rounded_sum(F.col("term"), link_bonus(F.col("links"))).alias("score")),
+        by = ["reader_id", "iid"]
+        facts = self.quality.select("iid", "item_key", "profile", "term", "open_entry")
+        offered = (self.linked.withColumn("link", F.lit(True)).join(self.known.withColumn("author", F.lit(True)), by, "full")
+                   .join(wide, "reader_id").join(facts, "iid")
+                   .join(self.matched.select("shape", "profile"), ["shape", "profile"], "left_anti")
+                   .join(self.barred, by, "left_anti"))
+        named = offered.filter(F.col("open_entry") | F.coalesce("author", F.lit(False)))
+        explicit = settle(named.select("reader_id", "iid", "item_key", rounded_sum(F.col("term"), link_bonus(F.col("links"))).alias("score")),
                           "forced-named")
-        # Open items that are not implicit for the reader: near, excluded, or liked links.
-        out = touching.filter("open_entry").select(*keys).unionByName(
-            self.excluded.join(facts.filter("open_entry"), "item_key").select(*keys)).unionByName(
-                linked.filter("open_entry").select(*keys)).distinct()
-        self.removed = settle(out.join(wide, "reader_id", "left_semi").join(
-            self.quality.select("item_key", "base"), "item_key"), "removed")
-        gone = self.removed.groupBy("reader_id", "base").agg(F.count("*").alias("gone"))
-        # At most 2,001 rows: the term is clamped to +-1 and rounded to thousandths.
-        scale = self.quality.filter("open_entry").groupBy("base").agg(F.count("*").alias("held"))
-        grid = wide.join(F.broadcast(scale.agg(F.collect_list(F.struct("base", "held")).alias("scale"))))
-        grid = grid.select("reader_id", F.inline("scale"))
-        left = F.col("held") - F.coalesce("gone", F.lit(0))
-        implicit = (grid.join(gone, ["reader_id", "base"], "left")
-                    .select("reader_id", "base", F.coalesce("gone", F.lit(0)).alias("gone"), "held",
-                            left.alias("left")).filter("left > 0"))
-        return explicit, implicit
-
-    def _rank(self, rows, implicit, touching, liked_links):
-        """First n rows per reader and stratum, with the stratum's full size."""
+        # Per taste what is left of each score; at most 2,001 scores: the term is clamped to
+        # +-1 and rounded to thousandths.
+        held = self.quality.filter("open_entry").groupBy("base").agg(F.count("*").alias("held"))
+        near = self.near_open.groupBy("shape", "base").agg(F.count("*").alias("near"))
+        shapes = wide.select("shape").distinct()
+        left = F.col("held") - F.coalesce("near", F.lit(0))
+        scale = F.broadcast(held.agg(F.collect_list(F.struct("base", "held")).alias("scale")))
+        far = (shapes.join(scale).select("shape", F.inline("scale")).join(near, ["shape", "base"], "left")
+               .select("shape", "base", left.alias("far")).filter("far > 0"))
+        # A reader's own open items among these: excluded ones and liked links.
+        own = (self.barred.unionByName(self.linked.select(*by)).distinct().join(wide, "reader_id")
+               .join(self.quality.filter("open_entry").select("iid", "profile", "base"), "iid"))
+        self.own_far = settle(own.join(self.matched.select("shape", "profile"), ["shape", "profile"], "left_anti").select(
+            *by, "base"), "own-far")
+        gone = self.own_far.groupBy("reader_id", "base").agg(F.count("*").alias("gone"))
+        implicit = (wide.join(far, "shape").join(gone, ["reader_id", "base"], "left")
+                    .select("reader_id", "base", (F.col("far") - F.coalesce("gone", F.lit(0))).alias("left")).filter("left > 0"))
+        return explicit, settle(implicit, "implicit-counts")
+
+    def _chunks(self, counts) -> tuple[DataFrame, DataFrame]:
+        """The chunks that the sample can reach: (reader_id, stratum, chunk, low, high, c, need,
+        below), `below` being the toss under which enough of its rows lie, all but surely; and
+        the sizes of all strata."""
         n, by = self.n, ["reader_id", "stratum"]
-        draw = self.draw()
-
-        def toss(d, stratum):
-            return values.unit_hash(F.lit(str(self.seed)), d, stratum, "item_key")
-        hidden = implicit.select("reader_id", F.lit(RESIDUAL).alias("stratum"), F.col("base").alias("score"), "left")
-        chunks = settle(tie_chunks(rows.select(*by, "score").unionByName(hidden.select(*by, "score")), by), "chunks")
-        ordered = rows.join(chunks, [*by, "score"]).withColumn("toss", toss(draw, F.col("stratum")))
-        sizes = (rows.groupBy(*by).agg(F.count("*").alias("size"))
-                 .unionByName(hidden.groupBy(*by).agg(F.sum("left").alias("size")))
-                 .groupBy(*by).agg(F.sum("size").alias("size")))
-        # How many residual rows come before each chunk decides which scores can be reached.
-        per_chunk = (rows.filter(F.col("stratum") == RESIDUAL).groupBy("reader_id", "score")
-                     .agg(F.count("*").alias("c"))
-                     .unionByName(hidden.select("reader_id", "score", F.col("left").alias("c")))
-                     .join(chunks.filter(F.col("stratum") == RESIDUAL), ["reader_id", "score"])
-                     .groupBy("reader_id", "chunk").agg(F.sum("c").alias("c")))
-        before = F.coalesce(F.sum("c").over(Window.partitionBy("reader_id").orderBy("chunk").rowsBetween(
+        sizes = settle(counts.groupBy(*by).agg(F.sum("c").alias("size")), "sizes")
+        per = counts.join(tie_chunks(counts, by), [*by, "score"]).groupBy(*by, "chunk").agg(
+            F.sum("c").alias("c"), F.min("score").alias("low"), F.max("score").alias("high"))
+        before = F.coalesce(F.sum("c").over(Window.partitionBy(*by).orderBy("chunk").rowsBetween(
             Window.unboundedPreceding, -1)), F.lit(0))
-        reach = per_chunk.withColumn("before", before).filter(F.col("before") < n).select("reader_id", "chunk")
-        open_scores = (implicit.withColumnRenamed("base", "score")
-                       .join(chunks.filter(F.col("stratum") == RESIDUAL), ["reader_id", "score"])
-                       .join(reach, ["reader_id", "chunk"]))
-        # Skipping the reader's own rows, n more are enough from each score's list.
-        depth = F.least(F.col("held"), F.col("gone") + n)
-        spots = (open_scores.withColumn("draw", draw)
-                 .select("reader_id", "score", "chunk", "draw", F.explode(F.sequence(F.lit(1), depth)).alias("pos")))
-        lists = settle(self._lists(toss), "score-lists")
-        fetched = (spots.join(lists, ["score", "draw", "pos"])
-                   .join(self.removed.select("reader_id", "item_key"), ["reader_id", "item_key"], "left_anti")
-                   .select("reader_id", F.lit(RESIDUAL).alias("stratum"), "item_key", "score", "chunk", "toss"))
-        both = ordered.select(*by, "item_key", "score", "chunk", "toss").unionByName(fetched)
-        top = top_rows(both, by, [F.col("chunk"), F.col("toss"), F.col("item_key")], n)
-        return (top.select(*by, "item_key", "score", F.col("_rn").alias("rank")).join(sizes, by), sizes)
-
-    def _lists(self, toss) -> DataFrame:
-        """(score, draw, pos, item_key, toss): open items of each score in toss order.
-        The toss is uniform, so its first digits cut a crowded score into even parts."""
-        rows = (self.quality.filter("open_entry").select("item_key", F.col("base").alias("score"))
+        need = F.least(F.lit(n) - F.col("before"), F.col("c"))
+        below = F.least(F.lit(1.0), (4 * F.col("need") + 40) / F.col("c"))
+        reached = per.withColumn("before", before).filter(F.col("before") < n).withColumn("need", need)
+        return settle(reached.withColumn("below", below).drop("before"), "chunks"), sizes
+
+    def _rank(self, placed, chunks, wide, implicit) -> DataFrame:
+        """(reader_id, stratum, item_key, score, rank): the first n rows of each stratum."""
+        by = ["reader_id", "stratum"]
+        lists = settle(self._lists(), "toss-lists")
+        found = settle(self._candidates(placed, chunks, wide, implicit, lists), "candidates")
+        got = found.groupBy(*by, "chunk").agg(F.count("*").alias("got"))
+        short = settle(chunks.join(got, [*by, "chunk"], "left").filter(F.coalesce("got", F.lit(0)) < F.col("need")).drop("got")
+                       .withColumn("below", F.lit(1.0)), "short")
+        if not short.isEmpty():
+            again = self._candidates(placed, short, wide, implicit, lists)
+            found = settle(found.join(short, [*by, "chunk"], "left_anti").unionByName(again), "candidates-again")
+        top = top_rows(found, by, [F.col("chunk"), F.col("toss"), F.col("item_key")], self.n)
+        return top.select(*by, "item_key", "score", F.col("_rn").alias("rank"))
+
+    def _candidates(self, placed, chunks, wide, implicit, lists) -> DataFrame:
+        """Rows of the given chunks whose toss lies below the chunk's bound."""
+        by, out = ["reader_id", "stratum"], ["reader_id", "stratum", "item_key", "score", "chunk", "toss"]
+        spans = chunks.groupBy(*by).agg(F.collect_list(F.struct("low", "high", "chunk", "below")).alias("spans"))
+        own = F.get(F.filter("spans", lambda x: F.col("score").between(x["low"], x["high"])), F.lit(0))
+        named = (placed.join(spans, by).withColumn("span", own).filter(F.col("span").isNotNull())
+                 .withColumns({"chunk": F.col("span.chunk"), "toss": self._toss(self.draw(), F.col("stratum"))})
+                 .filter(F.col("toss") <= F.col("span.below")).select(*out))
+        residual = (chunks.filter(F.col("stratum") == RESIDUAL).join(wide, "reader_id").withColumn("draw", self.draw())
+                    .select("reader_id", "shape", "draw", "chunk", "low", "high", "below"))
+        # Few rows of a chunk are asked for: by the level of their toss.  All: by their scores.
+        some = residual.filter("below < 1").withColumn("level", F.explode(F.sequence(_level(F.col("below")), F.lit(_LEVELS))))
+        some = some.join(lists, ["draw", "level"]).filter(F.col("base").between(F.col("low"), F.col("high")) & (F.col("toss") <= F.col("below")))
+        every = (residual.filter("below >= 1").join(implicit, "reader_id").filter(F.col("base").between(F.col("low"), F.col("high")))
+                 .join(lists, ["draw", "base"]))
+        columns = ["reader_id", "shape", "iid", "item_key", "profile", "base", "chunk", "toss"]
+        forced = (some.select(*columns).unionByName(every.select(*columns))
+                  .join(self.matched.select("shape", "profile"), ["shape", "profile"], "left_anti")
+                  .join(self.own_far.select("reader_id", "iid"), ["reader_id", "iid"], "left_anti")
+                  .select("reader_id", F.lit(RESIDUAL).alias("stratum"), "item_key", F.col("base").alias("score"), "chunk", "toss"))
+        return named.unionByName(forced)
+
+    def _toss(self, draw: Column, stratum: Column) -> Column:
+        return values.unit_hash(F.lit(str(self.seed)), draw, stratum, "item_key")
+
+    def _lists(self) -> DataFrame:
+        """(draw, level, iid, item_key, profile, base, toss): open items in each tie order."""
+        rows = (self.quality.filter("open_entry").select("iid", "item_key", "profile", "base")
                 .withColumn("draw", F.explode(F.array(*[F.lit(str(d)) for d in range(self.tie_orders)])))
-                .withColumn("toss", toss(F.col("draw"), F.lit(RESIDUAL))))
-        rows = rows.withColumn("part", F.floor(F.col("toss") * 64).cast("int"))
-        sizes = rows.groupBy("score", "draw", "part").agg(F.count("*").alias("c"))
-        before = Window.partitionBy("score", "draw").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-        starts = sizes.select("score", "draw", "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("s"))
-        inner = Window.partitionBy("score", "draw", "part").orderBy("toss", "item_key")
-        return (rows.withColumn("r", F.row_number().over(inner)).join(starts, ["score", "draw", "part"])
-                .select("score", "draw", (F.col("s") + F.col("r")).alias("pos"), "item_key", "toss"))
+                .withColumn("toss", self._toss(F.col("draw"), F.lit(RESIDUAL))))
+        return rows.withColumn("level", _level(F.col("toss")))
 
     def draw(self) -> Column:
         """Which of the tie orders a reader has."""

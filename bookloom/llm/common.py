@@ -37,3 +37,15 @@ def arrow_map(df: DataFrame, schema: str, rows: Callable[[Iterator[dict]], Itera
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return df.mapInArrow(run, kind)
+
+
+def text_groups(batch: dict[str, list], chars: int = 1 << 22) -> Iterator[dict[str, list]]:
+    """A batch's rows in order, texts of `chars` characters together or a longer one alone."""
+    start, size = 0, 0
+    for at, text in enumerate(batch["text"]):
+        if at > start and size + len(text or "") > chars:
+            yield {k: v[start:at] for k, v in batch.items()}
+            start, size = at, 0
+        size += len(text or "")
+    if start < len(batch["text"]):
+        yield {k: v[start:] for k, v in batch.items()}

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookloom.llm.common import arrow_map
+from bookloom.llm.common import arrow_map, text_groups
 from bookloom.operators.common import settle, top_rows
 
 K = 20
@@ -58,7 +58,7 @@ class _Places(dict):
         self.size = size
 
     def __missing__(self, term: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         out = self[term] = coordinate(term, self.size)
         return out
@@ -79,7 +79,7 @@ def build(docs: DataFrame, coordinates: int = COORDINATES) -> DataFrame:
     most (its sketch).  Written; null and empty texts have no term and are left out."""
     def run(batches):
         places = _Places(coordinates)
-        for b in batches:
+        for b in (g for batch in batches for g in text_groups(batch)):
             out = {"row": [], "doc_id": [], "text": [], "n": [], "at": [], "most": []}
             for row, doc, text in zip(b["row"], b["doc_id"], b["text"]):
                 if tf := counts(text):
@@ -156,9 +156,9 @@ def frequencies(index: DataFrame, wanted: DataFrame) -> DataFrame:
         for b in batches:
             for text in b["text"]:
                 seen.update(counts(text).keys())
-            if len(seen) > 500_000:
-                yield {"term": list(seen), "df": list(seen.values())}
-                seen = Counter()
+                if len(seen) > 200_000:
+                    yield {"term": list(seen), "df": list(seen.values())}
+                    seen = Counter()
         yield {"term": list(seen), "df": list(seen.values())}
 
     held = arrow_map(index.select("text"), "term binary, df long", run).groupBy("term").agg(F.sum("df").alias("df"))
@@ -203,7 +203,8 @@ def _first_scores(index: DataFrame, pairs: DataFrame, items: Items, corpus: Corp
             yield out
 
     few = pairs.groupBy("row").agg(F.collect_set("item").alias("items"))
-    return arrow_map(index.select("row", "text", "n").join(few, "row").drop("row"), "item int, score long", run)
+    # At most k rows an item, so the texts need not move.
+    return arrow_map(index.select("row", "text", "n").join(F.broadcast(few), "row").drop("row"), "item int, score long", run)
 
 
 def _rescored(index: DataFrame, items: Items, corpus: Corpus, coordinates: int, k: int, floor: list[int]) -> DataFrame:

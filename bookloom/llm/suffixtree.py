@@ -28,18 +28,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bookloom.llm.common import arrow_map
+from bookloom.llm.common import arrow_map, text_groups
 from bookloom.operators.common import settle
 
 DEPTH = 6
 #: A successor is held by every task if it makes up this part of all bytes or more,
-SHARE = 1 << 21
+SHARE = 1 << 22
 #: and a word if it makes up this part of all tokens or more.
 WORD_SHARE = 1 << 18
 END = b"\n"
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-#: Bytes that are coded together.
-_CHUNK = 1 << 22
 #: Different codes that a task gathers before it hands its counts on.
 _KEPT = 1 << 22
 
@@ -80,29 +78,17 @@ def _mask(length: int) -> int:
     return (1 << 8 * length) - 1
 
 
-def _groups(batch: dict[str, list]) -> Iterator[dict[str, list]]:
-    """A batch's rows in order, texts of a chunk's size together or a longer one alone."""
-    start, size = 0, 0
-    for at, text in enumerate(batch["text"]):
-        if at > start and size + len(text or "") > _CHUNK:
-            yield {k: v[start:at] for k, v in batch.items()}
-            start, size = at, 0
-        size += len(text or "")
-    if start < len(batch["text"]):
-        yield {k: v[start:] for k, v in batch.items()}
-
-
 #: The kind of a row of counts: a word, or a context's length.
 WORD = -1
 
 
 def count(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(kind, code, n) over docs(text): words by their 64-bit hash (one end per text among
-    them), and each context length's codes."""
+    them), and the codes of the longest contexts."""
     def run(batches):
         held: Counter = Counter()
         parts: list[tuple[np.ndarray, np.ndarray]] = []
-        for group in (g for b in batches for g in _groups(b)):
+        for group in (g for b in batches for g in text_groups(b)):
             texts = [words(t) for t in group["text"]]
             for t in texts:
                 held.update(t)
@@ -110,7 +96,7 @@ def count(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             parts.append(np.unique(codes([marked(t) for t in texts], depth), return_counts=True))
             if sum(len(code) for code, _ in parts) > _KEPT:
                 parts = [_added(parts)]
-                if len(parts[0][0]) > _KEPT // 2:
+                if len(parts[0][0]) > _KEPT // 2 or len(held) > _KEPT // 8:
                     yield from _rows(held, parts, depth)
                     held, parts = Counter(), []
         yield from _rows(held, parts, depth)
@@ -124,31 +110,33 @@ def _rows(held: Counter, parts: list[tuple[np.ndarray, np.ndarray]], depth: int)
         return
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, held), np.uint64, len(held)).view(np.int64)
     yield {"kind": np.full(len(held), WORD), "code": hashes, "n": list(held.values())}
-    for k, code, n in _shorter(*_added(parts), depth):
-        yield {"kind": np.full(len(code), k), "code": code, "n": n}
+    code, n = _added(parts)
+    for at in range(0, len(code), 1 << 18):
+        part = code[at:at + (1 << 18)]
+        yield {"kind": np.full(len(part), depth), "code": part, "n": n[at:at + (1 << 18)]}
+
+
+def levels(counted: DataFrame, depth: int) -> DataFrame:
+    """(kind, code, n) of every context length, each from the counts of the next longer."""
+    level = counted.filter(F.col("kind") == depth)
+    out = level
+    for k in range(depth - 1, -1, -1):
+        level = settle(level.groupBy(F.col("code").bitwiseAND(F.lit(_mask(k + 1))).alias("code")).agg(
+            F.sum("n").alias("n")).select(F.lit(k).alias("kind"), "code", "n"), "contexts-shorter")
+        out = out.unionByName(level)
+    return out
 
 
 def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     code, n = (np.concatenate(x) for x in zip(*parts))
     if len(parts) == 1:
         return code, n
-    return _merged(code, n)
-
-
-def _merged(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(code, kind="stable")
     code, n = code[order], n[order]
     first = np.flatnonzero(np.diff(code, prepend=-1))
     return code[first], np.add.reduceat(n, first)
 
 
-def _shorter(code: np.ndarray, n: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """The counts of each context length, from the deepest up."""
-    for k in range(depth, -1, -1):
-        code, n = _merged(code & _mask(k + 1), n)
-        yield k, code, n
-
-
 @dataclass(frozen=True)
 class Tree:
     """Per context length: sorted contexts of the states with the share they leave to the
@@ -208,19 +196,17 @@ def fit(counted: DataFrame, depth: int = DEPTH, share: int = SHARE, word_share:
     """The tree of written counts.  Of no training text at all every byte has 1 / 256."""
     word = F.col("kind") == WORD
     total = counted.agg(F.sum(F.when(word, F.col("n"))).alias("tokens"), F.count_if(word).alias("distinct"),
-                        F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("bytes")).first()
+                        F.sum(F.when(~word, F.col("n"))).alias("bytes")).first()
     tokens, size = total["tokens"] or 0, total["bytes"] or 0
-    states = [_table([0] if k == 0 else [], [1.0] if k == 0 else []) for k in range(depth + 1)]
-    successors = [_table([], [])] * (depth + 1)
     if not tokens:
-        return Tree(0, states, successors, np.zeros(0, np.int64), np.zeros(0), 0)
-    often = counted.filter(word & (F.col("n") * word_share >= tokens)).select("code", "n").toPandas().sort_values("code")
+        states = [_table([0] if k == 0 else [], [1.0] if k == 0 else []) for k in range(depth + 1)]
+        return Tree(0, states, [_table([], [])] * (depth + 1), np.zeros(0, np.int64), np.zeros(0), 0)
+    often = counted.filter(word & (F.col("n") * word_share >= tokens)).select("code", "n").toArrow().sort_by("code")
     base = np.log10((often["n"].to_numpy() + 1) / (tokens + total["distinct"] + 1))
 
-    pairs = counted.filter("kind >= 0").withColumn("context", F.shiftright("code", 8))
+    pairs = levels(counted, depth).withColumn("context", F.shiftright("code", 8))
     sums = pairs.groupBy("kind", "context").agg(F.sum("n").alias("of"), F.count("*").alias("d"))
-    sums = settle(sums.filter(F.col("of") * share >= size), "contexts")
-    inside = settle(pairs.join(sums, ["kind", "context"]), "successors")
+    inside = settle(pairs.join(sums.filter(F.col("of") * share >= size), ["kind", "context"]), "successors")
     # How far each context lies from the one a byte shorter, whose counts hold all of its own.
     short = F.element_at(F.array(*[F.lit(_mask(k)) for k in range(depth + 1)]), F.col("kind") + 1)
     here = inside.filter("kind > 0").select("kind", "context", "n", "of", "d", F.col("code").bitwiseAND(short).alias("shorter"))
@@ -230,33 +216,32 @@ def fit(counted: DataFrame, depth: int = DEPTH, share: int = SHARE, word_share:
     apart = here.join(there, ["kind", "shorter"]).groupBy("kind", "context").agg(
         gain.alias("gain"), F.first("d").alias("d"))
     stay = apart.filter(F.col("gain") >= F.col("d") * (0.5 * float(np.log(size))))
-    kept = inside.filter((F.col("kind") == 0) | (F.col("n") * share >= size)).select("kind", "code", "n").toPandas()
-    chosen = stay.select("kind", "context").toPandas()
-    known = sums.select("kind", "context", "of", "d").toPandas()
-
-    closed = {k: chosen.loc[chosen["kind"] == k, "context"].to_numpy(np.int64) for k in range(1, depth + 1)}
-    closed[0] = np.zeros(1, np.int64)
-    for k in range(depth, 0, -1):
-        closed[k] = np.unique(closed[k])
-        closed[k - 1] = np.unique(np.append(closed[k - 1], closed[k] & _mask(k - 1)))
+    suffixes = F.array(*[F.struct(F.lit(k).alias("kind"), F.col("context").bitwiseAND(F.lit(_mask(k))).alias("context"))
+                         for k in range(depth + 1)])
+    closed = stay.select(F.explode(F.slice(suffixes, 1, F.col("kind") + 1)).alias("s")).select("s.*").distinct()
+    # A state without a frequent successor hands everything on, as do all that are longer.
+    rows = inside.filter(F.col("n") * share >= size).join(closed, ["kind", "context"], "left_semi").unionByName(
+        inside.filter("kind = 0")).select("kind", "code", "n", "of", "d").distinct().toArrow()
+    return Tree(tokens, *_levels_of(rows, depth), often["code"].to_numpy(), base, total["distinct"])
+
+
+def _levels_of(rows: pa.Table, depth: int) -> tuple[list[tuple], list[tuple]]:
+    """States and successors per context length from rows (kind, code, n, of, d)."""
+    kind, code, n, of, d = (rows[c].to_numpy() for c in ("kind", "code", "n", "of", "d"))
+    states, successors = [], []
     for k in range(depth + 1):
-        of_level = known[known["kind"] == k].sort_values("context")
-        context, of, d = (of_level[c].to_numpy(np.int64) for c in ("context", "of", "d"))
-        at, _ = _find(context, closed[k])
-        of, d = of[at], d[at]
-        level = kept[kept["kind"] == k].sort_values("code")
-        code, n = level["code"].to_numpy(np.int64), level["n"].to_numpy(np.int64)
-        where, ours = _find(closed[k], code >> 8)
-        code, n, where = code[ours], n[ours], where[ours]
-        held = np.bincount(where, n, len(closed[k]))
-        states[k] = _table(closed[k], (of + d - held) / (of + d))
-        successors[k] = _table(code, n / (of + d)[where])
-    return Tree(tokens, states, successors, often["code"].to_numpy(np.int64), base, total["distinct"])
+        own = np.flatnonzero(kind == k)
+        own = own[np.argsort(code[own])]
+        context, first, where = np.unique(code[own] >> 8, return_index=True, return_inverse=True)
+        whole = (of + d)[own][first]
+        states.append(_table(context, (whole - np.bincount(where, n[own], len(context))) / whole))
+        successors.append(_table(code[own], n[own] / (of + d)[own]))
+    return states, successors
 
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         h = xxhash.xxh64_intdigest(word)
         out = self[word] = h - (1 << 64) if h >> 63 else h
@@ -300,7 +285,7 @@ def score(docs: DataFrame, depth: int = DEPTH, share: int = SHARE,
 
     def run(batches):
         hashes = _Hashes()
-        for b in (g for batch in batches for g in _groups(batch)):
+        for b in (g for batch in batches for g in text_groups(batch)):
             texts = [words(t) for t in b["text"]]
             base, known, rare = _word_scores(tree, texts, hashes)
             yield {"row": b["row"], "doc_id": b["doc_id"], "held_out": b["held_out"], "n_tokens": [len(t) + 1 for t in texts],

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bookloom.operators import reader
+from bookloom.operators import filters, reader
 from bookloom.operators.common import settle
 from bookloom.plans import calibrate, decide
 from bookloom.sources import markdown
@@ -209,11 +209,33 @@ def t01(v):
     return _r(older(v), score=4, link_bonus=4)
 
 
+def whole(v):
+    """Readers, passing items and everything that scores or excludes them."""
+    asked = filters.within_limits(min_rating=4.0, min_reviews=500, page_cap=900)
+    return (v.reader_state, v.items.filter(asked), v.item_links, reader.favourite_pools(log(v)), reader.rejection_counts(marks(v)),
+            filters.exclusion_pairs(log(v), v.picks), {"indie": 0.4, "classic": 0.25})
+
+
+# Every reader with every passing item that it has not read or listed.
+_OLDER_ALL = "WITH near AS (SELECT r.reader_id, i.item_key FROM reader_state r CROSS JOIN passing i LEFT JOIN older_barred b ON b.reader_id = r.reader_id AND b.t = i.t AND b.a = i.a WHERE b.t IS NULL)," + _OLDER.split("),", 1)[1].replace("* 0.6e0 + CASE", "* 0.6e0 + CASE").replace(", 4) AS score", ", 9) AS score")
+duck.TABLES.update({
+    "passing": f"""SELECT item_key, {duck.norm_old('title')} AS t, {duck.norm_old('author')} AS a FROM items WHERE title IS NOT NULL AND coalesce(rating, 0) >= 4.0 AND coalesce(reviews, 0) >= 500 AND (coalesce(pages, 0) = 0 OR pages <= 900)""",
+    "older_barred": f"""SELECT reader_id, {duck.norm_old('title')} AS t, {duck.norm_old('author')} AS a FROM log WHERE coalesce(title, '') <> '' UNION SELECT reader_id, {duck.norm_old('title')}, {duck.norm_old('author')} FROM picks WHERE coalesce(title, '') <> ''""",
+})
+
+
+@query("t01_older_ranking", f"SELECT * EXCLUDE (score), round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY reader_id ORDER BY score DESC, item_key) AS rank FROM ({_OLDER_ALL})) WHERE rank <= 20")
+def t01r(v):
+    """The first 20 of all passing items for every reader, with the parts of their scores."""
+    found = decide.older_candidates(*whole(v), need=20, genres=["large"])
+    return _r(found.drop("group"), score=4, link_bonus=4)
+
+
 def _fold(phase: int, on: str) -> str:
     return f"SELECT *, {phase} AS phase, row_number() OVER (PARTITION BY reader_id ORDER BY score DESC, item_key) AS r FROM x WHERE {on}"
 
 
-@query("t03_older_batch", f"""WITH x AS MATERIALIZED (SELECT n.reader_id, n.item_key, n.score, n.deep_cut, coalesce(i.indie, false) AS indie, coalesce(i.classic, false) AS classic FROM ({_OLDER}) n JOIN items i ON i.item_key = n.item_key),
+@query("t03_older_batch", f"""WITH x AS MATERIALIZED (SELECT n.reader_id, n.item_key, n.score, n.deep_cut, coalesce(i.indie, false) AS indie, coalesce(i.classic, false) AS classic FROM ({_OLDER_ALL}) n JOIN items i ON i.item_key = n.item_key),
 steps AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY reader_id ORDER BY phase, r) AS i FROM ({_fold(1, 'indie')} UNION ALL {_fold(2, 'classic')} UNION ALL {_fold(3, 'deep_cut')} UNION ALL {_fold(4, 'true')}) WHERE r <= 9),
 walked AS MATERIALIZED (SELECT * FROM (WITH RECURSIVE f AS (SELECT DISTINCT reader_id, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS keys, 0 AS ni, 0 AS nc, 0 AS nd FROM steps
   UNION ALL SELECT reader_id, i, CASE WHEN ok THEN list_append(keys, item_key) ELSE keys END, ni + CASE WHEN ok AND indie THEN 1 ELSE 0 END, nc + CASE WHEN ok AND classic THEN 1 ELSE 0 END, nd + CASE WHEN ok AND deep_cut THEN 1 ELSE 0 END FROM (
@@ -221,7 +243,8 @@ walked AS MATERIALIZED (SELECT * FROM (WITH RECURSIVE f AS (SELECT DISTINCT read
     FROM f JOIN steps s ON s.reader_id = f.reader_id AND s.i = f.i + 1) z)
   SELECT * FROM f) WHERE (reader_id, i) IN (SELECT reader_id, max(i) FROM steps GROUP BY 1)),
 c AS (SELECT x.*, row_number() OVER (PARTITION BY x.reader_id ORDER BY {duck.hash01("'5'", "CAST(x.reader_id AS VARCHAR)", "x.item_key")}, x.item_key) AS place FROM (SELECT reader_id, unnest(keys) AS item_key FROM walked) w JOIN x ON x.reader_id = w.reader_id AND x.item_key = w.item_key)
-SELECT reader_id, place, item_key, score, deep_cut, min(CASE WHEN deep_cut THEN place END) OVER (PARTITION BY reader_id) AS deep_cut_place FROM c""")
+SELECT reader_id, place, item_key, score, deep_cut, min(CASE WHEN deep_cut THEN place END) OVER (PARTITION BY reader_id) AS deep_cut_place FROM (SELECT * REPLACE (round(score, 4) AS score) FROM c)""")
 def t03(v):
     """Greedy fill: tag minima, one deep cut, then the best left."""
-    return _r(decide.batch(older(v), v.items, {"indie": 2, "classic": 1}, size=4, seed=5), score=4)
+    readers, items, *rest = whole(v)
+    return _r(decide.older_batch(readers, items, *rest, {"indie": 2, "classic": 1}, size=4, seed=5, genres=["large"]), score=4)

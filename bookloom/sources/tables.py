@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookloom.functions import text, values
+from bookloom.operators.common import fresh_path
 
 # Library CSV headers and our column names.
 LIBRARY_COLUMNS = {
@@ -125,3 +128,12 @@ def slim_index(items: DataFrame, links: DataFrame) -> DataFrame:
     lists = links.groupBy(F.col("src_key").alias("item_key")).agg(
         F.array_sort(F.collect_list(F.struct("pos", "dst_key")))["dst_key"].alias("comparable_books"))
     return items.select("item_key", *INDEX_FIELDS).join(lists, "item_key", "left")
+
+
+def bucketed(df: DataFrame, label: str, key: str = "item_key", buckets: int = 32) -> DataFrame:
+    """The frame as a table bucketed and sorted by `key`, in the shared folder: joins and
+    groupings on the key need no exchange on its side.  Repeated values of one key lie in one
+    bucket, so choose a key that no third of the rows shares."""
+    name = f"{label}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", fresh_path(df.sparkSession, label)).saveAsTable(name)
+    return df.sparkSession.table(name)

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from bookloom.functions import text
 from bookloom.operators import audits, catalogue, identity
-from bookloom.operators.common import positive_tags, settle
-from bookloom.sources import records
+from bookloom.operators.common import fresh_path, positive_tags, settle
+from bookloom.sources import records, versions
 from testbed import duck
 from testbed.queries_scalar import LIBRARY, _REWRITE
 from testbed.registry import query
@@ -39,6 +39,21 @@ def m01(v):
     return synced(v).withColumn("changed", F.array_join("changed", "|")).drop("title", "author")
 
 
+@query("m01_versions", """SELECT 1 AS version, item_key, status, pages, reviews, rating, pub_year, series, series_position, series_status FROM old_items
+UNION ALL SELECT 3, item_key, status, pages, reviews, rating, pub_year, series, series_position, series_status FROM synced""")
+def m01v(v):
+    """A stored catalogue synced twice, with a part of the CSV and with all of it: its first
+    version and its last."""
+    old, csv = v.sql(_OLD), v.sql(LIBRARY)
+    store = versions.Store(v.spark, fresh_path(v.spark, "catalogue"), old.schema)
+    store.replace(old)
+    store.sync(csv.filter("pk % 2 = 0"), "pk")
+    last = store.sync(csv, "pk")
+    columns = ["item_key", "status", "pages", "reviews", "rating", "pub_year", "series", "series_position", "series_status"]
+    return store.read(1).select(F.lit(1).alias("version"), *columns).unionByName(
+        store.read(last).select(F.lit(last).alias("version"), *columns))
+
+
 # Replies about every second item: scalars of several types, some of the wrong one, and lists.
 _PATCH = """SELECT item_key, pk, CASE WHEN pk % 6 < 2 THEN 'x' || primary_genre END AS g, pk % 6 AS m FROM items WHERE pk % 2 = 0"""
 _ANSWERS = """SELECT pk AS doc_id, 'Here: {"' || CASE WHEN pk % 8 = 0 THEN upper(item_key) ELSE item_key END || '": {' || CASE pk % 6

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from bookloom.functions import text, values
 from bookloom.operators import filters, identity, reader
-from bookloom.sources import markdown
+from bookloom.sources import markdown, tables
 from testbed import duck
 from testbed.queries_sources import _MARKS, _PROFILE
 from testbed.registry import TODAY, query
@@ -88,6 +88,14 @@ def g31(v):
             .join(total, ["reader_id", "item_key"]))
 
 
+@query("s04_bucketed_tags", """SELECT o.reader_id, o.item_key, string_agg(o.vector, '|' ORDER BY o.vector) AS vectors FROM pick_overlap o GROUP BY 1, 2""")
+def s04b(v):
+    """Vectors of list items over tags stored in buckets of their item."""
+    tags = tables.bucketed(v.item_tags, "item_tags")
+    overlap = reader.vector_overlap(listed(v), tags, reader.active_members(v.vectors, v.vector_members))
+    return reader.matched_vectors(overlap).withColumn("vectors", F.array_join("vectors", "|"))
+
+
 def coverage(v):
     return reader.vector_coverage(listed(v), v.item_tags, v.vectors, v.vector_members)
 

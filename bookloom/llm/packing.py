@@ -6,6 +6,7 @@ import functools
 import json
 import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -117,58 +118,93 @@ def token_pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
                      "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long", run)
 
 
+class Sums:
+    """Which lengths add up to which gap: every single, pair and triple of the lengths there
+    are, by its sum, larger members first.  Counts only ever fall, so what has run out is
+    passed over for good, and a look-up starts at the first combination that may still hold."""
+
+    def __init__(self, left: np.ndarray, capacity: int) -> None:
+        self.left = left
+        there = left > 0
+        self.pairs: list[list[int]] = [[], []]
+        for total in range(2, capacity + 1):
+            large = np.arange(total - 1, (total - 1) // 2, -1)
+            self.pairs.append(large[there[large] & there[total - large]].tolist())
+        self.pair_head = [0] * (capacity + 1)
+        lengths = np.flatnonzero(there)[::-1].tolist()
+        # The first of a triple is its largest: a third of the sum or more.
+        self.firsts = [[n for n in lengths if n < total - 1 and 3 * n >= total and self.pairs[total - n]]
+                       for total in range(capacity + 1)]
+        self.first_head = [0] * (capacity + 1)
+
+    def _gone(self, total: int, large: int) -> bool:
+        small = total - large
+        return not self.left[large] or not self.left[small] or (large == small and self.left[large] < 2)
+
+    def pair(self, total: int, used: Counter) -> tuple[int, int] | None:
+        held, head = self.pairs[total], self.pair_head[total]
+        while head < len(held) and self._gone(total, held[head]):
+            head += 1
+        self.pair_head[total] = head
+        for large in held[head:]:
+            small = total - large
+            twice = large == small
+            if self.left[large] - used[large] > twice and self.left[small] - used[small] > 0:
+                return large, small
+        return None
+
+    def triple(self, total: int, used: Counter) -> tuple[int, int, int] | None:
+        held, head = self.firsts[total], self.first_head[total]
+        while head < len(held) and (not self.left[held[head]]
+                                    or self.pair_head[total - held[head]] == len(self.pairs[total - held[head]])):
+            head += 1
+        self.first_head[total] = head
+        for first in held[head:]:
+            if self.left[first] - used[first] > 0:
+                used[first] += 1
+                two = self.pair(total - first, used)
+                used[first] -= 1
+                if two:
+                    return first, *two
+        return None
+
+    def exact(self, total: int, used: Counter) -> tuple[int, ...] | None:
+        """One, two or three free lengths of exactly this sum."""
+        if self.left[total] - used[total] > 0:
+            return (total,)
+        return self.pair(total, used) or self.triple(total, used)
+
+
 class Planner:
     """Sequences for counts of lengths.  A plan has at most one entry per pattern and
     distinct length in it, whatever the counts: patterns are repeated while they last."""
 
     def __init__(self, counts: np.ndarray, capacity: int) -> None:
         self.left, self.capacity = counts.astype(np.int64).copy(), capacity
-
-    def pair(self, gap: int, used: np.ndarray) -> tuple[int, int] | None:
-        """Two free lengths of exactly this sum, the larger as large as possible."""
-        free = self.left - used
-        half = gap // 2
-        small = np.arange(1, min(half, self.capacity) + 1)
-        small = small[gap - small <= self.capacity]
-        ok = (free[small] > 0) & (free[gap - small] > 0)
-        if gap % 2 == 0 and len(small) and small[-1] == half:
-            ok[-1] = free[half] >= 2
-        hit = np.flatnonzero(ok)
-        return (int(small[hit[0]]), gap - int(small[hit[0]])) if len(hit) else None
-
-    def exact(self, gap: int, used: np.ndarray) -> list[int] | None:
-        """One, two or three free lengths that fill the gap exactly."""
-        free = self.left - used
-        if gap <= self.capacity and free[gap] > 0:
-            return [gap]
-        if two := self.pair(gap, used):
-            return [*two]
-        have = np.flatnonzero(free[:max(gap - 1, 0)] > 0)
-        have = have[have > 0]
-        for first in have[::-1]:
-            if 3 * first < gap:
-                break  # the largest of three is at least a third of the gap
-            used[first] += 1
-            two = self.pair(gap - int(first), used)
-            used[first] -= 1
-            if two:
-                return [int(first), *two]
-        return None
+        self.sums = Sums(self.left, capacity)
 
     def pattern(self) -> dict[int, int]:
         """The next sequence: the longest free length, then whatever fills its gap exactly
         with up to three more; failing that the best fitting one, and again."""
-        used = np.zeros_like(self.left)
-        gap = self.capacity
+        used: Counter = Counter()
+        gap, longest = self.capacity, self.longest
         while gap:
-            free = np.flatnonzero((self.left - used)[:gap + 1] > 0)
-            if not len(free) or not free[-1]:
-                break
-            fill = None if gap == self.capacity else self.exact(gap, used)
-            for n in fill or [int(free[-1])]:
+            fill = None if gap == self.capacity else self.sums.exact(gap, used)
+            if not fill:
+                at = min(gap, longest)
+                while at and self.left[at] - used[at] <= 0:
+                    at -= 1
+                if not at:
+                    break
+                fill = (at,)
+            for n in fill:
                 used[n] += 1
                 gap -= n
-        return {int(n): int(used[n]) for n in np.flatnonzero(used)[::-1]}
+        return {n: used[n] for n in sorted(used, reverse=True) if used[n]}
+
+    @property
+    def longest(self) -> int:
+        return int(np.flatnonzero(self.left)[-1])
 
     def plan(self) -> np.ndarray:
         """Rows (length, first rank, uses per sequence, first sequence, offset), by length

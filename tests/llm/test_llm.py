@@ -10,6 +10,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -624,6 +625,29 @@ def test_planner_uses_every_count_and_fills_exactly():
     assert packing.Planner(counts, 100).plan()[:, 3].max() + 1 <= 5
 
 
+def test_sums_find_a_combination_whenever_there_is_one():
+    r = random.Random(6)
+    for _ in range(15):
+        left = np.zeros(61, np.int64)
+        for n in r.sample(range(1, 61), 9):
+            left[n] = r.randint(1, 3)
+        sums = packing.Sums(left, 60)
+        while left.any():
+            used = Counter()
+            for n in r.choices(np.flatnonzero(left).tolist(), k=r.randint(0, 2)):
+                used[n] += used[n] < left[n]
+            free = [n for n in range(61) for _ in range(int(left[n]) - used[n])]
+            for total in range(1, 61):
+                want = {size: any(sum(c) == total for c in combinations(free, size)) for size in (1, 2, 3)}
+                two, three = sums.pair(total, used), sums.triple(total, used)
+                assert (two is not None, three is not None) == (want[2], want[3])
+                found = sums.exact(total, used)
+                assert (found is not None) == any(want.values())
+                for c in filter(None, (two, three, found)):
+                    assert sum(c) == total and not Counter(c) - Counter(free)
+            left[r.choice(np.flatnonzero(left).tolist())] -= 1
+
+
 # --- All -----------------------------------------------------------------------------------
 
 def test_empty_tables(spark, none):

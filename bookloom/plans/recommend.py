@@ -327,9 +327,11 @@ class Recommender:
         columns = ["reader_id", "iid", "item_key", "term", "facts", "lead", "mode", "floors", "strength", "strata"]
         rows = self.cells.join(self.near_open.drop("base"), ["shape", "cell"]).select(*columns).unionByName(closed.select(*columns))
         rows = rows.join(self.barred, ["reader_id", "iid"], "left_anti").join(self.linked, ["reader_id", "iid"], "left")
-        floors = F.transform(F.filter(F.coalesce("floors", F.array()), lambda f: F.array_contains("facts", f["fact"])), lambda f: f["stratum"])
-        usual = F.array_distinct(F.concat("strata", floors))
-        usual = F.when(F.size(usual) > 0, usual).otherwise(F.array(F.lit(RESIDUAL)))
+        # Most items help no floor; only those that do are looked at one floor at a time.
+        helps = F.arrays_overlap(F.coalesce(F.col("floors.fact"), F.array().cast("array<string>")), "facts")
+        floors = F.transform(F.filter("floors", lambda f: F.array_contains("facts", f["fact"])), lambda f: f["stratum"])
+        usual = F.when(helps, F.array_distinct(F.concat("strata", floors))).when(F.size("strata") > 0, F.col("strata")).otherwise(
+            F.array(F.lit(RESIDUAL)))
         edge = F.when(F.col("lead").isNotNull(), F.array(F.concat(F.lit("adjacent:"), "lead"))).otherwise(F.array().cast("array<string>"))
         return rows.select("reader_id", "iid", "item_key",
                            rounded_sum(F.col("term"), F.col("strength"), link_bonus(F.col("links"))).alias("score"),
@@ -366,10 +368,9 @@ class Recommender:
         explicit, implicit = self._forced(wide)
         residual = F.lit(RESIDUAL).alias("stratum")
         counts = (tally.filter("stratum is not null").select("reader_id", "stratum", "score", "c")
-                  .unionByName(explicit.groupBy("reader_id", residual, "score").agg(F.count("*").alias("c")))
-                  .unionByName(implicit.select("reader_id", residual, F.col("base").alias("score"), F.col("left").alias("c")))
-                  .groupBy("reader_id", "stratum", "score").agg(F.sum("c").alias("c")))
-        chunks, sizes = self._chunks(settle(counts, "all-score-counts"))
+                  .unionByName(explicit.select("reader_id", residual, "score", F.lit(1).cast("bigint").alias("c")))
+                  .unionByName(implicit.select("reader_id", residual, F.col("base").alias("score"), F.col("left").alias("c"))))
+        chunks, sizes = self._chunks(counts)
         placed = pool.select("reader_id", "iid", "item_key", "score", F.explode("strata").alias("stratum")).unionByName(
             explicit.withColumn("stratum", F.lit(RESIDUAL)))
         ranked = self._rank(placed, chunks, wide, implicit)
@@ -421,9 +422,15 @@ class Recommender:
         below), `below` being the toss under which enough of its rows lie, all but surely; and
         the sizes of all strata."""
         n, by = self.n, ["reader_id", "stratum"]
-        sizes = settle(counts.groupBy(*by).agg(F.sum("c").alias("size")), "sizes")
-        per = counts.join(tie_chunks(counts, by), [*by, "score"]).groupBy(*by, "chunk").agg(
-            F.sum("c").alias("c"), F.min("score").alias("low"), F.max("score").alias("high"))
+        # One shuffle by reader and stratum serves the sums, the gaps and the chunks.
+        scores = counts.repartition(*by).groupBy(*by, "score").agg(F.sum("c").alias("c"))
+        down = Window.partitionBy(*by).orderBy(F.desc("score"))
+        drop = F.lag(thousandths(F.col("score"))).over(down) - thousandths(F.col("score")) > TIE_GAP
+        steps = scores.withColumn("opens", F.coalesce(drop, F.lit(False)).cast("int")).withColumn(
+            "chunk", F.sum("opens").over(down.rowsBetween(Window.unboundedPreceding, 0)))
+        per = settle(steps.groupBy(*by, "chunk").agg(
+            F.sum("c").alias("c"), F.min("score").alias("low"), F.max("score").alias("high")), "all-chunks")
+        sizes = settle(per.groupBy(*by).agg(F.sum("c").alias("size")), "sizes")
         before = F.coalesce(F.sum("c").over(Window.partitionBy(*by).orderBy("chunk").rowsBetween(
             Window.unboundedPreceding, -1)), F.lit(0))
         need = F.least(F.lit(n) - F.col("before"), F.col("c"))
@@ -448,11 +455,10 @@ class Recommender:
     def _candidates(self, placed, chunks, wide, implicit, lists) -> DataFrame:
         """Rows of the given chunks whose toss lies below the chunk's bound."""
         by, out = ["reader_id", "stratum"], ["reader_id", "stratum", "item_key", "score", "chunk", "toss"]
-        spans = chunks.groupBy(*by).agg(F.collect_list(F.struct("low", "high", "chunk", "below")).alias("spans"))
-        own = F.get(F.filter("spans", lambda x: F.col("score").between(x["low"], x["high"])), F.lit(0))
-        named = (placed.join(spans, by).withColumn("span", own).filter(F.col("span").isNotNull())
-                 .withColumns({"chunk": F.col("span.chunk"), "toss": self._toss(self.draw(), F.col("stratum"))})
-                 .filter(F.col("toss") <= F.col("span.below")).select(*out))
+        spans = chunks.select(*by, "chunk", "low", "high", "below")
+        named = (placed.join(spans, by).filter(F.col("score").between(F.col("low"), F.col("high")))
+                 .withColumn("toss", self._toss(self.draw(), F.col("stratum")))
+                 .filter(F.col("toss") <= F.col("below")).select(*out))
         residual = (chunks.filter(F.col("stratum") == RESIDUAL).join(wide, "reader_id").withColumn("draw", self.draw())
                     .select("reader_id", "shape", "draw", "chunk", "low", "high", "below"))
         # Few rows of a chunk are asked for: by the level of their toss.  All: by their scores.

@@ -160,18 +160,28 @@ class Tree:
             p = np.where(state, np.where(found, own[of], 0.0) + left[at] * p, p)
         return np.log10(p)
 
-    def log10_each(self, code: np.ndarray) -> np.ndarray:
-        """The same for codes that repeat: each different one is looked up once and found
-        again by a table of hashes, or by its place where two share a slot."""
-        seen = np.unique(code)
-        value = self.log10(seen)
-        bits = int(len(seen)).bit_length() + 2
-        place = np.zeros(1 << bits, np.int32)
-        place[_slot(seen, bits)] = np.arange(len(seen))
-        at = place[_slot(code, bits)]
-        lost = np.flatnonzero(seen[at] != code)
-        at[lost] = np.searchsorted(seen, code[lost])
-        return value[at]
+
+class Known:
+    """Log10 probabilities already looked up, one code per slot of a hash table."""
+
+    def __init__(self, tree: Tree, bits: int = 21) -> None:
+        self.tree, self.bits = tree, bits
+        self.code, self.value = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits)
+
+    def log10(self, code: np.ndarray) -> np.ndarray:
+        slot = _slot(code, self.bits)
+        out = self.value[slot]
+        missed = np.flatnonzero(self.code[slot] != code)
+        if len(missed):
+            new, back = np.unique(code[missed], return_inverse=True)
+            value = self.tree.log10(new)
+            out[missed] = value[back]
+            at = _slot(new, self.bits)
+            self.code[at] = new
+            # Of codes that share a slot one stays, with its own value.
+            stays = self.code[at] == new
+            self.value[at[stays]] = value[stays]
+        return out
 
 
 def _slot(code: np.ndarray, bits: int) -> np.ndarray:
@@ -248,9 +258,9 @@ class _Hashes(dict):
         return out
 
 
-def _text_scores(tree: Tree, texts: list[list[bytes]], depth: int) -> np.ndarray:
+def _text_scores(known: Known, texts: list[list[bytes]], depth: int) -> np.ndarray:
     lines = [marked(t) for t in texts]
-    return np.add.reduceat(tree.log10_each(codes(lines, depth)), np.cumsum([0, *map(len, lines)])[:-1])
+    return np.add.reduceat(known.log10(codes(lines, depth)), np.cumsum([0, *map(len, lines)])[:-1])
 
 
 def _word_scores(tree: Tree, texts: list[list[bytes]], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -284,12 +294,12 @@ def score(docs: DataFrame, depth: int = DEPTH, share: int = SHARE,
     tree = fit(counted, depth, share, word_share)
 
     def run(batches):
-        hashes = _Hashes()
-        for b in (g for batch in batches for g in text_groups(batch)):
+        hashes, seen = _Hashes(), Known(tree)
+        for b in (g for batch in batches for g in text_groups(batch, 1 << 20)):
             texts = [words(t) for t in b["text"]]
             base, known, rare = _word_scores(tree, texts, hashes)
             yield {"row": b["row"], "doc_id": b["doc_id"], "held_out": b["held_out"], "n_tokens": [len(t) + 1 for t in texts],
-                   "known": known, "base": base, "score": _text_scores(tree, texts, depth), "rare": rare}
+                   "known": known, "base": base, "score": _text_scores(seen, texts, depth), "rare": rare}
 
     part = settle(arrow_map(rows.withColumn("row", F.monotonically_increasing_id()),
                             "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, "

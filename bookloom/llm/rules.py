@@ -134,8 +134,11 @@ def passes(rules: list[Rule], feature: Features) -> Column:
 
 def keep_good(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """The columns of documents for the rows that pass every rule.  Null texts count as
-    empty and fail; repeated rows are judged alike; an empty table stays empty."""
-    return docs.select(*DOCUMENTS).filter(passes(ordered(docs, rules), from_text(F.col("text"))))
+    empty and fail; very long ones are judged whole; repeated rows are judged alike; an empty
+    table stays empty.  The number of words, which most rules ask for, is counted once."""
+    order, feature = ordered(docs, rules), from_text(F.col("text"))
+    verdict = let(feature("n_words"), lambda n: passes(order, lambda name: n if name == "n_words" else feature(name)))
+    return docs.select(*DOCUMENTS).filter(verdict)
 
 
 def measure(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:

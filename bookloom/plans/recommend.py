@@ -337,8 +337,8 @@ class Recommender:
                            rounded_sum(F.col("term"), F.col("strength"), link_bonus(F.col("links"))).alias("score"),
                            F.when(F.col("mode") == "adjacent", edge).otherwise(usual).alias("strata"))
 
-    def run(self) -> dict[str, DataFrame]:
-        n, keys = self.n, ["reader_id", "item_key"]
+    def _prepare(self) -> tuple[DataFrame, DataFrame]:
+        """What the pool is made of, written; and the anchors and liked links."""
         under, risk = self.gaps()
         self.under, self.risk = settle(under, "underused"), settle(risk, "at-risk")
         self._tastes()
@@ -360,6 +360,19 @@ class Recommender:
         self.near_profiles = self.matched.select("shape", "profile", "cell").join(leads, ["shape", "profile"], "left")
         self.near_open = settle(self.near_profiles.join(self.quality.filter("open_entry").drop("open_entry"), "profile").drop("profile"),
                                 "shape-items")
+        return anchor_tags, liked_links
+
+    def strata(self) -> DataFrame:
+        """(reader_id, item_key, stratum, score, chunk) of the whole matching pool: every item
+        that a reader's tags match and that may be offered, in each of its strata."""
+        self._prepare()
+        rows = self._pool().select("reader_id", "item_key", "score", F.explode("strata").alias("stratum"))
+        by = ["reader_id", "stratum"]
+        return rows.join(tie_chunks(rows, by), [*by, "score"]).select(*by, "item_key", "score", "chunk")
+
+    def run(self) -> dict[str, DataFrame]:
+        n, keys = self.n, ["reader_id", "item_key"]
+        anchor_tags, liked_links = self._prepare()
         pool = self._pool()
         at = F.posexplode_outer("strata").alias("at", "stratum")
         tally = settle(pool.select("reader_id", "score", at).groupBy("reader_id", "stratum", "score").agg(

@@ -156,6 +156,27 @@ SELECT c.reader_id, row_number() OVER (PARTITION BY c.reader_id ORDER BY {duck.h
 FROM chosen c JOIN offer_scores o ON o.reader_id = c.reader_id AND o.item_key = c.item_key"""
 
 
+def _chunked(strata: str) -> str:
+    """(reader_id, stratum, item_key, score, chunk) of the matching pool in these strata."""
+    return f"""WITH p AS MATERIALIZED (SELECT x.reader_id, x.stratum, x.item_key, o.score FROM ({strata}) x JOIN offer_scores o ON o.reader_id = x.reader_id AND o.item_key = x.item_key WHERE o.near),
+c AS (SELECT reader_id, stratum, score, CAST(sum(CASE WHEN d > 150 THEN 1 ELSE 0 END) OVER (PARTITION BY reader_id, stratum ORDER BY score DESC) AS BIGINT) AS chunk FROM (SELECT *,
+  lag(CAST(round(score * 1000) AS BIGINT)) OVER (PARTITION BY reader_id, stratum ORDER BY score DESC) - CAST(round(score * 1000) AS BIGINT) AS d FROM (SELECT DISTINCT reader_id, stratum, score FROM p)))
+SELECT p.*, c.chunk FROM p JOIN c ON c.reader_id = p.reader_id AND c.stratum = p.stratum AND c.score = p.score"""
+
+
+@query("t04_pool_strata", _chunked("""SELECT * FROM offer_vectors UNION ALL SELECT * FROM offer_floors UNION ALL SELECT o.reader_id, o.item_key, 'residual' FROM offers o
+  WHERE NOT EXISTS (SELECT 1 FROM offer_vectors v WHERE v.reader_id = o.reader_id AND v.item_key = o.item_key) AND NOT EXISTS (SELECT 1 FROM offer_floors f WHERE f.reader_id = o.reader_id AND f.item_key = o.item_key)"""))
+def t04p(v):
+    """Score, stratum and tie chunk of every item of every reader's matching pool."""
+    return recommender(v, variance="similar").strata()
+
+
+@query("t05_pool_adjacency", _chunked("SELECT reader_id, item_key, stratum FROM edge_items"))
+def t05p(v):
+    """The pool's items that are central to a vector and pull outside it."""
+    return recommender(v, variance="adjacent").strata()
+
+
 @query("t07_stratified_sample", sample_sql(True))
 def t07(v):
     """Sample in adjacent mode: readers' edge picks."""

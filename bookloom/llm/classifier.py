@@ -155,7 +155,9 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     """Learn labels.quality from at most s.sample_rows labelled rows that are not held out.
-    The rows meet in one task, which returns the model: a number per bucket, a fixed size."""
+    The rows meet in one task, which returns the model: a number per bucket, a fixed size.
+    Of repeated ids each different text is learnt from once, so these may be more rows; a
+    very long text is read whole there.  Repeated labels of one id count as the highest."""
     known = labels.filter(F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample_rows)
@@ -175,7 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted for every row.  Null and empty texts get the
-    score of no evidence; repeated rows score alike; other columns are ignored."""
+    score of no evidence; very long texts are read whole, by one task each; repeated rows
+    score alike; other columns are ignored."""
     def run(batches):
         words = _WordScores(model)
         for b in batches:

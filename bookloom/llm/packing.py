@@ -244,7 +244,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) ->
 
     Lengths alone decide the plan, so only their counts (at most `capacity` rows) reach the
     driver, and the plan that goes back is bounded by the capacity too.  Null texts count as
-    empty: one id.  Repeated rows are packed each; an empty table gives no rows.  Which of
+    empty: one id.  A very long text is encoded whole by one task and cut into pieces, which go
+    where they fit.  Repeated rows are packed each; an empty table gives no rows.  Which of
     several pieces of one length goes where follows from their place in the input files.
     """
     pieces = settle(token_pieces(docs, path or default_path(), capacity), "token-pieces")

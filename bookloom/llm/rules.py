@@ -143,7 +143,8 @@ def keep_good(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
 
 def measure(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """One row per document: the base counts, whether the two base rules fail it, and the
-    cascade's verdict.  Null texts count as empty (no words: failed)."""
+    cascade's verdict.  Null texts count as empty (no words: failed); very long ones are
+    measured whole, by one task each; repeated rows are judged alike."""
     whole = F.coalesce(F.col("text"), F.lit(""))
     counts = docs.select("doc_id", *[make(whole).alias(name) for name, make in FEATURES.items()])
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

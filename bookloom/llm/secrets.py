@@ -180,7 +180,9 @@ def mask(text: str, spans: list[tuple[str, int, int]], filler: str = "[SECRET]")
 
 def scan(docs: DataFrame, least_bits: float = GUESS_BITS) -> DataFrame:
     """doc_id, spans array<struct<kind,start,end>> for every row.  Null texts count as empty
-    (no spans); repeated rows are scanned alike; other columns are ignored.  The texts' own
+    (no spans); very long ones are scanned whole, by one task each, in time that grows with
+    the length of the values after credential words; repeated rows are scanned alike; other
+    columns are ignored.  The texts' own
     frequent words count as guessable."""
     words = corpus_words(docs)
 

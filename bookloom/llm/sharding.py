@@ -58,7 +58,8 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
 
     Slots count from 0 in each shard by doc_id (nulls first), checksum and size; rows equal
     in all of these are interchangeable.  They come from one range sort over all shards, so
-    neither a shard nor a repeated key is numbered by one task.  Other columns are ignored;
+    neither a shard nor a repeated key is numbered by one task.  Of a very long text only the
+    size and the checksum travel.  Other columns are ignored;
     an empty table gives none.
     """
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")

@@ -321,8 +321,9 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, thirds: bool = Tr
     """One row per row of docs: doc_id, _row, fp, component_id (the smallest doc_id whose
     fingerprint is reachable by links; null ids only where a whole component has no other).
 
-    Null and empty texts have fingerprint 0, linked like any other; equal texts share one
-    fingerprint and are compared once; an empty table gives no rows.
+    Null and empty texts have fingerprint 0, linked like any other; very long texts are read
+    whole, by one task each; equal texts share one fingerprint and are compared once; an
+    empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_row", F.monotonically_increasing_id())
     return _grouped(settle(fingerprints(rows), "fingerprints"), distance, thirds)

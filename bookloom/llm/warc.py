@@ -213,8 +213,8 @@ def archive(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     per page in order of capture history: page_id, payload_bytes, payload_digest,
     record_type, refers_to, url_key, captured.
 
-    Null html counts as empty, a null url as the empty one; repeated rows are captures of
-    their own; an empty table gives no rows.  The date of a capture is EPOCH plus page_id
+    Null html counts as empty, a null url as the empty one; very long html is one
+    record, read whole; repeated rows are captures of their own; an empty table gives no rows.  The date of a capture is EPOCH plus page_id
     seconds, as pages have none.
     """
     path = fresh_path(pages.sparkSession, "warc")

@@ -1,4 +1,8 @@
-"""Corpus cleaning as five stages over documents, each one of the corpus operators."""
+"""Corpus cleaning as five stages over documents, each one of the corpus operators.
+
+Every stage takes an empty table (and gives one), extra columns (and drops them), repeated
+rows and ids, null ids, and very long texts, which are taken whole.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +13,32 @@ from bookloom.operators.common import settle
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a quality rule rejects go."""
+    """Documents that a quality rule rejects go.  Null and empty texts have no words: they go
+    too.  Repeated rows are judged alike."""
     return rules.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays: that of the smallest id, null ids
+    last.  Null and empty texts are one group; repeated rows are in one group."""
     return simhash.keep_one(docs)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of passages of 50 words or more are cut out of the texts."""
+    """Later copies of passages of 50 words or more are cut out of the texts.  Texts
+    without a copy stay as they are, null ones too; one with nothing but blanks left goes."""
     return suffixes.cut_repeats(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are replaced by a marker."""
+    """Secrets in the texts are replaced by a marker.  Null texts stay null; repeated rows are
+    masked alike."""
     return secrets.masked(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left as token pieces in full sequences."""
+    """What is left as token pieces in full sequences.  Null texts count as empty; repeated
+    rows are packed each."""
     return packing.pack(docs)
 
 

@@ -80,3 +80,13 @@ def test_recommendations_match_the_whole_pool(spark, sf_dir):
         mine = [r.item_key for r in chosen if r.reader_id == reader_id and r.stratum == "residual"]
         assert set(mine) <= set(head) and len(mine) >= min(n, want[reader_id])
         assert set(head[:n]) <= taken[reader_id]
+
+
+def test_many_items_outside_a_series(spark, tmp_path):
+    """Over 46,340 of them: the square of their number leaves 32 bits."""
+    n = 50_000
+    spark.range(n).selectExpr(
+        "id AS p_partkey", "'small ring' AS p_name", "'Brand#7' AS p_brand", "'LARGE' AS p_type",
+        "CAST(5 AS INT) AS p_size", "1.0D AS p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    got = Roles(spark, str(tmp_path)).sql("SELECT pk, reviews FROM items WHERE pk IN (3, 49000)").collect()
+    assert {r.pk: r.reviews for r in got} == {3: 200000 // 16, 49000: 0}

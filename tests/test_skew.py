@@ -5,7 +5,7 @@ import collections
 import pytest
 from pyspark.sql import functions as F
 
-from bookloom.operators import catalogue, identity, reader, series
+from bookloom.operators import catalogue, filters, identity, reader, series
 
 N = 600
 
@@ -57,3 +57,27 @@ def test_history_of_one_author(spark, items):
     rows = {r.reader_id: (r.reads, r.liked) for r in got.filter("author = 'Ann Stone'").collect()}
     assert rows[1] == (301, 301) if 1 % 3 else rows[1] == (300, 300)
     assert sum(n for n, _ in rows.values()) == 900
+
+
+def test_relevant_profiles_are_streamed(spark):
+    """Reader-profile pairs are many more than either side: no distinct or shuffle over them."""
+    live = spark.createDataFrame([(r if r else None, "theme", f"t{(r + j) % 9}") for r in range(60) for j in range(4)]
+                                 + [(3, None, "t1"), (4, "theme", None)], "reader_id long, kind string, tag string")
+    held = spark.createDataFrame([(f"p{p}", "theme", f"t{(p * j) % 11}") for p in range(40) for j in (1, 2, 3)]
+                                 + [("p1", None, "t1")], "profile string, kind string, tag string").distinct()
+    pairs = filters.relevant_profiles(live, held)
+    mine, theirs = collections.defaultdict(set), collections.defaultdict(set)
+    for rows, sets in ((live.collect(), mine), (held.collect(), theirs)):
+        for name, kind, tag in rows:
+            if kind and tag:
+                sets[name].add(tag)
+    want = {(r, p) for r in mine for p in theirs if mine[r] & theirs[p]}
+    got = [(r.reader_id, r.profile) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[:plan.index("Join")]
+    per = spark.createDataFrame([(f"p{p}", 2, f"k{p:02d}", f"z{p:02d}", p) for p in range(30)],
+                                "profile string, n long, a string, z string, s long")
+    told = {r.reader_id: (r.n, r.first_key, r.last_key, r.pk_sum) for r in filters.relevance(live, held, per).collect()}
+    ids = {r: [int(p[1:]) for q, p in want if q == r and int(p[1:]) < 30] for r in mine}
+    assert told == {r: (2 * len(x), f"k{min(x):02d}", f"z{max(x):02d}", sum(x)) for r, x in ids.items() if x}

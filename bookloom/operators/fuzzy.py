@@ -83,6 +83,22 @@ def _pairs(c: str) -> Column:
     return F.get(F.transform(F.array(pieces), numbered_pieces), 0)
 
 
+def _contained(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs that score 100: all words of one are words of the other.  The rarest word of
+    the smaller side is in both, so only pairs that share such a word are looked at."""
+    a, k = (df.select(name, F.array_distinct(text.words(F.col(name))).alias(ws)).filter(F.size(ws) > 0)
+            for df, name, ws in ((asked, "asked", "aw"), (known, "known", "kw")))
+    each_a, each_k = a.select("*", F.explode("aw").alias("w")), k.select("*", F.explode("kw").alias("w"))
+    counts = settle(each_a.select("w").unionByName(each_k.select("w")).groupBy("w").agg(F.count("*").alias("c")), "word-counts")
+
+    def rarest(each, name, ws):
+        return best(each.join(counts, "w"), [name], [F.col("c"), F.col("w")], [ws, "w"])
+    columns = ["asked", "known", "aw", "kw"]
+    inside = rarest(each_a, "asked", "aw").join(each_k, "w").filter(F.size(F.array_except("aw", "kw")) == 0)
+    around = rarest(each_k, "known", "kw").join(each_a, "w").filter(F.size(F.array_except("kw", "aw")) == 0)
+    return inside.select(*columns).unionByName(around.select(*columns)).select("asked", "known").distinct()
+
+
 def _by_words(asked: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs sharing a word."""
     a = asked.select("asked", F.explode(F.array_distinct(text.words(F.col("asked")))).alias("w"))
@@ -123,15 +139,15 @@ def _by_pieces(asked: DataFrame, known: DataFrame) -> DataFrame:
 
 def author_matches(asked: DataFrame, known: DataFrame) -> DataFrame:
     """(asked, known, score): for each asked author its best-scoring known authors, at
-    or above the author score.  Word-sharing pairs first; the wider search runs only
-    for authors that did not already reach 100."""
-    scored = settle(_by_words(asked, known).withColumn("score", token_set_ratio("asked", "known"))
+    or above the author score.  Authors that reach 100 are found by their words alone; only
+    the others are scored, against those that share a word and then in the wider search."""
+    full = settle(_contained(asked, known).withColumn("score", F.lit(100.0)), "author-full")
+    rest = settle(asked.join(full.select("asked").distinct(), "asked", "left_anti"), "author-rest")
+    scored = settle(_by_words(rest, known).withColumn("score", token_set_ratio("asked", "known"))
                     .filter(F.col("score") >= AUTHOR_SCORE), "author-words")
-    done = scored.filter("score = 100").select("asked").distinct()
-    more = _by_pieces(asked.join(done, "asked", "left_anti"), known).join(
-        scored.select("asked", "known"), ["asked", "known"], "left_anti")
+    more = _by_pieces(rest, known).join(scored.select("asked", "known"), ["asked", "known"], "left_anti")
     more = more.withColumn("score", token_set_ratio("asked", "known")).filter(F.col("score") >= AUTHOR_SCORE)
-    both = scored.unionByName(more)
+    both = full.unionByName(scored).unionByName(more)
     top = both.groupBy("asked").agg(F.max("score").alias("top"))
     return both.join(top, "asked").filter(F.col("score") == F.col("top")).drop("top")
 

@@ -325,3 +325,21 @@ def test_batch_matches_plain_loop(spark):
         want += [r[1] for r in ranked if r[1] in deep and r[1] not in want][:1]
     want += [r[1] for r in ranked if r[1] not in want][:6 - len(want)]
     assert got == set(want)
+
+
+def test_author_matches_score_only_those_below_100(spark, monkeypatch):
+    """Authors whose words hold, or lie in, a known author's are not paired up by a common word."""
+    known = [f"large brand{b}x{v}" for b in range(6) for v in range(4)] + ["brand1x1 k", "large", "pat quill"]
+    asked = known + ["brand2x2 else large someone", "brand2x9 large", "quill unrelated", "brand1x1"]
+    a = spark.createDataFrame([(x,) for x in asked], "asked string")
+    k = spark.createDataFrame([(x,) for x in known], "known string")
+    paired, by_words = [], fuzzy._by_words
+    monkeypatch.setattr(fuzzy, "_by_words", lambda x, y: paired.extend(r.asked for r in x.collect()) or by_words(x, y))
+    got = {(r.asked, r.known, r.score) for r in fuzzy.author_matches(a, k).collect()}
+    want = set()
+    for x in asked:
+        scores = {y: fuzzy.token_set_score(x, y) for y in known}
+        top = max(scores.values())
+        want |= {(x, y, s) for y, s in scores.items() if s == top and s >= fuzzy.AUTHOR_SCORE}
+    assert got == want
+    assert paired == ["quill unrelated"]

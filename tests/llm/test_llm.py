@@ -355,6 +355,15 @@ def test_warc_round_trip(spark):
     assert all(r["record_type"] == "response" for r in warc.archive(pages, least_bytes=10 ** 6).collect())
 
 
+def test_warc_digest_hashes_a_payload_once(spark):
+    """Within a lambda the payload would be hashed again for each of 32 digits."""
+    texts = ["", "a", "\u00e9\u4e2d", *(chr(97 + i % 26) * i for i in range(1, 200))]
+    df = spark.createDataFrame([(t,) for t in texts], "html string").select(
+        "html", warc.base32_sha1(F.col("html").cast("binary")).alias("d"))
+    assert {r.html: r.d for r in df.collect()} == {t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode() for t in texts}
+    assert "lambda" not in df._jdf.queryExecution().analyzed().toString()
+
+
 def test_warc_file_is_well_formed(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://a/{i}", "text" * i) for i in range(12)], "page_id long, url string, html string")
     warc.write(pages.coalesce(1), str(tmp_path / "w"), per_file=5)

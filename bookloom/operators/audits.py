@@ -34,29 +34,33 @@ def vocabulary_drift(vocabulary: DataFrame, allowed: DataFrame) -> DataFrame:
 
 def unshared_links(links: DataFrame, vectors: DataFrame) -> DataFrame:
     """(src_key, dst_key) whose ends share no vector."""
-    pairs = links.select("src_key", "dst_key").distinct()
-    shared = (pairs.join(vectors.select(F.col("item_key").alias("src_key"), "vector"), "src_key")
-              .join(vectors.select(F.col("item_key").alias("dst_key"), "vector"), ["dst_key", "vector"])
-              .select("src_key", "dst_key"))
-    return pairs.join(shared, ["src_key", "dst_key"], "left_anti")
+    # An item's vectors are one cell, so a link stays one row on its way to both ends; what
+    # is left is far less than the links, so copies go last.
+    held = vectors.groupBy("item_key").agg(F.collect_set("vector").alias("held"))
+
+    def end(name, key):
+        return held.select(F.col("item_key").alias(key), F.col("held").alias(name))
+    return (links.select("src_key", "dst_key")
+            .join(end("a", "src_key"), "src_key", "left").join(end("b", "dst_key"), "dst_key", "left")
+            .filter(~F.coalesce(F.arrays_overlap("a", "b"), F.lit(False))).select("src_key", "dst_key").distinct())
 
 
 def weak_links(links: DataFrame, items: DataFrame, tags: DataFrame, vectors: DataFrame) -> DataFrame:
     """Links between known items with no vector and no tag in common: drop when the
     genres differ, else review."""
     known = items.select("item_key", "title", "author", "primary_genre", "rating")
+    held = (positive_tags(tags).filter("tag is not null").groupBy("item_key")
+            .agg(F.collect_set(F.struct("kind", "tag")).alias("tags")))
+    tagged = known.join(held, "item_key", "left")
 
     def end(prefix, key):
-        return known.select(F.col("item_key").alias(key), *[F.col(c).alias(f"{prefix}_{c}")
-                                                            for c in known.columns if c != "item_key"])
-    pairs = (unshared_links(links, vectors).join(end("a", "src_key"), "src_key").join(end("b", "dst_key"), "dst_key"))
-    held = positive_tags(tags)
-    common = (pairs.select("src_key", "dst_key").join(held.withColumnRenamed("item_key", "src_key"), "src_key")
-              .join(held.withColumnRenamed("item_key", "dst_key"), ["dst_key", "kind", "tag"])
-              .select("src_key", "dst_key"))
+        return tagged.select(F.col("item_key").alias(key), *[F.col(c).alias(f"{prefix}_{c}")
+                                                             for c in tagged.columns if c != "item_key"])
+    pairs = (unshared_links(links, vectors).join(end("a", "src_key"), "src_key").join(end("b", "dst_key"), "dst_key")
+             .filter(~F.coalesce(F.arrays_overlap("a_tags", "b_tags"), F.lit(False))).drop("a_tags", "b_tags"))
     same = (F.coalesce("a_primary_genre", F.lit("")) != "") & F.col("a_primary_genre").eqNullSafe(F.col("b_primary_genre"))
     total = F.coalesce("a_rating", F.lit(0.0)) + F.coalesce("b_rating", F.lit(0.0))
-    return pairs.join(common, ["src_key", "dst_key"], "left_anti").withColumns(
+    return pairs.withColumns(
         {"action": F.when(same, "review").otherwise("drop"), "rating_sum": total})
 
 

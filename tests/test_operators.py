@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bookloom.functions import text
-from bookloom.operators import catalogue, filters, fuzzy, identity, reader, series
+from bookloom.operators import audits, catalogue, filters, fuzzy, identity, reader, series
 from bookloom.operators.common import numbered
 from bookloom.plans import decide, recommend
 from bookloom.sources import markdown
@@ -343,3 +343,23 @@ def test_author_matches_score_only_those_below_100(spark, monkeypatch):
         want |= {(x, y, s) for y, s in scores.items() if s == top and s >= fuzzy.AUTHOR_SCORE}
     assert got == want
     assert paired == ["quill unrelated"]
+
+
+def test_weak_links_stay_one_row_each(spark):
+    """No join meets on a vector or a tag, which would make a row of each shared one."""
+    links = spark.createDataFrame([(s, d) for s, d in ["ab", "ab", "ac", "ad", "ae", "ea", "bc", "xa", "cd"]] + [("a", None), (None, "a")],
+                                  "src_key string, dst_key string")
+    vectors = spark.createDataFrame([("a", f"v{i}", 2) for i in range(50)] + [("b", f"v{i}", 2) for i in range(50)] + [("c", "w", 2), ("e", None, 2)],
+                                    "item_key string, vector string, overlap bigint")
+    items = spark.createDataFrame([(k, k, "x", "g" if k in "ac" else "h", 1.0) for k in "abcde"],
+                                  "item_key string, title string, author string, primary_genre string, rating double")
+    tags = spark.createDataFrame([(k, "theme", None, t) for k, t in [("a", "t"), ("c", "u"), ("d", "t"), ("a", None), ("e", None), ("b", "z")]],
+                                 "item_key string, kind string, polarity string, tag string")
+    unshared, weak = audits.unshared_links(links, vectors), audits.weak_links(links, items, tags, vectors)
+    assert sorted(((r.src_key, r.dst_key) for r in unshared.collect()), key=str) == sorted(
+        [*map(tuple, "ac ad ae ea bc xa cd".split()), ("a", None), (None, "a")], key=str)
+    assert sorted((r.src_key, r.dst_key, r.action) for r in weak.collect()) == [
+        ("a", "c", "review"), ("a", "e", "drop"), ("b", "c", "drop"), ("c", "d", "drop"), ("e", "a", "drop")]
+    for df in (unshared, weak):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert not [x for x in plan.splitlines() if "Join" in x and ("vector#" in x or "tag#" in x)]

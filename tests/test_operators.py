@@ -363,3 +363,21 @@ def test_weak_links_stay_one_row_each(spark):
     for df in (unshared, weak):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert not [x for x in plan.splitlines() if "Join" in x and ("vector#" in x or "tag#" in x)]
+
+
+def test_resolve_normalises_each_spelling_once(spark, monkeypatch):
+    """Repeated rows and null titles or authors keep their rows; only spellings are normalised."""
+    rows = [(i, t, a) for i, (t, a) in enumerate(
+        [("THE RING", "Ann Lee"), ("The Ring", "ann lee")] * 20 + [(None, "Ann Lee"), ("The Ring", None), (None, None)] * 2)]
+    log = spark.createDataFrame(rows, "log_id int, title string, author string")
+    items = spark.createDataFrame([("k1", "The Ring", "Ann Lee", 5), ("k2", "Bolt", "Ann Lee", 9)],
+                                  "item_key string, title string, author string, reviews int")
+    seen, norms = [], identity.with_norms
+    monkeypatch.setattr(identity, "with_norms", lambda df: seen.append(df.count()) or norms(df))
+    got = identity.resolve(log, items)
+    assert got.columns == ["title_norm", "author_norm", "log_id", "title", "author", "item_key"]
+    want = {r.log_id: (r.title_norm, r.author_norm) for r in norms(log).collect()}
+    out = got.collect()
+    assert {r.log_id: (r.title_norm, r.author_norm) for r in out} == want and len(out) == len(rows)
+    assert all((r.item_key == "k1") == (r.log_id < 40) for r in out)
+    assert max(seen) <= 5

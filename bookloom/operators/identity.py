@@ -51,10 +51,11 @@ def _blocks(author: Column, asking: bool) -> Column:
                     F.transform(text.list_surnames(author), lambda w: F.concat(F.lit("c"), w)))
 
 
-def _candidates(asked: DataFrame, champions: DataFrame) -> DataFrame:
+def _candidates(asked: DataFrame, champions: DataFrame, folded_only: bool = False) -> DataFrame:
     """Author-checked pairs of asked (title_norm, author_norm) and title-key entries."""
-    both = F.array(F.struct(F.lit(1).alias("pass"), F.col("title_norm").alias("key")),
-                   F.struct(F.lit(2).alias("pass"), text.title_fold(F.col("title_norm")).alias("key")))
+    plain = F.struct(F.lit(1).alias("pass"), F.col("title_norm").alias("key"))
+    folded = F.struct(F.lit(2).alias("pass"), text.title_fold(F.col("title_norm")).alias("key"))
+    both = F.array(folded) if folded_only else F.array(plain, folded)
     left = (asked.select("title_norm", F.col("author_norm").alias("asked_author"),
                          F.explode(both).alias("k"))
             .select("title_norm", "asked_author", "k.*",
@@ -112,7 +113,9 @@ def matching_items(pairs: DataFrame, items: DataFrame, index: DataFrame | None =
     """Every item that tolerantly matches each distinct pair (no best pick)."""
     index = index if index is not None else settle(title_index(items), "title-index")
     asked = pairs.select("title_norm", "author_norm").filter(F.col("title_norm") != "").distinct()
-    entries = (_candidates(asked, _champions(index))
+    # Equal titles have equal folded ones, so the second pass finds all that the first would.
+    index = index.filter(F.col("pass") == 2)
+    entries = (_candidates(asked, _champions(index), folded_only=True)
                .select("title_norm", "asked_author", "pass", "key", "author_norm").distinct())
     members = index.select("pass", "key", "author_norm", "item_key")
     return (entries.join(members, ["pass", "key", "author_norm"])
@@ -121,9 +124,16 @@ def matching_items(pairs: DataFrame, items: DataFrame, index: DataFrame | None =
 
 def listed_items(picks: DataFrame, items: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """(reader_id, item_key) of items already on a reader's list, tolerantly."""
-    named = with_norms(picks).select("reader_id", "title_norm", "author_norm").distinct()
-    return (named.join(matching_items(named, items, index), ["title_norm", "author_norm"])
-            .select("reader_id", "item_key").distinct())
+    norms = ["title_norm", "author_norm"]
+    if set(norms) <= set(picks.columns):
+        named = picks.select("reader_id", *norms).distinct()
+        return named.join(matching_items(named, items, index), norms).select("reader_id", "item_key").distinct()
+    # Each spelling is normalised once, not each row and again to join it back.
+    spelled = settle(with_norms(picks.select("title", "author").distinct()), "spellings")
+    hits = spelled.join(matching_items(spelled, items, index), norms).select(
+        F.col("title").alias("_t"), F.col("author").alias("_a"), "item_key")
+    same = F.col("title").eqNullSafe(F.col("_t")) & F.col("author").eqNullSafe(F.col("_a"))
+    return picks.select("reader_id", "title", "author").join(hits, same).select("reader_id", "item_key").distinct()
 
 
 def list_pairs(picks: DataFrame) -> DataFrame:
@@ -135,7 +145,8 @@ def list_pairs(picks: DataFrame) -> DataFrame:
 def resolve_picks(picks: DataFrame, items: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """(reader_id, item_key): a stored key is used as is, other rows are resolved;
     rows that end on one item count once."""
-    pairs = list_pairs(picks)
+    # Three branches read the pairs; written, their names are normalised once.
+    pairs = settle(list_pairs(picks), "list-pairs")
     keyed = (pairs.filter(F.col("direct_key").isNotNull())
              .select("reader_id", F.col("direct_key").alias("item_key"))
              .join(items.select("item_key"), "item_key", "left_semi"))

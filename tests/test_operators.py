@@ -43,6 +43,44 @@ def test_membership_golden(spark):
     assert got == {"doors", "tin", "salt", "kilns", "armor", "embers_o", "ash"}
 
 
+def test_membership_normalises_each_spelling_once(spark, monkeypatch):
+    """Many readers list the same few spellings; null names stay without a match."""
+    names = [(t, a) for t, a, _ in LISTED] + [(None, "Ruth A. Pell"), ("Salt Ledger", None), (None, None)]
+    picks = spark.createDataFrame([(r, t, a) for r in range(40) for t, a in names],
+                                  "reader_id long, title string, author string")
+    given, real = [], identity.with_norms
+    monkeypatch.setattr(identity, "with_norms", lambda df: given.append(df) or real(df))
+    got = [(r.reader_id, r.item_key) for r in identity.listed_items(picks, items_of(spark)).collect()]
+    want = {"doors", "tin", "salt", "kilns", "armor", "embers_o", "ash"}
+    assert sorted(got) == sorted((r, k) for r in range(40) for k in want)
+    normed = picks.select(F.col("reader_id"), text.norm("title").alias("title_norm"), text.norm("author").alias("author_norm"))
+    again = {(r.reader_id, r.item_key) for r in identity.listed_items(normed, items_of(spark)).collect()}
+    assert again == set(got)
+    assert max(df.count() for df in given) <= len(names)
+
+
+def test_membership_by_folded_titles_loses_no_plain_match(spark):
+    """One search by folded titles finds what the plain and the folded one find together."""
+    items = items_of(spark)
+    asked = spark.createDataFrame([(t, a) for t, a, _ in LISTED], "title string, author string")
+    index = identity.title_index(items)
+    both = identity._candidates(identity.with_norms(asked).select("title_norm", "author_norm").distinct(), index)
+    want = {(r.title_norm, r.asked_author, r.item_key) for r in both.collect()}
+    found = identity.matching_items(identity.with_norms(asked), items)
+    assert {(r.title_norm, r.author_norm, r.item_key) for r in found.collect()} == want
+    assert "1 AS pass" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_list_pairs_are_written_before_three_branches_read_them(spark, monkeypatch):
+    picks = spark.createDataFrame([(1, t, a, None) for t, a, _ in LISTED] + [(2, "Salt Ledger", "Ruth Pell", "salt")],
+                                  "reader_id long, title string, author string, item_key string")
+    labels, real = [], identity.settle
+    monkeypatch.setattr(identity, "settle", lambda df, label: labels.append(label) or real(df, label))
+    got = sorted((r.reader_id, r.item_key) for r in identity.resolve_picks(picks, items_of(spark)).collect())
+    assert got == sorted([(1, k) for _, _, k in {x for x in LISTED} if k] + [(2, "salt")])
+    assert labels.count("list-pairs") == 1
+
+
 LIST_TEXT = """# Shelf
 | shelf | wanted |
 |---|---|

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bookloom.operators import filters, reader
+from bookloom.operators.common import settle
 from bookloom.plans import recommend
 from testbed import duck
 from testbed.queries_reader import anchor_parts, listed, log, negatives, notes, resolved, risk, coverage
@@ -48,8 +49,9 @@ def t04(v):
     picks = listed(v)
     overlap = reader.vector_overlap(picks, v.item_tags, reader.active_members(v.vectors, v.vector_members))
     under = reader.underused_vectors(coverage(v), v.reader_state)
-    hits = recommend.vector_strata(overlap, under, "item_key").unionByName(
-        recommend.floor_strata(picks, v.items, risk(v)))
+    # Read by both branches; written, the overlaps and floors are worked out once.
+    hits = settle(recommend.vector_strata(overlap, under, "item_key").unionByName(
+        recommend.floor_strata(picks, v.items, risk(v))), "list-strata")
     rest = picks.join(hits, ["reader_id", "item_key"], "left_anti").withColumn("stratum", F.lit("residual"))
     return hits.unionByName(rest.select("reader_id", "item_key", "stratum"))
 

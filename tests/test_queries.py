@@ -90,3 +90,10 @@ def test_many_items_outside_a_series(spark, tmp_path):
         "CAST(5 AS INT) AS p_size", "1.0D AS p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
     got = Roles(spark, str(tmp_path)).sql("SELECT pk, reviews FROM items WHERE pk IN (3, 49000)").collect()
     assert {r.pk: r.reviews for r in got} == {3: 200000 // 16, 49000: 0}
+
+
+def test_list_strata_are_worked_out_once(spark, sf_dir):
+    """Both branches read the written hits: only the items outside them are still joined."""
+    out = entry.queries()["t04_strata"](spark, sf_dir)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftAnti") == 1 and "Join Inner" not in plan

@@ -26,11 +26,27 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{workspace(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def keep(df: DataFrame, path: str) -> None:
+    """Write a frame in the shared folder, and let go of the rows shuffled for it: nothing
+    reads them once the files are there, and else they fill the disk until the driver
+    happens to collect its garbage."""
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write a frame that several branches read, and continue from the files: the
     lineage ends here, and a lost executor costs a re-read instead of a re-run."""
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    keep(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -11,7 +11,7 @@ import re
 
 from pyspark.errors import AnalysisException
 
-from bookloom.operators.common import fresh_path
+from bookloom.operators.common import fresh_path, keep
 
 ADJECTIVES = ["small", "red", "blue", "hot", "large", "old", "new", "cold"]
 NOUNS = ["ring", "widget", "bolt", "gear", "gizmo", "plate", "anvil", "rod"]
@@ -305,7 +305,7 @@ class Roles:
             except AnalysisException:  # the shared folder was cleared meanwhile
                 pass
         path = fresh_path(self.spark, name)
-        build().write.parquet(path)
+        keep(build(), path)
         _kept[key] = path
         return self.spark.read.parquet(path)
 

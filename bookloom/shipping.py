@@ -12,8 +12,8 @@ _done: set[str] = set()
 
 #: Bytes that a byte of the written tables, which are compressed, stands for in memory.
 FILE_FACTOR = 10
-#: The same for rows on their way through a shuffle.
-SHUFFLE_FACTOR = 4
+#: The same for rows on their way through a shuffle: packed closer, and hashed when broadcast.
+SHUFFLE_FACTOR = 16
 
 
 def steady(spark: SparkSession) -> None:

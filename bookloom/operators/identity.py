@@ -222,7 +222,9 @@ def containing(needles: DataFrame, texts: DataFrame) -> DataFrame:
     held = t.select("text", F.explode(F.array_distinct(spread)).alias("gram")).join(
         wanted.select("gram").distinct(), "gram", "left_semi")
     counts = held.groupBy("gram").agg(F.count("*").alias("held"))
-    rarest = best(wanted.join(counts, "gram"), ["needle"], [F.col("held"), F.col("gram")], ["gram"])
+    # Merged: Spark takes the pieces for as small as the needles they are cut from, and would
+    # broadcast them.
+    rarest = best(wanted.hint("merge").join(counts, "gram"), ["needle"], [F.col("held"), F.col("gram")], ["gram"])
     return (rarest.join(held, "gram").filter(F.contains("text", "needle"))
             .select("needle", "text").distinct())
 

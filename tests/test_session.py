@@ -118,3 +118,14 @@ def test_batches_are_picked_without_a_group_per_reader_in_python(spark):
         taken += [x for x in mine if x[2] and x not in taken][:0 if any(x[2] for x in taken) else 1]
         taken += [x for x in mine if x not in taken][:max(4 - len(taken), 0)]
         assert got[reader_id] == {x[0] for x in taken}
+
+
+def test_pieces_of_needles_are_not_broadcast(spark, monkeypatch):
+    """Pieces are many times the needles that Spark judges their size by."""
+    joined, real = [], identity.best
+    monkeypatch.setattr(identity, "best", lambda df, *rest: joined.append(df) or real(df, *rest))
+    needles = settle(spark.createDataFrame([("harbour",), ("ab",), ("z",), (None,)], "needle string"), "needles")
+    texts = settle(spark.createDataFrame([("tin harbour",), ("cab",), ("none",), (None,)], "text string"), "texts")
+    got = {(r.needle, r.text) for r in identity.containing(needles, texts).collect()}
+    assert got == {("harbour", "tin harbour"), ("ab", "cab")}
+    assert "SortMergeJoin [gram" in joined[0]._jdf.queryExecution().sparkPlan().toString()
